@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import discriminant, licenses, repetition, secrets, sharding, urls
+from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, repetition, secrets, sharding, urls
 from tessera.llm.common import table
 
 
@@ -22,10 +22,22 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_versions(table(spark, sf_dir, "documents")))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.domains_of(table(spark, sf_dir, "labels"))).drop("_row")
+
+
 def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
@@ -35,8 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op5_license_scans, op8_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op4_mixing, op5_license_scans, op6_near_duplicates, op7_decontamination, op8_url_filters, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.SQL, "op3_secret_scans": secrets.SQL, "op8_url_filters": urls.SQL}
+    return {"op1_sharding": sharding.SQL, "op3_secret_scans": secrets.SQL, "op6_near_duplicates": neardup.SQL, "op7_decontamination": decontaminate.SQL, "op8_url_filters": urls.SQL}
