@@ -3,9 +3,9 @@
 A classifier learnt from a table of labelled documents gives every document a posterior over domains:
 naive Bayes over the presence of hashed tokens (words, runs of marks, and how repetitive the text is),
 on the tokens that set the domains apart most. Then each document gets a rate, how often it should occur
-in the mixture. Rates start at 1 and are fitted by projected gradient steps on the least squares of the
-domains' expected token totals against their targets; they stay nonnegative. In the metric in which a
-document weighs its tokens and residuals are whitened over the documents with a rate above 0, a step subtracts p . y from a rate, where p is the
+in the mixture. Rates start at 1, stay between 0 and a limit, and are fitted by projected gradient steps on the least squares of the
+domains' expected token totals against their targets. In the metric in which a
+document weighs its tokens and residuals are whitened, a step subtracts p . y from a rate, where p is the
 posterior and y the whitened residual of the last totals; so a pass over the data is one aggregation to as
 many numbers as there are domains, and a rate follows from p and the list of steps.
 
@@ -27,7 +27,9 @@ TARGETS = {"good": 0.96, "junk": 0.01, "toxic": 0.03}
 ANCHOR = "good"
 #: Hashed tokens, how many of them are used, the power of their evidence, the weight of a token's share in all
 #: domains in its share of one, most steps of the fit, and the residual (a share of all tokens) that ends it.
-BUCKETS, CHOSEN, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 120, 0.5, 20.0, 20, 1e-6
+BUCKETS, CHOSEN, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 120, 0.5, 20.0, 20, 1e-4
+#: Tokens that a larger share of the labelled documents has tell their length rather than their domain.
+COMMON = 0.1
 #: Words, or runs of marks; a long run counts by its first three.
 TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\s\x{80}-\x{10FFFF}]{1,3}"
 
@@ -43,7 +45,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def weights(labelled: DataFrame, domains: list[str]) -> tuple[list[float], DataFrame]:
-    """Log priors, and for each of the CHOSEN tokens the log of its lift in each domain."""
+    """Log priors, and for each of the CHOSEN tokens the log of its lift in each domain if absent, and what presence adds."""
     known = labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
     n = {r.domain: r.n for r in known}
     total = sum(n.values())
@@ -52,64 +54,68 @@ def weights(labelled: DataFrame, domains: list[str]) -> tuple[list[float], DataF
     seen = labelled.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)))
     expected = [F.col("all") * (s / max(total, 1)) + 1e-9 for s in size]
     spread = sum(((F.col(f"c{k}") - e) * (F.col(f"c{k}") - e) / e for k, e in enumerate(expected)), F.lit(0.0))
-    best = seen.where(F.col("all") >= 5).orderBy(spread.desc(), "bucket").limit(CHOSEN)
-    return prior, best.select("bucket", *(F.log((F.col(f"c{k}") + SMOOTH * F.col("all") / total) / (s + SMOOTH) / (F.col("all") / total)).alias(f"w{k}") for k, s in enumerate(size)))
+    best = seen.where((F.col("all") >= 5) & (F.col("all") <= COMMON * total)).orderBy(spread.desc(), "bucket").limit(CHOSEN)
+    in_all = F.col("all") / (total + 1)
+    inside = [(F.col(f"c{k}") + SMOOTH * in_all) / (s + SMOOTH) for k, s in enumerate(size)]
+    absent = [F.log((1 - x) / (1 - in_all)) for x in inside]
+    return prior, best.select("bucket", *(a.alias(f"a{k}") for k, a in enumerate(absent)), *((F.log(x / in_all) - a).alias(f"w{k}") for k, (x, a) in enumerate(zip(inside, absent, strict=True))))
 
 
 def posteriors(feats: DataFrame, prior: list[float], chosen: DataFrame) -> DataFrame:
     """_row, doc_id, n and p, an array over the domains."""
     ks = range(len(prior))
-    # each document brings one bucket, -1, that adds nothing, so that none is lost
-    none = feats.sparkSession.range(1).select(F.lit(-1).alias("bucket"), *(F.lit(0.0).alias(f"w{k}") for k in ks))
+    # each document brings one bucket, -1, that stands for all tokens as absent, so that none is lost
+    none = chosen.agg(*(F.coalesce(F.sum(f"a{k}"), F.lit(0.0)).alias(f"w{k}") for k in ks)).select(F.lit(-1).alias("bucket"), *(f"w{k}" for k in ks))
+    chosen = chosen.select("bucket", *(f"w{k}" for k in ks))
     found = feats.select("_row", "doc_id", "n", F.explode(F.concat("buckets", F.array(F.lit(-1)))).alias("bucket")).join(F.broadcast(chosen.unionByName(none)), "bucket")
     logs = found.groupBy("_row", "doc_id", "n").agg(*(F.sum(f"w{k}").alias(f"s{k}") for k in ks)).select("_row", "doc_id", "n", F.array(*(F.lit(prior[k]) + TEMPER * F.col(f"s{k}") for k in ks)).alias("l"))
     e = logs.withColumn("e", F.transform("l", lambda x: F.exp(x - F.array_max("l"))))
     return e.select("_row", "doc_id", "n", F.transform("e", lambda x: x / F.aggregate("e", F.lit(0.0), lambda a, y: a + y)).alias("p"))
 
 
-def rate(steps: list[np.ndarray]) -> Column:
-    """1, less p . y for each step in turn, never under 0."""
+def rate(steps: list[np.ndarray], most: float) -> Column:
+    """1, less p . y for each step in turn, kept between 0 and most."""
     r = F.lit(1.0)
     if steps:
         ys = F.array(*(F.array(*(F.lit(float(v)) for v in y)) for y in steps))
         dot = lambda y: sum((F.col("p")[k] * y[k] for k in range(len(steps[0]))), F.lit(0.0))
-        r = F.aggregate(ys, F.lit(1.0), lambda r, y: F.greatest(F.lit(0.0), r - dot(y)))
+        r = F.aggregate(ys, F.lit(1.0), lambda r, y: F.least(F.lit(float(most)), F.greatest(F.lit(0.0), r - dot(y))))
     return r
 
 
-def totals(members: DataFrame, r: Column, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of each domain at rates r, and the products of posteriors over documents with a rate above 0."""
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    p, n = F.col("p"), F.col("n")
-    sums = [F.sum(n * p[i] * F.col("r")) for i in range(k)] + [F.sum(F.when(F.col("r") > 0, n * p[i] * p[j])) for i, j in pairs]
-    got = [x or 0.0 for x in members.withColumn("r", r).agg(*(x.alias(f"x{i}") for i, x in enumerate(sums))).first()]
-    g = np.zeros((k, k))
-    for (i, j), v in zip(pairs, got[k:], strict=True):
-        g[i, j] = g[j, i] = v
-    return np.array(got[:k]), g
+def sums(members: DataFrame, columns: list[Column]) -> np.ndarray:
+    return np.array([x or 0.0 for x in members.agg(*(F.sum(x).alias(f"x{i}") for i, x in enumerate(columns))).first()])
 
 
-def fit(members: DataFrame, targets: list[float], anchor: int | None, steps: int = STEPS, exact: float = EXACT) -> list[np.ndarray]:
+def fit(members: DataFrame, targets: list[float], anchor: int | None, most: float, steps: int = STEPS, exact: float = EXACT) -> list[np.ndarray]:
     """The steps of the projected gradient; each is one aggregation over members(n, p).
 
-    Residuals are whitened by the documents that can still move, those with a rate above 0; where none of a
-    domain can, its residual stays, which is the least-squares answer.
+    Residuals are whitened by the products of posteriors over all documents, for which a full step never
+    overshoots, so the squares fall from step to step.
     """
-    now, g = totals(members, rate([]), len(targets))
+    k, p, n = len(targets), F.col("p"), F.col("n")
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    first = sums(members, [n * p[i] for i in range(k)] + [n * p[i] * p[j] for i, j in pairs])
+    now, g = first[:k], np.zeros((k, k))
+    for (i, j), v in zip(pairs, first[k:], strict=True):
+        g[i, j] = g[j, i] = v
     share = np.array(targets) / sum(targets)
     want = share * (now[anchor] / share[anchor] if anchor is not None else now.sum())
+    want = np.minimum(want, most * now)  # no rates give a domain more
+    whiten = np.linalg.pinv(g, rcond=1e-9)
     done: list[np.ndarray] = []
     for _ in range(steps):
         if np.abs(now - want).max() <= exact * max(want.sum(), 1.0):
             break
-        done.append(np.linalg.pinv(g, rcond=1e-9) @ (now - want))
-        now, g = totals(members, rate(done), len(targets))
+        done.append(whiten @ (now - want))
+        now = sums(members.withColumn("r", rate(done, most)), [n * p[i] * F.col("r") for i in range(k)])
     return done
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = 2.0, seed: int = 7) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies for each row of docs(doc_id, text); labelled(doc_id, domain).
 
+    most: the largest rate, at least 1; a domain's target is at most so many times its total.
     anchor: the domain whose total stays as it is; None: the total of all. copies: the rate, rounded up or
     down by a hash of doc_id, so that its expectation is the rate.
     """
@@ -118,10 +124,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     clear = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other")
     prior, chosen = weights(feats.select("doc_id", "buckets").join(clear.select("doc_id", "domain"), "doc_id"), domains)
     members = ws.keep(posteriors(feats, prior, ws.keep(chosen, "tokens")), "members")
-    steps = fit(members, list(targets.values()), domains.index(anchor) if anchor else None)
+    steps = fit(members, list(targets.values()), domains.index(anchor) if anchor else None, most)
     ws.drop(feats)
     chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    out = members.withColumn("rate", rate(steps))
+    out = members.withColumn("rate", rate(steps, most))
     return out.select("doc_id", "_row", F.col("n").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, repetition, secrets, sharding, urls
+from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, ppm, repetition, secrets, sharding, urls
 from tessera.llm.common import table
 
 
@@ -42,12 +42,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op4_mixing, op5_license_scans, op6_near_duplicates, op7_decontamination, op8_url_filters, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op4_mixing, op5_license_scans, op6_near_duplicates, op7_decontamination, op8_url_filters, op9_lm_scoring, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
