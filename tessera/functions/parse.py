@@ -53,7 +53,7 @@ def rooms(x: Column) -> Column:
 
 
 def _parts(x: Column) -> Column:
-    return F.transform(F.split(F.coalesce(x, F.lit("")), ","), F.trim)
+    return F.transform(F.split(F.coalesce(x, F.lit("")), ","), lambda p: F.trim(p))
 
 
 def location(x: Column, dialect: str) -> tuple[Column, Column]:

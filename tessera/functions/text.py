@@ -22,16 +22,20 @@ def filled(x: Column) -> Column:
     return F.when(t != "", t)
 
 
-@F.pandas_udf("string")
-def _composed(x: pd.Series) -> pd.Series:
-    return x.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def composed(x: Column) -> Column:
+    """The composed form of accents, which Spark has no function for."""
+
+    def nfc(t: pd.Series) -> pd.Series:
+        return t.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
+
+    return F.pandas_udf(nfc, "string")(x)
 
 
 def normalized(x: Column, *, compose: bool = False) -> Column:
     """Lower case, single spaces, none around. compose: also the composed form of accents, for text with loose marks."""
     t = F.lower(F.coalesce(x, F.lit("")))
     if compose:
-        t = F.when(t.rlike(r"\p{M}"), _composed(t)).otherwise(t)
+        t = F.when(t.rlike(r"\p{M}"), composed(t)).otherwise(t)
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 

@@ -160,8 +160,8 @@ def score_histogram(scored: DataFrame) -> DataFrame:
 
 def overlap(a: DataFrame, b: DataFrame, key: str = "url") -> DataFrame:
     """Keys of either scan, and the share of the first's that the second has."""
-    both = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    return both.agg(F.sum("a").alias("first"), F.sum("b").alias("second"), F.sum(F.col("a") * F.col("b")).alias("both")).withColumn("ratio", F.round(F.try_divide(F.col("both"), F.col("first")), 6))
+    keys = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))).groupBy(key).agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return keys.agg(F.sum("a").alias("first"), F.sum("b").alias("second"), F.sum(F.col("a") * F.col("b")).alias("n_both")).withColumn("ratio", F.round(F.try_divide(F.col("n_both"), F.col("first")), 6))
 
 
 def chosen_portals(enabled: list[str] | None) -> list[str]:

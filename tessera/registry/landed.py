@@ -1,0 +1,243 @@
+"""Queries over landed pages, model replies, conversations and events (the S, K, L and T rows)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text
+from tessera.operators import analysis, conversation, tables
+from tessera.plans import views
+from tessera.registry import sqltext as q
+from tessera.registry.base import query
+from tessera.sources import html, json
+from tessera.streaming import throttle
+
+# --- search pages: the listings view written out in each portal's markup, then read again ---
+CARDS = {
+    "morizon": '<div><a class="property-card" href="/oferta/{k}"><span class="property-card__title">{t}</span><span class="property-card__price--main">{p} zł</span><span class="property-card__location">Stroma, Tarninów, {c}, {v}</span></a></div>',
+    "gratka": '<a class="property-card" href="/oferta/{k}"><span class="property-card__title">{t}</span><span class="property-card__price--main">{p} zł</span><span class="property-card__location">{c}, powiat, {v}</span></a>',
+    "domiporta": '<article class="sneakpeak"><h2 class="sneakpeak__title--bold"><a href="/oferta/{k}">{t}</a></h2><span class="sneakpeak__price_value">{p} zł</span><div class="sneakpeak__title--inblock">mieszkanie {c}, Centrum</div></article>',
+    "nieruchomosci_online": '<div class="tile"><h2 class="name"><a href="/oferta/{k}">{t}</a></h2><div class="primary-display"><span>{p}</span><span>x</span></div><p class="province">{c}, {v}</p><span class="area">{a} m²</span></div>',
+    "szybko": '<div class="offer-card"><a class="offer-card__link" href="/oferta/{k}"><b class="offer-card__title">{t}</b></a><i class="offer-card__price">{p}</i><i class="offer-card__location">{c}, {v}</i><i class="offer-card__area">{a} m2</i></div>',
+    "olx": '<div data-testid="l-card"><div><p data-testid="ad-price">{p} zł</p><h6 data-testid="ad-card-title"><a href="/d/oferta/{k}">{t}</a></h6><p data-testid="location-date">{c}, {v} - Dzisiaj 14:30</p></div></div>',
+}
+
+
+def pages_of(spark: SparkSession, d: str, portal: str) -> DataFrame:
+    """Ten listings a page, in the portal's markup."""
+    df = views.listings(spark, d).select("seq", text.escaped(F.col("title")).alias("t"), F.floor("price").cast("string").alias("p"), F.col("city").alias("c"), F.col("voivodeship").alias("v"), (F.col("seq") % 90).cast("string").alias("a"))
+    card, pieces = CARDS[portal], []
+    for n, part in enumerate(card.replace("{k}", "\0seq\0").replace("{t}", "\0t\0").replace("{p}", "\0p\0").replace("{c}", "\0c\0").replace("{v}", "\0v\0").replace("{a}", "\0a\0").split("\0")):
+        pieces.append(F.col(part).cast("string") if n % 2 else F.lit(part))
+    made = df.select(F.floor(F.col("seq") / 10).alias("page_id"), "seq", F.concat(*pieces).alias("card"))
+    return made.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "card"))), lambda x: x["card"]), "\n").alias("html")).withColumn("portal", F.lit(portal))
+
+
+BASES = {"morizon": "https://www.morizon.pl", "gratka": "https://gratka.pl", "domiporta": "https://www.domiporta.pl", "nieruchomosci_online": "https://www.nieruchomosci-online.pl", "szybko": "https://szybko.pl", "olx": "https://www.olx.pl/d"}
+
+for _key, _portal in (("s1_olx", "olx"), ("s3_morizon", "morizon"), ("s4_domiporta", "domiporta"), ("s5_gratka", "gratka"), ("s6_nieruchomosci_online", "nieruchomosci_online"), ("s7_szybko", "szybko")):
+    _v = "''" if _portal == "domiporta" else "voivodeship"
+    _sql = f"SELECT seq // 10 AS page_id, title, '{BASES[_portal]}/oferta/' || seq AS url, floor(price)::DOUBLE AS price, city, {_v} AS voivodeship FROM listings"
+
+    def _one(spark, d, p=_portal):
+        return html.search_results(pages_of(spark, d, p)).select("page_id", "title", "url", "price", "city", "voivodeship")
+
+    query(_key, q.listings(_sql))(_one)
+
+
+@query("s2_embedded_json", q.listings("SELECT seq // 10 AS page_id, title, 'https://www.otodom.pl/pl/oferta/s' || seq AS url, floor(price)::DOUBLE AS price, city, voivodeship, (seq % 90)::DOUBLE AS area, 3::INT AS rooms, 7::INT AS total_pages FROM listings"))
+def s2(spark, d):
+    item = F.struct("title", F.concat(F.lit("s"), F.col("seq").cast("string")).alias("slug"), F.struct(F.floor("price").alias("value")).alias("totalPrice"), F.struct(F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.col("voivodeship").alias("name")).alias("province")).alias("address")).alias("location"), (F.col("seq") % 90).alias("areaInSquareMeters"), F.lit("THREE").alias("roomsNumber"))
+    pages = views.listings(spark, d).groupBy(F.floor(F.col("seq") / 10).alias("page_id")).agg(F.collect_list(item).alias("items"))
+    body = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(F.col("items"), F.struct(F.lit(7).alias("totalPages")).alias("pagination")).alias("searchAds")).alias("data")).alias("pageProps")).alias("props")))
+    page = F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), body, F.lit("</script></html>"))
+    return json.search_ads(pages.select("page_id", page.alias("html"))).select("page_id", "title", "url", "price", "city", "voivodeship", "area", "rooms", "total_pages")
+
+
+@query("s8_search_answers", q.listings("SELECT seq // 10 AS page_id, title, 'https://allegro.pl/oferta/' || seq AS url, floor(price)::DOUBLE AS price, city AS location, 'Stan: nowy, inny' AS description FROM listings"))
+def s8(spark, d):
+    param = F.array(F.struct(F.lit("Stan").alias("name"), F.array(F.lit("nowy"), F.lit("inny")).alias("values")), F.struct(F.lit("Pusty").alias("name"), F.array().cast("array<string>").alias("values")))
+    item = F.struct(F.col("seq").cast("string").alias("id"), F.col("title").alias("name"), F.struct(F.struct(F.floor("price").cast("string").alias("amount"), F.lit("PLN").alias("currency")).alias("price")).alias("sellingMode"), F.struct("city").alias("seller"), param.alias("parameters"))
+    pages = views.listings(spark, d).groupBy(F.floor(F.col("seq") / 10).alias("page_id")).agg(F.collect_list(F.when(F.col("seq") % 3 == 0, item)).alias("promoted"), F.collect_list(F.when(F.col("seq") % 3 != 0, item)).alias("regular"))
+    return json.search_answers(pages.select("page_id", F.to_json(F.struct(F.struct("promoted", "regular").alias("items"))).alias("body"))).select("page_id", "title", "url", "price", "location", "description")
+
+
+@query("f13_described", q.listings("SELECT seq, 'Stan: nowy, inny; Nr: ' || seq AS text FROM listings"))
+def f13(spark, d):
+    part = lambda name, *v: F.struct(F.lit(name).alias("name"), F.array(*v).alias("values"))
+    return views.listings(spark, d).select("seq", json.described(F.array(part("Stan", F.lit("nowy"), F.lit("inny")), part("Nr", F.col("seq").cast("string")))).alias("text"))
+
+
+@query("s14_longest_paragraph", "SELECT page_id, CASE WHEN length(p) > 100 THEN p END AS full_description FROM (SELECT page_id, list_reduce(list_transform(regexp_extract_all(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))), lambda a, b: CASE WHEN length(b) >= length(a) THEN b ELSE a END, '') AS p FROM pages)")
+def s14(spark, d):
+    return views.table(spark, d, "pages").select("page_id", html.longest_paragraph(F.col("html")).alias("full_description"))
+
+
+@query("s14_details")
+def s14b(spark, d):
+    return html.details(views.table(spark, d, "pages").select("page_id", F.lit("other").alias("portal"), "html")).select("page_id", "full_description", "area", "kw")
+
+
+@query("s15_blocked", "SELECT page_id, status, status IN (403, 429, 503, 520, 521, 522, 523, 524) OR html = '' OR contains(lower(html), 'rate limit') AND length(html) < 15000 AS blocked FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 403 ELSE 200 END AS status, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '<p>Rate limit</p>' WHEN 2 THEN repeat('<p>Rate limit</p>', 2000) ELSE '<p>' || page_id || '</p>' END AS html FROM pages)")
+def s15(spark, d):
+    k = F.col("page_id")
+    body = F.when(k % 7 == 0, "").when(k % 7 == 1, "<p>Rate limit</p>").when(k % 7 == 2, F.repeat(F.lit("<p>Rate limit</p>"), 2000)).otherwise(F.concat(F.lit("<p>"), k.cast("string"), F.lit("</p>")))
+    status = F.when(k % 5 == 0, 403).otherwise(200)
+    return views.table(spark, d, "pages").select("page_id", status.alias("status"), html.blocked(body, status).alias("blocked"))
+
+
+@query("s16_city_index", q.with_(q.CITIES_SQL, select="SELECT lower(name) AS key, name FROM cities UNION SELECT translate(lower(name), 'ąćęłńóśźż', 'acelnoszz'), name FROM cities"))
+def s16(spark, d):
+    return json.city_index(views.cities(spark)).select("key", "name")
+
+
+# --- model replies ---
+_shape = "doc_id % 6"
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies in six shapes: plain, fenced, Python's words, trailing commas, inside prose, none."""
+    k = F.col("doc_id")
+    num = k.cast("string")
+    body = F.concat(F.lit('{"is_real_share": true, "confidence": 1.5, "stars": "9", "summary": "s'), num, F.lit('", "fraction": "1/'), (k % 9 + 2).cast("string"), F.lit('", "property_type": "zamek", "seller_motivation": "spadek", "estimated_value_total": 1000.7, "price_assessment": "tania", "risks": "jedno"}'))
+    s = k % 6
+    return views.table(spark, d, "documents").select("doc_id", F.when(s == 0, body).when(s == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(s == 2, F.replace(body, F.lit("true"), F.lit("True"))).when(s == 3, F.replace(body, F.lit('"jedno"}'), F.lit('"jedno",}'))).when(s == 4, F.concat(F.lit("Oto: "), body, F.lit(" Koniec."))).otherwise("nic").alias("raw"))
+
+
+@query("l1_repaired", f"SELECT doc_id, CASE WHEN {_shape} < 5 THEN 's' || doc_id END AS summary FROM documents")
+def l1(spark, d):
+    return replies(spark, d).select("doc_id", analysis.get(analysis.repaired(F.col("raw")), "$.summary", "string").alias("summary"))
+
+
+@query("l2_checked", f"SELECT doc_id, {_shape} < 5 AS valid, CASE WHEN {_shape} < 5 THEN 1.0::DOUBLE END AS confidence, CASE WHEN {_shape} < 5 THEN 5 END::INT AS stars, CASE WHEN {_shape} < 5 THEN '1/' || (doc_id % 9 + 2) END AS fraction, CASE WHEN {_shape} < 5 THEN 'inne' END AS property_type, CASE WHEN {_shape} < 5 THEN 'spadek' END AS seller_motivation, CASE WHEN {_shape} < 5 THEN 1000 END::BIGINT AS estimated_value_total, NULL::VARCHAR AS price_assessment, CASE WHEN {_shape} < 5 THEN 'jedno' END AS risks FROM documents")
+def l2(spark, d):
+    out = analysis.checked(replies(spark, d).select("doc_id", analysis.repaired(F.col("raw")).alias("reply")))
+    return out.select("doc_id", "valid", "confidence", "stars", "fraction", "property_type", "seller_motivation", "estimated_value_total", "price_assessment", F.array_join("risks", "|").alias("risks"))
+
+
+def envelopes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("event_id")
+    usage = F.struct((k % 100).cast("int").alias("prompt_tokens"), (k % 10).cast("int").alias("completion_tokens"))
+    choices = F.to_json(F.struct(F.lit("m-small").alias("model"), F.array(F.struct(F.struct(F.concat(F.lit("t"), k.cast("string")).alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"), usage.alias("usage")))
+    blocks = F.to_json(F.struct(F.lit("m-large").alias("model"), F.array(F.struct(F.lit("text").alias("type"), F.lit("a").alias("text")), F.struct(F.lit("tool").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), k.cast("string").alias("text"))).alias("content"), F.struct(k.cast("int").alias("input_tokens"), F.lit(5).alias("output_tokens")).alias("usage")))
+    return views.table(spark, d, "events").select("event_id", choices.alias("choices"), blocks.alias("blocks"))
+
+
+@query("l3_completions", "SELECT event_id, 't' || event_id AS c1, 'm-small' AS m1, (event_id % 100)::INT AS i1, (event_id % 10)::INT AS o1, 'stop' AS f1, 'a' || event_id AS c2, 'm-large' AS m2, event_id::INT AS i2, 5::INT AS o2 FROM events")
+def l3(spark, d):
+    a, b = analysis.completion(F.col("choices"), "choices"), analysis.completion(F.col("blocks"), "blocks")
+    return envelopes(spark, d).select("event_id", a["content"].alias("c1"), a["model"].alias("m1"), a["input_tokens"].alias("i1"), a["output_tokens"].alias("o1"), a["finish"].alias("f1"), b["content"].alias("c2"), b["model"].alias("m2"), b["input_tokens"].alias("i2"), b["output_tokens"].alias("o2"))
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """Landed answers of three providers about each listing, two attempts each."""
+    k, e = F.col("l_orderkey"), views.table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    p = e.withColumn("priority", F.explode(F.sequence(F.lit(1), F.lit(3)))).withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    code = (k * 7 + F.col("priority") * 3 + F.col("attempt")) % 5
+    status = F.when(code == 0, 200).when(code == 1, 429).when(code == 2, 500).when(code == 3, 401).otherwise(200)
+    return p.select(k.cast("string").alias("listing_id"), F.concat(F.lit("p"), F.col("priority").cast("string")).alias("provider"), "priority", (F.col("priority") != 2).alias("enabled"), "attempt", status.cast("int").alias("http_status"), (code == 0).alias("valid"), F.lit("m-small").alias("model"), F.lit(1000).alias("input_tokens"), F.lit(200).alias("output_tokens"))
+
+
+_resp = "r AS (SELECT o_orderkey::VARCHAR AS listing_id, p AS priority, a AS attempt, (o_orderkey * 7 + p * 3 + a) % 5 AS code FROM orders, range(1, 4) t(p), range(1, 3) u(a))"
+
+
+@query("l4_first_valid", f"WITH {_resp}, off AS (SELECT listing_id, priority, min(attempt) AS off FROM r WHERE code = 3 GROUP BY ALL) SELECT listing_id, 'p' || priority AS provider, attempt::INT AS attempt FROM r LEFT JOIN off USING (listing_id, priority) WHERE priority <> 2 AND code = 0 AND (off IS NULL OR attempt < off) QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY priority, attempt) = 1")
+def l4(spark, d):
+    return analysis.first_valid(responses(spark, d)).select("listing_id", "provider", "attempt")
+
+
+_cost = "CASE WHEN code IN (0, 4) THEN (1000 * 0.15::DOUBLE + 200 * 0.6::DOUBLE) / 1000000 ELSE 0 END"
+
+
+@query("a8_usage", f"WITH {_resp} SELECT count(*) AS calls, count(*) FILTER (code NOT IN (0, 4)) AS errors, sum(CASE WHEN code IN (0, 4) THEN 1000 ELSE 0 END)::BIGINT AS input_tokens, sum(CASE WHEN code IN (0, 4) THEN 200 ELSE 0 END)::BIGINT AS output_tokens, round(sum({_cost}), 6) AS cost FROM r")
+def a8(spark, d):
+    prices = spark.createDataFrame([("m-small", 0.15, 0.6)], "model string, price_in double, price_out double")
+    return tables.usage(tables.with_prices(responses(spark, d), prices, (1.0, 3.0)))
+
+
+@query("j7_prices", "SELECT event_id, round((event_id * CASE WHEN event_id % 2 = 0 THEN 0.15::DOUBLE ELSE 1.0 END + 10 * CASE WHEN event_id % 2 = 0 THEN 0.6::DOUBLE ELSE 3.0 END) / 1000000, 9) AS cost FROM events")
+def j7(spark, d):
+    calls = views.table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "m-small").otherwise("m-new").alias("model"), F.col("event_id").alias("input_tokens"), F.lit(10).alias("output_tokens"))
+    prices = spark.createDataFrame([("m-small", 0.15, 0.6)], "model string, price_in double, price_out double")
+    return tables.with_prices(calls, prices, (1.0, 3.0)).select("event_id", F.round("cost", 9).alias("cost"))
+
+
+@query("l6_gate", q.scored("SELECT seq FROM scored WHERE score >= 25"))
+def l6(spark, d):
+    from tessera.registry.scoring import scored
+
+    return scored(spark, d).where("score >= 25").select("seq")
+
+
+@query("l7_tool_calls", "SELECT event_id, 'search' AS name, '{\"n\":' || event_id || '}' AS arguments FROM events WHERE event_id % 2 = 0")
+def l7(spark, d):
+    call = F.struct(F.struct(F.lit("search").alias("name"), F.concat(F.lit('{"n":'), F.col("event_id").cast("string"), F.lit("}")).alias("arguments")).alias("function"))
+    body = F.to_json(F.struct(F.array(F.struct(F.struct(F.when(F.col("event_id") % 2 == 0, F.array(call)).alias("tool_calls")).alias("message"))).alias("choices")))
+    return views.table(spark, d, "events").select("event_id", F.inline(analysis.tool_calls(body)))
+
+
+@query("f22_flat_analysis", f"SELECT doc_id, coalesce(CASE WHEN {_shape} < 5 THEN 5 END, 0)::INT AS stars, coalesce(CASE WHEN {_shape} < 5 THEN 's' || doc_id END, '') AS summary FROM documents")
+def f22(spark, d):
+    out = analysis.checked(replies(spark, d).select("doc_id", analysis.repaired(F.col("raw")).alias("reply")))
+    return out.select("doc_id", F.coalesce("stars", F.lit(0)).alias("stars"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+@query("f24_models", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'm-small' WHEN 1 THEN 'm-large' ELSE 'own' END AS model FROM events")
+def f24(spark, d):
+    names = spark.createDataFrame([("small", "m-small"), ("", "m-large")], "alias string, full string")
+    k = F.col("event_id")
+    asked = views.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, "small").when(k % 3 == 1, "").otherwise("own").alias("alias"))
+    return asked.join(names, "alias", "left").select("event_id", F.coalesce("full", "alias").alias("model"))
+
+
+@query("f25_prompt", q.listings("SELECT seq, 'Tytuł: ' || title || chr(10) || 'Opis: ' || CASE WHEN trim(raw_description) = '' THEN 'brak danych' ELSE left(raw_description, 1500) END || chr(10) || 'Cena: brak danych' || chr(10) || 'Lokalizacja: ' || city || chr(10) || 'Powierzchnia: ' || coalesce(area::INT::VARCHAR, 'brak danych') AS prompt FROM listings"))
+def f25(spark, d):
+    return views.listings(spark, d).select("seq", analysis.prompt(F.col("title"), F.col("raw_description"), F.lit(None).cast("string"), F.col("city"), F.col("area").cast("int").cast("string")).alias("prompt"))
+
+
+@query("t5_backoff", "SELECT event_id, least(30.0::DOUBLE, 1.0 * pow(2.0, event_id % 8)) AS seconds FROM events")
+def t5(spark, d):
+    return views.table(spark, d, "events").select("event_id", analysis.backoff(F.col("event_id") % 8 + 1).alias("seconds"))
+
+
+# --- conversations and events ---
+@query("w2_last_messages", "SELECT conv_id, turn, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def w2(spark, d):
+    return conversation.last_messages(views.table(spark, d, "conversations"), 3).select("conv_id", "turn", "text")
+
+
+@query("w2_latest_users", "SELECT conv_id, turn FROM conversations WHERE conv_id IN (SELECT conv_id FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 100)")
+def w2_users(spark, d):
+    df = views.table(spark, d, "conversations")
+    return conversation.latest_users(df.withColumn("first_turn", F.col("conv_id")), 100).select("conv_id", "turn")
+
+
+@query("w3_within_budget", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER w AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE s <= 400 OR n <= 2")
+def w3(spark, d):
+    return conversation.within_budget(views.table(spark, d, "conversations"), 400).select("conv_id", "turn")
+
+
+_throttle = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f(user_id, event_id, n, last, allowed) AS (
+  SELECT user_id, event_id, n, t, TRUE FROM e WHERE n = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - f.last >= 3600000000 THEN e.t ELSE f.last END, e.t - f.last >= 3600000000 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT event_id, allowed FROM f"""
+
+
+@query("t1_throttled", _throttle)
+def t1(spark, d):
+    return throttle.throttled(views.table(spark, d, "events"), 3600.0).select("event_id", "allowed")
+
+
+@query("t2_forgotten", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING date_diff('second', max(ts), (SELECT max(ts) FROM events)) <= 3600 * 24")
+def t2(spark, d):
+    e = views.table(spark, d, "events")
+    now = e.agg(F.max("ts").alias("_now"))
+    return throttle.forgotten(e.join(F.broadcast(now), F.lit(True)).select("user_id", "ts"), F.lit(e.agg(F.max("ts")).first()[0]), 3600 * 24)
+
+
+@query("ext_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def windowed(spark, d):
+    return throttle.windowed_counts(views.table(spark, d, "events")).withColumn("total", F.round("total", 4))

@@ -26,7 +26,7 @@ def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts:
     from pyspark.sql import Window
 
     w = Window.partitionBy(user).orderBy(ts, key)
-    t = F.unix_micros(ts)
+    t = F.unix_micros(F.col(ts).cast("timestamp"))
     us = int(limit * 1_000_000)
     cut = F.coalesce((t - F.lag(t).over(w)) >= us, F.lit(True)).cast("int")
     runs = events.withColumn("_t", t).withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w))
