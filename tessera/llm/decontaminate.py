@@ -85,7 +85,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, keep: list[str] | None = No
     found = windows.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("k"), asc=False).alias("ks")).first()
     ks, small = found.ks, found.n <= broadcast_windows
     few = F.broadcast if small else lambda df: df
-    docs = docs.withColumn("_row", F.monotonically_increasing_id()) if small else ws.keep(docs.select(*keep, "text").withColumn("_row", F.monotonically_increasing_id()), "documents")
+    docs = docs.withColumn("_row", F.monotonically_increasing_id()) if small else ws.keep(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_row", F.monotonically_increasing_id()), "documents")
     keep = ["_row", *keep]
     mark = 0
     shingles = windows.withColumn("_h", word_hashes("w")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))).alias("off"))
