@@ -7,12 +7,12 @@ their signatures, BATCH minima at a time: with m of n equal, the similarity's po
 prior is Beta(m + 1, n - m + 1), and a pair is out once it exceeds the threshold with a probability under
 MISS. What survives is compared on the full sets.
 
-No bucket is ever turned into all its pairs. In a round, each bucket picks hubs and pairs them with its
-other members; pairs that the sets confirm join components. A hub then leaves its bucket, where it has met
-everyone; a bucket with one component left is done. A bucket that stays large with several components
-is dealt anew by its members' other bands (a pair at the threshold misses those with the same
-probability as the first time), which parts what only shares a passage. Rounds go on until no bucket is
-left, so every pair of a bucket was compared or is connected.
+No bucket is ever turned into all its pairs. First, the member that shares most buckets is paired with the
+others, and pairs that the sets confirm join components. Where a bucket then still holds several components,
+the texts outside its largest one are the queries of that component's region, and are compared with all its
+texts on full sets, in blocks of both. Before that, the shingles of these texts are counted: what a text shares
+with no other bounds its similarity to each exactly, so those that can't reach the threshold are out. So every
+pair of a bucket is compared, excluded by its bound, or connected.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text of fewer words
 than a shingle is one shingle; rows with a null doc_id are left out, as a component is named by a
@@ -37,15 +37,15 @@ from pyspark.sql import types as T
 from tessera.llm.common import LOWER, Workspace, per_document
 from tessera.llm.components import roots
 
-BANDS, ROWS, BATCH, MISS = 64, 8, 32, 1e-6
-#: Minima that the screening compares, of which 16 bits are kept.
-SCREENED = 256
-#: A bucket with more members, in several components, is dealt anew; hubs in later rounds.
-LARGE, HUBS = 64, 8
+BANDS, ROWS, BATCH, MISS = 64, 8, 64, 1e-5
+#: Minima that the screening compares. Of each, 8 bits are kept: chance agreement only makes it milder.
+SCREENED = 512
+#: Texts in a block of the last comparison.
+BLOCK = 512
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 RANDOM = np.random.RandomState(20240229)
-MULTIPLY = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) << np.uint64(32) | RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
-ADD = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) << np.uint64(32) | RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64)
+MULTIPLY = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
+FLIP = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -67,26 +67,26 @@ def shingles(raw: bytes, k: int) -> np.ndarray:
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """One minimum for each hash function, 32 bits."""
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(s), 256):
-        x = (s[at : at + 256, None] * MULTIPLY[None] + ADD[None]) >> np.uint64(32)
-        out = np.minimum(out, x.min(0).astype(np.uint32))
+    """One minimum for each hash function: an odd multiple of a hash's upper half, with bits flipped."""
+    x, out = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 256):
+        y = x[at : at + 256, None] * MULTIPLY
+        y ^= FLIP
+        np.minimum(out, y.min(0), out=out)
     return out
 
 
 def sketch(raw: bytes, k: int) -> tuple:
+    """Size and key of a text's set, its bands and the minima for screening; all but the size null without shingles."""
     s = shingles(raw, k)
-    return len(s), xxhash.xxh128_digest(s.tobytes()) if len(s) else None
-
-
-def signature(raw: bytes, k: int) -> tuple:
-    m = minima(shingles(raw, k))
+    if not len(s):
+        return 0, None, None, None
+    m = minima(s)
     rows = m.reshape(BANDS, ROWS)
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * C
     for j in range(ROWS):
         h = mix64(h * A + rows[:, j] + B)
-    return h.view(np.int64).tolist(), m[:SCREENED].astype(np.uint16).tobytes()
+    return len(s), xxhash.xxh128_digest(s.tobytes()), h.view(np.int64).tolist(), m[:SCREENED].astype(np.uint8).tobytes()
 
 
 def least_equal(threshold: float, miss: float) -> list[int]:
@@ -107,7 +107,7 @@ def least_equal(threshold: float, miss: float) -> list[int]:
 
 def screen(batches: Iterator[pd.DataFrame], least: list[int]) -> Iterator[pd.DataFrame]:
     for df in batches:
-        left, right = (np.frombuffer(b"".join(df[c]), np.uint16).reshape(-1, SCREENED) for c in ("sa", "sb"))
+        left, right = (np.frombuffer(b"".join(df[c]), np.uint8).reshape(-1, SCREENED) for c in ("sa", "sb"))
         alive, equal = np.arange(len(df)), np.zeros(len(df), np.int64)
         for i, m in enumerate(least):
             part = slice(i * BATCH, (i + 1) * BATCH)
@@ -132,57 +132,97 @@ def confirmed(ws: Workspace, pairs: DataFrame, sigs: DataFrame, texts: DataFrame
 def connected(ws: Workspace, sigs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """node, comp of classes that are linked with another one. sigs: doc_id, bands, sig; texts: doc_id, text."""
     rows = sigs.select(F.col("doc_id").alias("member"), F.explode("bands").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("member").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "hub")
-    active = ws.keep(rows.join(hubs, "bucket").where("member <> hub").select("bucket", "hub", "member"), "stars")
-    links = confirmed(ws, active.select(F.col("hub").alias("a"), F.col("member").alias("b")).distinct(), sigs, texts, k, percent)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    active = ws.keep(rows.join(sizes, "bucket"), "shared")
+    # who shares buckets with many is likely the text that the others were made from, so it makes the best hub
+    weight = ws.keep(active.groupBy("member").agg(F.sum("n").alias("weight")), "weights")
+    best = active.join(weight, "member").groupBy("bucket").agg(F.max(F.struct("weight", -F.col("member"))).alias("h")).select("bucket", (-F.col("h.col2")).alias("hub"))
+    stars = active.join(best, "bucket").where("member <> hub").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
+    links = confirmed(ws, stars, sigs, texts, k, percent)
     comp = roots(ws, links)
-    dealt = 0
-    rest = active.select("bucket", "member")
-    while True:
-        # members with their components; buckets with a single one are done
-        named = rest.join(comp.select(F.col("node").alias("member"), "comp"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp"))
-        named = ws.keep(named, "members")
-        size = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("bucket", "n")
-        size = ws.keep(size, "buckets")
-        if size.isEmpty():
-            return comp
-        ws.drop(active)
-        if dealt < 3 and not size.where(F.col("n") > LARGE).isEmpty():
-            dealt += 1
-            big = named.join(size.where(F.col("n") > LARGE), "bucket").select("bucket", "member")
-            again = big.join(sigs.select(F.col("doc_id").alias("member"), "bands"), "member").select("member", F.explode(F.transform("bands", lambda x: F.xxhash64("bucket", x))).alias("bucket"))
-            finer = ws.keep(again, "finer")
-            shared = finer.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-            small = named.join(size.where(F.col("n") <= LARGE), "bucket").select("bucket", "member")
-            active = ws.keep(small.unionByName(finer.join(shared, "bucket").select("bucket", "member")), "members")
-            ws.drop(named, size, finer)
-            rest = active
-            continue
-        live = ws.keep(named.join(size, "bucket").withColumn("slot", F.pmod(F.xxhash64("member", "bucket"), F.lit(HUBS))), "live")
-        picked = ws.keep(live.groupBy("bucket", "slot").agg(F.min(F.struct("member", "comp")).alias("h")).select("bucket", F.col("h.member").alias("hub"), F.col("h.comp").alias("hub_comp")), "hubs")
-        pairs = live.join(picked, "bucket").where("comp <> hub_comp").select(F.least("hub", "member").alias("a"), F.greatest("hub", "member").alias("b")).distinct()
-        more = confirmed(ws, pairs, sigs, texts, k, percent)
-        grown = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("_b")), "b", "left")
-        merged = roots(ws, grown.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
-        if not merged.isEmpty():
-            up = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-            comp = ws.keep(comp.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")).unionByName(merged.join(comp.select("node"), "node", "left_anti")), "components")
-        active = ws.keep(live.join(picked.select("bucket", F.col("hub").alias("member")), ["bucket", "member"], "left_anti").select("bucket", "member"), "members")
-        ws.drop(named, size, live, picked)
-        rest = active
+    # buckets that still hold several components; a largest one gives the bucket's region its name
+    named = ws.keep(active.select("bucket", "member").join(comp.select(F.col("node").alias("member"), "comp"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp")), "members")
+    parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).where("n > major.n").select("bucket", F.col("major.comp").alias("region"))
+    live = ws.keep(named.join(open_, "bucket").select("region", "member", "comp").distinct(), "live")
+    sets = shared_shingles(ws, live, texts, k, percent)
+    live = ws.keep(live.join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi").select("region", "member", "comp", (F.col("comp") != F.col("region")).alias("asks")), "live")
+    more = ws.keep(across(live, sets, percent), "links")
+    grown = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("_b")), "b", "left")
+    merged = roots(ws, grown.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    up = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
+    ws.drop(active, named)
+    return ws.keep(comp.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")).unionByName(merged.join(comp.select("node"), "node", "left_anti")), "components")
+
+
+def across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, of each region's asking texts with all its texts, on full sets, in blocks.
+
+    Both sides are dealt into blocks of about BLOCK texts by a hash; a task gets one block of each side, so a
+    region of any size is shared out, and rows grow with its texts times its blocks. Of a text's links to one
+    component, one a block is returned.
+    """
+    total = live.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("asking")).where("asking > 0")
+    rows = live.join(total, "region").join(sets.withColumnRenamed("doc_id", "member"), "member")
+    spread = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    told = rows.select("region", spread("blocks").alias("block"), every("asking").alias("ask"), F.lit(False).alias("asks"), "member", "comp", "s")
+    asked = rows.where("asks").select("region", every("blocks").alias("block"), spread("asking").alias("ask"), F.lit(True).alias("asks"), "member", "comp", "s")
+    kind = live.schema["member"].dataType.simpleString()
+    return told.unionByName(asked).groupBy("region", "block", "ask").applyInPandas(lambda df: compare(df, percent), f"a {kind}, b {kind}")
+
+
+def compare(df: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Of a group's asking rows and its others: pairs of different components whose sets are similar enough."""
+    asks = df["asks"].to_numpy(bool)
+    out: list[tuple] = []
+    if asks.any() and not asks.all():
+        (qi, qc, qs), (mi, mc, ms) = ((g["member"].to_numpy(), g["comp"].to_numpy(), list(g["s"])) for g in (df[asks], df[~asks]))
+        size = lambda sets: np.array([len(x) for x in sets])
+        row = lambda sets: np.repeat(np.arange(len(sets)), size(sets))
+        qh, mh = np.concatenate(qs), np.concatenate(ms)
+        shared = np.intersect1d(qh, mh)
+        same = np.zeros((len(qs), len(ms)), np.float32)
+        where = [(np.searchsorted(shared, h), r) for h, r in ((qh, row(qs)), (mh, row(ms)))]
+        hit = [shared[np.minimum(at, len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool) for (at, _), h in zip(where, (qh, mh), strict=True)]
+        for lo in range(0, len(shared), 4096):  # so many shingles at a time: products of two 0/1 matrices
+            m = []
+            for (at, r), ok, n in zip(where, hit, (len(qs), len(ms)), strict=True):
+                x, use = np.zeros((n, min(4096, len(shared) - lo)), np.float32), ok & (at >= lo) & (at < lo + 4096)
+                x[r[use], at[use] - lo] = 1
+                m.append(x)
+            same += m[0] @ m[1].T
+        linked = (100 * same >= percent * (size(qs)[:, None] + size(ms)[None] - same)) & (qc[:, None] != mc[None])
+        seen = set()
+        for i, j in zip(*np.nonzero(linked), strict=True):
+            if (i, mc[j]) not in seen:
+                seen.add((i, mc[j]))
+                out.append((qi[i], mi[j]))
+    return pd.DataFrame(out, columns=["a", "b"])
+
+
+def shared_shingles(ws: Workspace, live: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id and set of the live texts that can be similar enough to another live text.
+
+    A text shares no more with another than the shingles that any other live text has, which bounds its
+    similarity exactly. A shingle of one text only is counted for that text, so the hashes are grouped and never joined.
+    """
+    wanted = live.select(F.col("member").alias("doc_id")).distinct()
+    sets = ws.keep(per_document(texts.join(wanted, "doc_id", "left_semi"), ["doc_id"], [T.StructField("s", T.ArrayType(T.LongType()))], lambda raw: (shingles(raw, k).view(np.int64).tolist(),)), "sets")
+    once = sets.select("doc_id", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
+    return ws.keep(sets.join(once, "doc_id", "left").where(100 * (F.size("s") - F.coalesce("own", F.lit(0))) >= percent * F.size("s")).select("doc_id", "s"), "sets")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     ws = Workspace(docs.sparkSession, "neardup")
     texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType())]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     sets = ws.keep(per_document(texts, ["doc_id"], fields, partial(sketch, k=shingle)), "sets")
     # a class: equal sets. Copies meet on the map side, so a class of many sends one row a task
     classes = ws.keep(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
-    made = per_document(texts.join(reps, "doc_id", "left_semi"), ["doc_id"], [T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())], partial(signature, k=shingle))
-    sigs = ws.keep(made, "signatures")
+    reps = classes.select(F.col("rep").alias("doc_id"), "key")
+    sigs = ws.keep(sets.join(reps, ["doc_id", "key"], "left_semi").select("doc_id", "bands", "sig"), "signatures")
     comp = connected(ws, sigs, texts, shingle, percent)
     named = ws.keep(classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id")), "named")
     ws.drop(sigs, classes)
