@@ -158,7 +158,7 @@ def test_page_past_the_end(spark):
 
 
 def events(spark):
-    t = pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:00.6", "2024-01-01 00:00:01.2", "2024-01-01 00:00:01.9", "2024-01-01 00:00:02.3"])
+    t = pd.to_datetime(["2024-01-01 00:00:00", "2024-01-01 00:00:00.6", "2024-01-01 00:00:01.2", "2024-01-01 00:00:01.9", "2024-01-01 00:00:02.3"], format="ISO8601")
     return spark.createDataFrame(pd.DataFrame({"event_id": range(5), "user_id": [1] * 5, "ts": t}))
 
 
