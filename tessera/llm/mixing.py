@@ -1,6 +1,6 @@
 """Mixing domains to target weights by soft membership.
 
-A classifier learnt from a table of labelled documents gives every document a posterior over domains:
+A classifier learnt from a sample of at most SAMPLE labelled documents gives every document a posterior over domains:
 naive Bayes over the presence of hashed tokens (words, runs of marks, and how repetitive the text is),
 on the tokens that set the domains apart most. Then each document gets a rate, how often it should occur
 in the mixture. Rates start at 1, stay between 0 and a limit, and are fitted by projected gradient steps on the least squares of the
@@ -30,6 +30,8 @@ ANCHOR = "good"
 BUCKETS, CHOSEN, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 120, 0.5, 20.0, 20, 1e-4
 #: Tokens that a larger share of the labelled documents has tell their length rather than their domain.
 COMMON = 0.1
+#: Labelled documents that the classifier is fitted on, at most (give or take the chance of a hash): their ids are broadcast.
+SAMPLE = 20_000
 #: Words, or runs of marks; a long run counts by its first three.
 TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\s\x{80}-\x{10FFFF}]{1,3}"
 
@@ -122,7 +124,11 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     ws, domains = Workspace(docs.sparkSession, "mixing"), list(targets)
     feats = ws.keep(features(docs), "features")
     clear = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other")
-    prior, chosen = weights(feats.select("doc_id", "buckets").join(clear.select("doc_id", "domain"), "doc_id"), domains)
+    # a bounded sample by a hash of the id, so that no document's tokens are shuffled to meet their label
+    clear = ws.keep(clear.select("doc_id", "domain"), "labels")
+    share = SAMPLE / max(clear.count(), SAMPLE)
+    sample = clear.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000))
+    prior, chosen = weights(feats.select("doc_id", "buckets").join(F.broadcast(sample), "doc_id"), domains)
     members = ws.keep(posteriors(feats, prior, ws.keep(chosen, "tokens")), "members")
     steps = fit(members, list(targets.values()), domains.index(anchor) if anchor else None, most)
     ws.drop(feats)
