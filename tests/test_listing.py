@@ -168,7 +168,9 @@ def test_throttle_counts_from_the_last_allowed(spark):
 
 def test_throttle_stream(spark, tmp_path):
     events(spark).coalesce(1).write.parquet(str(tmp_path / "in"))
+    # a timeout by processing time would ask for batches without data for ever
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = spark.readStream.schema(events(spark).schema).parquet(str(tmp_path / "in"))
     q = throttle.throttled_stream(stream, 1.0).writeStream.format("memory").queryName("thr").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(60)
     assert [r.allowed for r in spark.table("thr").orderBy("event_id").collect()] == [True, False, True, False, True]
