@@ -37,15 +37,17 @@ from pyspark.sql import types as T
 from tessera.llm.common import LOWER, Workspace, per_document
 from tessera.llm.components import roots
 
-BANDS, ROWS, BATCH, MISS = 64, 8, 64, 1e-5
+BANDS, ROWS, BATCH, MISS = 50, 7, 70, 1e-5
 #: Minima that the screening compares. Of each, 8 bits are kept: chance agreement only makes it milder.
-SCREENED = 512
+SCREENED = BANDS * ROWS
 #: Texts in a block of the last comparison.
 BLOCK = 512
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 RANDOM = np.random.RandomState(20240229)
+#: Odd multipliers of the minima and of the rows of a band.
 MULTIPLY = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-FLIP = RANDOM.randint(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+ROW = RANDOM.randint(0, 1 << 63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * C
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -59,20 +61,19 @@ def shingles(raw: bytes, k: int) -> np.ndarray:
     words = raw.translate(LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    k, out = min(k, len(words)), np.zeros(max(1, len(words) - k + 1), np.uint64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), ">u8").astype(np.uint64)
+    k, out = min(k, len(h)), np.zeros(max(1, len(h) - k + 1), np.uint64)
     for j in range(k):
-        out = mix64(out * A + h[j : len(h) - k + 1 + j] + B)
-    return np.unique(out)
+        out = out * A + h[j : len(h) - k + 1 + j]
+    out = np.sort(mix64(out * A + np.full(1, k, np.uint64) * B))
+    return out[np.append(True, out[1:] != out[:-1])]
 
 
 def minima(s: np.ndarray) -> np.ndarray:
-    """One minimum for each hash function: an odd multiple of a hash's upper half, with bits flipped."""
+    """One minimum for each hash function, an odd multiple of a hash's upper half."""
     x, out = (s >> np.uint64(32)).astype(np.uint32), np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 256):
-        y = x[at : at + 256, None] * MULTIPLY
-        y ^= FLIP
-        np.minimum(out, y.min(0), out=out)
+    for at in range(0, len(x), 128):
+        np.minimum(out, (x[at : at + 128, None] * MULTIPLY).min(0), out=out)
     return out
 
 
@@ -82,10 +83,7 @@ def sketch(raw: bytes, k: int) -> tuple:
     if not len(s):
         return 0, None, None, None
     m = minima(s)
-    rows = m.reshape(BANDS, ROWS)
-    h = np.arange(1, BANDS + 1, dtype=np.uint64) * C
-    for j in range(ROWS):
-        h = mix64(h * A + rows[:, j] + B)
+    h = mix64((mix64(m.astype(np.uint64)).reshape(BANDS, ROWS) * ROW).sum(1, dtype=np.uint64) + BAND)
     return len(s), xxhash.xxh128_digest(s.tobytes()), h.view(np.int64).tolist(), m[:SCREENED].astype(np.uint8).tobytes()
 
 
