@@ -29,7 +29,9 @@ BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 #: Label, keyword, name as a regular expression, versions, does the bare name count.
 FAMILIES = [
     ("apache", "apache", r"apache(?: software)?", ["1 0", "1 1", "2 0"], False),
-    ("mit", "mit", r"(?:mit|x11|expat)", [], False),
+    ("mit", "mit", r"mit", [], False),
+    ("mit", "x11", r"x11", [], False),
+    ("mit", "expat", r"expat", [], False),
     ("bsd", "bsd", r"(?:(?:new|modified|simplified|free|original) )?bsd", ["0 clause", "1 clause", "2 clause", "3 clause", "4 clause"], False),
     ("gpl", "general public", r"(?:gnu )?general public", ["1", "2", "3"], True),
     ("lgpl", "general public", r"(?:gnu )?(?:lesser|library) general public", ["2", "2 1", "3"], True),
@@ -88,7 +90,8 @@ NOTICES = [
     ("copyright", "copyright", r"copyright (?:c |by |the )+[^ ]+"),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|software|information)"),
     ("proprietary", "confidential", r"confidential and proprietary"),
-    ("proprietary", "consent", r"without (?:the )?(?:prior|express) written (?:consent|permission)"),
+    ("proprietary", "consent", r"without (?:the )?(?:prior|express) written consent"),
+    ("proprietary", "permission", r"without (?:the )?(?:prior|express) written permission"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", "cc0", r"cc0(?: 1 0)?"),
     ("mit", "permission is hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -116,7 +119,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, in order of priority."""
+    """All rules, in order of priority. A family whose names share no keyword has a row for each, and its other rules once."""
     out = []
     for label, key, name, versions, bare in FAMILIES:
         out.append(Rule(label, key, rf"{GRANT}{name}(?:{CALLED})?", 20, label))
@@ -137,7 +140,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, "creative", rf"creative commons {words}", 30, "cc"))
         out.append(Rule(label, "creative", rf"creativecommons org licenses {terms}", 8, "cc"))
     out += [Rule(label, key, pattern, 25, label) for label, key, pattern in NOTICES]
-    return sorted(out, key=lambda r: r.priority)
+    return sorted(dict.fromkeys(out), key=lambda r: r.priority)
 
 
 class Scanner:

@@ -101,6 +101,38 @@ def test_license_suppression():
     assert [r.label for _, _, r in found] == ["lgpl-3"]
 
 
+def shortest(pattern):
+    """Every text of a pattern's alternatives, with optional parts left out and sets and repeats as an underscore."""
+
+    def texts(parsed):
+        out = [""]
+        for op, arg in parsed:
+            name = str(op)
+            if name == "LITERAL":
+                more = [chr(arg)]
+            elif name == "SUBPATTERN":
+                more = texts(arg[-1])
+            elif name == "BRANCH":
+                more = [t for part in arg[1] for t in texts(part)]
+            elif name == "MAX_REPEAT":
+                more = [""] if arg[0] == 0 else texts(arg[2])
+            else:
+                more = ["_"]
+            out = [a + b for a in out for b in more]
+        return out
+
+    return texts(re._parser.parse(pattern))
+
+
+def test_license_keywords_are_in_every_alternative():
+    assert [(r.keyword, t) for r in licenses.rules() for t in shortest(r.pattern) if r.keyword not in t] == []
+
+
+@pytest.mark.parametrize(("text", "label"), [("x11 license", "mit"), ("licensed under the expat license", "mit"), ("MIT License", "mit"), ("without prior written permission", "proprietary"), ("without the express written consent", "proprietary")])
+def test_license_of_a_lone_phrase(text, label):
+    assert licenses.scan(text.encode(), licenses.Scanner(licenses.rules()))[5] == label
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
