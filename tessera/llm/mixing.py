@@ -3,7 +3,7 @@
 A classifier learnt from a sample of at most SAMPLE labelled documents gives every document a posterior over domains:
 naive Bayes over the presence of hashed tokens (words, runs of marks, and how repetitive the text is),
 on the tokens that set the domains apart most. Then each document gets a rate, how often it should occur
-in the mixture. Rates start at 1, stay between 0 and a limit, and are fitted by projected gradient steps on the least squares of the
+in the mixture. Rates start at 1, aren't negative nor above a limit if one is given, and are fitted by projected gradient steps on the least squares of the
 domains' expected token totals against their targets. In the metric in which a
 document weighs its tokens and residuals are whitened, a step subtracts p . y from a rate, where p is the
 posterior and y the whitened residual of the last totals; so a pass over the data is one aggregation to as
@@ -76,7 +76,7 @@ def posteriors(feats: DataFrame, prior: list[float], chosen: DataFrame) -> DataF
 
 
 def rate(steps: list[np.ndarray], most: float) -> Column:
-    """1, less p . y for each step in turn, kept between 0 and most."""
+    """1, less p . y for each step in turn, kept between 0 and most (which may be infinite)."""
     r = F.lit(1.0)
     if steps:
         ys = F.array(*(F.array(*(F.lit(float(v)) for v in y)) for y in steps))
@@ -103,7 +103,8 @@ def fit(members: DataFrame, targets: list[float], anchor: int | None, most: floa
         g[i, j] = g[j, i] = v
     share = np.array(targets) / sum(targets)
     want = share * (now[anchor] / share[anchor] if anchor is not None else now.sum())
-    want = np.minimum(want, most * now)  # no rates give a domain more
+    if np.isfinite(most):
+        want = np.minimum(want, most * now)  # no rates give a domain more
     whiten = np.linalg.pinv(g, rcond=1e-9)
     done: list[np.ndarray] = []
     for _ in range(steps):
@@ -114,10 +115,11 @@ def fit(members: DataFrame, targets: list[float], anchor: int | None, most: floa
     return done
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = 2.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = np.inf, seed: int = 7) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies for each row of docs(doc_id, text); labelled(doc_id, domain).
 
-    most: the largest rate, at least 1; a domain's target is at most so many times its total.
+    most: the largest rate, at least 1; with one, a domain whose target is more than so many times its total misses it.
+    Without, every domain that has tokens can meet its target.
     anchor: the domain whose total stays as it is; None: the total of all. copies: the rate, rounded up or
     down by a hash of doc_id, so that its expectation is the rate.
     """

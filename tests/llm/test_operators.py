@@ -325,3 +325,15 @@ def test_mixing(spark, odd, empty):
     assert mixing.mix(odd, known).count() == len(ODD) and mixing.mix(empty, known).count() == 0
     alike = mixing.mix(odd, known.where("false")).first()
     assert alike.p_good == pytest.approx(1 / 3)
+
+
+def test_mixing_meets_the_target_of_a_rare_domain(spark):
+    """Toxic at 1% of the anchor's tokens has to be tripled, which a rate of at most 2 can't."""
+    texts = {"good": "plain words about the sea and hills", "junk": "### buy now ### click", "toxic": "idiot moron scum liar fool"}
+    docs = [(i, d, f"{texts[d]} {i % 97}") for i, d in enumerate(["good"] * 2000 + ["junk"] * 60 + ["toxic"] * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text string")
+    out = mixing.mix(df.drop("text").join(df.drop("domain"), "doc_id"), df.select("doc_id", "domain")).toPandas()
+    total = {d: (out.n_tokens * out.rate * out[f"p_{d}"]).sum() for d in mixing.TARGETS}
+    for d, share in mixing.TARGETS.items():
+        assert total[d] == pytest.approx(total["good"] * share / mixing.TARGETS["good"], rel=0.02), d
+    assert out.rate.max() > 2
