@@ -2,7 +2,7 @@
 
 A classifier learnt from a sample of at most SAMPLE labelled documents gives every document a posterior over domains:
 naive Bayes over the presence of hashed tokens (words, runs of marks, and how repetitive the text is),
-on the tokens that set the domains apart most. Then each document gets a rate, how often it should occur
+on all tokens whose documents are dealt over the domains otherwise than documents of their lengths are (SIGNIFICANT). Then each document gets a rate, how often it should occur
 in the mixture. Rates start at 1, aren't negative nor above a limit if one is given, and are fitted by projected gradient steps on the least squares of the
 domains' expected token totals against their targets. In the metric in which a
 document weighs its tokens and residuals are whitened, a step subtracts p . y from a rate, where p is the
@@ -16,6 +16,8 @@ target; without labelled rows posteriors are equal; repeated rows get equal rate
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,11 +27,12 @@ from tessera.llm.common import Workspace
 #: Domains and the share of tokens each should have.
 TARGETS = {"good": 0.96, "junk": 0.01, "toxic": 0.03}
 ANCHOR = "good"
-#: Hashed tokens, how many of them are used, the power of their evidence, the weight of a token's share in all
+#: Hashed tokens, the power of their evidence, the weight of a token's share in all
 #: domains in its share of one, most steps of the fit, and the residual (a share of all tokens) that ends it.
-BUCKETS, CHOSEN, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 120, 0.5, 20.0, 20, 1e-4
-#: Tokens that a larger share of the labelled documents has tell their length rather than their domain.
-COMMON = 0.1
+BUCKETS, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 0.5, 20.0, 20, 1e-4
+#: A token is used if its chi-square statistic has a smaller probability by chance: 1% that any of all buckets passes
+#: so (Bonferroni). The statistic isn't defined well for fewer documents than LEAST, which are not tested.
+SIGNIFICANT, LEAST = 0.01 / BUCKETS, 5
 #: Labelled documents that the classifier is fitted on, at most (give or take the chance of a hash): their ids are broadcast.
 SAMPLE = 20_000
 #: Words, or runs of marks; a long run counts by its first three.
@@ -46,19 +49,35 @@ def features(docs: DataFrame) -> DataFrame:
     return df.select("_row", "doc_id", F.col("n").cast("long").alias("n"), F.when(repeats.isNotNull(), F.concat("_d", F.array(F.least(repeats, F.lit(20)) + BUCKETS))).otherwise(F.col("_d")).alias("buckets"))
 
 
+def critical(freedom: int, p: float = SIGNIFICANT) -> float:
+    """The value that a chi-square variable exceeds with probability p (by Wilson and Hilferty's approximation)."""
+    v = 2 / (9 * max(freedom, 1))
+    return max(freedom, 1) * (1 - v + NormalDist().inv_cdf(1 - p) * v**0.5) ** 3
+
+
 def weights(labelled: DataFrame, domains: list[str]) -> tuple[list[float], DataFrame]:
-    """Log priors, and for each of the CHOSEN tokens the log of its lift in each domain if absent, and what presence adds."""
-    known = labelled.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()
-    n = {r.domain: r.n for r in known}
-    total = sum(n.values())
-    size = [n.get(d, 0) for d in domains]
+    """Log priors, and for each significant token the log of its lift in each domain if absent, and what presence adds.
+
+    What a token is expected to have in a domain is summed over its documents, by the domains of labelled documents
+    about as long (powers of 2): a token that only tells the length has a lift of 1, however common it is.
+    """
+    labelled = labelled.withColumn("length", F.floor(F.log2(F.col("n") + 1)).cast("int"))
+    known: dict[int, dict[str, int]] = {}
+    for r in labelled.groupBy("length", "domain").agg(F.count(F.lit(1)).alias("n")).collect():
+        known.setdefault(r.length, {})[r.domain] = r.n
+    size = [sum(x.get(d, 0) for x in known.values()) for d in domains]
+    total = sum(size)
     prior = [float(np.log((s + 1) / (total + len(domains)))) for s in size]
-    seen = labelled.select("domain", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)))
-    expected = [F.col("all") * (s / max(total, 1)) + 1e-9 for s in size]
-    spread = sum(((F.col(f"c{k}") - e) * (F.col(f"c{k}") - e) / e for k, e in enumerate(expected)), F.lit(0.0))
-    best = seen.where((F.col("all") >= 5) & (F.col("all") <= COMMON * total)).orderBy(spread.desc(), "bucket").limit(CHOSEN)
+    share = [{length: x.get(d, 0) / sum(x.values()) for length, x in known.items()} for d in domains]
+    due = [F.create_map(*(F.lit(v) for kv in sorted(x.items()) for v in kv))[F.col("length")] if x else F.lit(0.0) for x in share]
+    each = labelled.select("domain", *(e.alias(f"e{k}") for k, e in enumerate(due)), F.explode("buckets").alias("bucket"))
+    seen = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("all"), *(F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)), *(F.sum(f"e{k}").alias(f"e{k}") for k in range(len(domains))))
+    spread = sum(((F.col(f"c{k}") - F.col(f"e{k}")) * (F.col(f"c{k}") - F.col(f"e{k}")) / (F.col(f"e{k}") + 1e-9) for k in range(len(domains))), F.lit(0.0))
+    best = seen.where((F.col("all") >= LEAST) & (spread > critical(sum(s > 0 for s in size) - 1)))
     in_all = F.col("all") / (total + 1)
-    inside = [(F.col(f"c{k}") + SMOOTH * in_all) / (s + SMOOTH) for k, s in enumerate(size)]
+    # the share of a domain's documents: as in all, times the lift, and no more than if all that have the token were its own
+    lift = [(F.col(f"c{k}") + SMOOTH * in_all) / (F.col(f"e{k}") + SMOOTH * in_all) for k in range(len(domains))]
+    inside = [F.least(in_all * x, (s + SMOOTH * in_all) / (s + SMOOTH)) for s, x in zip(size, lift, strict=True)]
     absent = [F.log((1 - x) / (1 - in_all)) for x in inside]
     return prior, best.select("bucket", *(a.alias(f"a{k}") for k, a in enumerate(absent)), *((F.log(x / in_all) - a).alias(f"w{k}") for k, (x, a) in enumerate(zip(inside, absent, strict=True))))
 
@@ -130,7 +149,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     clear = ws.keep(clear.select("doc_id", "domain"), "labels")
     share = SAMPLE / max(clear.count(), SAMPLE)
     sample = clear.where(F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(1_000_000)) < int(share * 1_000_000))
-    prior, chosen = weights(feats.select("doc_id", "buckets").join(F.broadcast(sample), "doc_id"), domains)
+    prior, chosen = weights(feats.select("doc_id", "n", "buckets").join(F.broadcast(sample), "doc_id"), domains)
     members = ws.keep(posteriors(feats, prior, ws.keep(chosen, "tokens")), "members")
     steps = fit(members, list(targets.values()), domains.index(anchor) if anchor else None, most)
     ws.drop(feats)

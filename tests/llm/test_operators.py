@@ -329,11 +329,30 @@ def test_mixing(spark, odd, empty):
 
 def test_mixing_meets_the_target_of_a_rare_domain(spark):
     """Toxic at 1% of the anchor's tokens has to be tripled, which a rate of at most 2 can't."""
-    texts = {"good": "plain words about the sea and hills", "junk": "### buy now ### click", "toxic": "idiot moron scum liar fool"}
-    docs = [(i, d, f"{texts[d]} {i % 97}") for i, d in enumerate(["good"] * 2000 + ["junk"] * 60 + ["toxic"] * 30)]
+    texts = {"good": "plain words about the sea hills", "junk": "### buy now ### click here", "toxic": "idiot moron scum liar fool troll"}
+    docs = [(i, d, f"{texts[d]} {i % 97}") for i, d in enumerate(["good"] * 2000 + ["junk"] * 60 + ["toxic"] * 20)]
     df = spark.createDataFrame(docs, "doc_id long, domain string, text string")
     out = mixing.mix(df.drop("text").join(df.drop("domain"), "doc_id"), df.select("doc_id", "domain")).toPandas()
     total = {d: (out.n_tokens * out.rate * out[f"p_{d}"]).sum() for d in mixing.TARGETS}
     for d, share in mixing.TARGETS.items():
         assert total[d] == pytest.approx(total["good"] * share / mixing.TARGETS["good"], rel=0.02), d
     assert out.rate.max() > 2
+
+
+def test_mixing_uses_a_marker_that_a_third_of_the_rows_share(spark):
+    """The marker is all that sets a hot source apart, and more of the labelled documents have it than rare ones."""
+    rng = np.random.RandomState(3)
+    docs = [(i, "junk" if i % 3 == 0 else "good", " ".join(f"w{x}" for x in rng.randint(0, 300, rng.randint(20, 200))) + (" ###" if i % 3 == 0 else "")) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text string")
+    out = mixing.mix(df.select("doc_id", "text"), df.select("doc_id", "domain")).join(df.select("doc_id", "domain"), "doc_id").toPandas()
+    assert ((out.p_junk > 0.5) == (out.domain == "junk")).mean() > 0.99
+
+
+def test_mixing_learns_no_length(spark):
+    """Where one domain's documents are longer, words that all of that length have are no evidence."""
+    rng = np.random.RandomState(4)
+    text = lambda n: " ".join(f"w{x}" for x in rng.randint(0, 300, n))
+    docs = [(i, "good" if i % 2 else "junk", text(64 if i % 10 < 8 and i % 2 or i % 10 == 8 else 1000)) for i in range(1000)]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text string").withColumn("n", F.size(F.split("text", " ")))
+    labelled = mixing.features(df).join(df.select("doc_id", "domain"), "doc_id")
+    assert mixing.weights(labelled, list(mixing.TARGETS))[1].count() <= 5
