@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again.
+
+A stage decides row by row: a doc_id may be null or stand in several rows. Where verdicts are joined to documents, the key
+is a number of the row (ROW) in a copy of the stage's input that is written once, so that every reader sees the same numbers.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,12 @@ from tessera.llm import decontaminate, mixing, neardup, repetition, sharding
 from tessera.llm.common import Workspace, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW = "_number"
+
+
+def numbered(spark: SparkSession, docs: DataFrame, stage: str) -> DataFrame:
+    """docs with the number of each row, written."""
+    return Workspace(spark, stage).keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(ROW)), "numbered")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,27 +28,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, 0.8): the one that names it."""
-    groups = neardup.near_duplicates(docs, shingle=5, percent=80)
-    others = groups.where("NOT kept").select("doc_id").distinct()
-    one = docs.join(others, "doc_id", "left_anti")
-    # rows with a doc_id of their own stand once; a doc_id that is repeated keeps one row, those without one stay
-    numbered = one.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(F.first(c).alias(c) for c in COLUMNS[1:]))
-    return numbered.unionByName(one.where("doc_id IS NULL").select(*COLUMNS)).select(*COLUMNS)
+    """One document of each group of near-duplicates (five-word shingles, 0.8): the one with the least doc_id, null ids last."""
+    docs = numbered(spark, docs, "near")
+    groups = neardup.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), shingle=5, percent=80)
+    named = groups.select(F.col("doc_id").alias(ROW), "component_id").join(docs.select(ROW, "doc_id"), ROW)
+    one = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least"))
+    return docs.join(one.select(F.col(f"least.{ROW}").alias(ROW)), ROW, "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
-    bad = leaks.where(F.size("places") > 0).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    docs = numbered(spark, docs, "clean")
+    leaks = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=[ROW])
+    return docs.join(leaks.where(F.size("places") > 0).select(ROW), ROW, "left_anti").select(*COLUMNS)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as its rate says, which here is at most 1: clean ones stay, those of domains over their target mostly go."""
-    rates = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), most=1.0)
-    copies = rates.where("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.first("copies").alias("copies"))
-    return docs.join(copies, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*COLUMNS)
+    docs = numbered(spark, docs, "mix")
+    rates = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), most=1.0, row=ROW)
+    copies = rates.where("copies > 0").select(F.col("_row").alias(ROW), "copies")
+    return docs.join(copies, ROW).select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,10 +39,10 @@ SAMPLE = 20_000
 TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\s\x{80}-\x{10FFFF}]{1,3}"
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """_row, doc_id, n (words) and the distinct buckets of each document."""
+def features(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """_row (the column row, or else a number), doc_id, n (words) and the distinct buckets of each document."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("_t"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
+    df = docs.select("doc_id", (F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("_t"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("n"))
     df = df.withColumn("_d", F.array_distinct(F.transform("_t", lambda t: F.pmod(F.xxhash64(F.lower(t)), F.lit(BUCKETS)).cast("int"))))
     # three buckets beyond the tokens' tell how repetitive the text is, for its length
     repeats = F.when(F.col("n") > 20, F.floor(F.size("_d") / F.pow(F.size("_t"), F.lit(0.8)) * 4).cast("int"))
@@ -134,16 +134,17 @@ def fit(members: DataFrame, targets: list[float], anchor: int | None, most: floa
     return done
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = np.inf, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = np.inf, seed: int = 7, row: str | None = None) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies for each row of docs(doc_id, text); labelled(doc_id, domain).
 
     most: the largest rate, at least 1; with one, a domain whose target is more than so many times its total misses it.
     Without, every domain that has tokens can meet its target.
     anchor: the domain whose total stays as it is; None: the total of all. copies: the rate, rounded up or
-    down by a hash of doc_id, so that its expectation is the rate.
+    down by a hash of doc_id (of _row where it is null), so that its expectation is the rate.
+    row: a column of docs that tells its rows apart, which is _row then.
     """
     ws, domains = Workspace(docs.sparkSession, "mixing"), list(targets)
-    feats = ws.keep(features(docs), "features")
+    feats = ws.keep(features(docs, row), "features")
     clear = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other")
     # a bounded sample by a hash of the id, so that no document's tokens are shuffled to meet their label
     clear = ws.keep(clear.select("doc_id", "domain"), "labels")
@@ -153,7 +154,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGET
     members = ws.keep(posteriors(feats, prior, ws.keep(chosen, "tokens")), "members")
     steps = fit(members, list(targets.values()), domains.index(anchor) if anchor else None, most)
     ws.drop(feats)
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("_row", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    chance = F.pmod(own, F.lit(1 << 40)) / float(1 << 40)
     out = members.withColumn("rate", rate(steps, most))
     return out.select("doc_id", "_row", F.col("n").alias("n_tokens"), *(F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)), "rate", F.floor(F.col("rate") + chance).cast("int").alias("copies"))
 

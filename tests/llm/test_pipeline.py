@@ -30,3 +30,24 @@ def test_stages(spark):
 
 def test_run(spark):
     assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_null_and_repeated_ids(spark, monkeypatch):
+    """Each stage decides on rows: those without an id, and those that share one, are as any other."""
+    sf, stage = "/root/testdata/sf0.001", dict(cp.STAGES)
+    leak = max((r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()), key=lambda t: len((t or "").split()))
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    docs = [(None, text(1)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (8, text(5)), (None, text(5)), (9, text(6)), (9, text(7) + " " + leak), (None, text(8) + " " + leak)]
+    df = spark.createDataFrame([(i, t, "en", "src", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows = lambda x: sorted(((r.doc_id, r.text) for r in x.collect()), key=repr)
+    one = stage["quality_rules"](spark, df, sf)
+    assert rows(one) == sorted(docs, key=repr)
+    two = stage["near_duplicates"](spark, one, sf)
+    assert rows(two) == sorted([docs[k] for k in (0, 2, 3, 4, 5, 7, 8, 9)], key=repr)
+    three = stage["decontamination"](spark, two, sf)
+    assert rows(three) == sorted([docs[k] for k in (0, 2, 3, 4, 5, 7)], key=repr)
+    monkeypatch.setattr(mixing, "fit", lambda *a: [])  # rates of 1: all stay
+    four = stage["mix_domains"](spark, three, sf)
+    assert rows(four) == rows(three)
+    five = stage["sharding"](spark, four, sf)
+    assert rows(five) == rows(four) and five.where("shard IS NULL").count() == 0
