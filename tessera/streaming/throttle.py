@@ -1,8 +1,8 @@
 """Per-user throttling: an event passes if the user's last passed one is at least limit seconds ago.
 
 What was refused doesn't move the limit, so this is a fold over each user's events and not a comparison of neighbours.
-In a stream the state is one time a user; in a batch, each user's events are folded in Spark's own array functions,
-a day at a time at most.
+In a stream the state is one time a user; in a batch, each task folds sorted
+events with one time as its state, too.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SECONDS_KEPT = 3600
@@ -20,26 +22,25 @@ SECONDS_KEPT = 3600
 def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
     """events with allowed, in a batch. Ties in time go by key.
 
-    A user's events are cut where two neighbours are at least limit apart: the later one always passes, so each
-    run between such places is folded on its own and no user's whole history has to fit one array.
+    A task reads its users one after the other, each sorted by time, and carries one time: no history is gathered in an array.
     """
-    from pyspark.sql import Window
-
+    us, t = int(limit * 1_000_000), F.unix_micros(F.col(ts).cast("timestamp"))
+    schema = T.StructType([*events.schema.fields, T.StructField("_t", T.LongType()), T.StructField("_new", T.BooleanType()), T.StructField("allowed", T.BooleanType())])
     w = Window.partitionBy(user).orderBy(ts, key)
-    t = F.unix_micros(F.col(ts).cast("timestamp"))
-    us = int(limit * 1_000_000)
-    cut = F.coalesce((t - F.lag(t).over(w)) >= us, F.lit(True)).cast("int")
-    runs = events.withColumn("_t", t).withColumn("_cut", cut).withColumn("_run", F.sum("_cut").over(w))
-    grouped = runs.groupBy(user, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", key))).alias("e"))
-    # the fold's state: the last time that passed, and the keys that did
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{events.schema[key].dataType.simpleString()}>").alias("passed"))
-
-    def step(acc, e):
-        ok = acc["last"].isNull() | (e["_t"] - acc["last"] >= us)
-        return F.struct(F.when(ok, e["_t"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["passed"], F.array(e[key]))).otherwise(acc["passed"]).alias("passed"))
-
-    passed = grouped.select(F.explode(F.aggregate("e", start, step)["passed"]).alias(key)).withColumn("allowed", F.lit(True))
-    return events.join(passed, key, "left").withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    dealt = events.withColumn("_t", t).withColumn("_new", F.row_number().over(w) == 1)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for b in batches:
+            allowed = []
+            for at, new in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                last = None if new else last
+                ok = last is None or at - last >= us
+                last = at if ok else last
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], names=schema.names)
+
+    return dealt.mapInArrow(fold, schema).select(key, *(c for c in events.columns if c != key), "allowed")
 
 
 def throttled_stream(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id", kept: int = SECONDS_KEPT) -> DataFrame:

@@ -174,3 +174,11 @@ def test_throttle_stream(spark, tmp_path):
     q = throttle.throttled_stream(stream, 1.0).writeStream.format("memory").queryName("thr").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert [r.allowed for r in spark.table("thr").orderBy("event_id").collect()] == [True, False, True, False, True]
+
+
+def test_throttle_gathers_no_history(spark):
+    """One dense run of a busy user, over many batches, folded with one time as the state."""
+    df = spark.range(30_000).select(F.col("id").alias("event_id"), F.lit(1).alias("user_id"), F.timestamp_millis(F.col("id") * 300).alias("ts"))
+    out = throttle.throttled(df, 1.0)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert out.where("allowed <> (event_id % 4 = 0)").count() == 0 and out.count() == 30_000
