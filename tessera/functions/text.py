@@ -34,8 +34,8 @@ def composed(x: Column) -> Column:
 def normalized(x: Column, *, compose: bool = False) -> Column:
     """Lower case, single spaces, none around. compose: also the composed form of accents, for text with loose marks."""
     t = F.lower(F.coalesce(x, F.lit("")))
-    if compose:
-        t = F.when(t.rlike(r"\p{M}"), composed(t)).otherwise(t)
+    if compose:  # only texts with loose marks are sent to Python, the others' rows as nulls
+        t = F.coalesce(composed(F.when(t.rlike(r"\p{M}"), t)), t)
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
 

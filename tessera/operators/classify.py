@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
-from tessera.functions.text import words
+from tessera.operators.score import literal
 
 TIER_ORDER = ["pewny", "prawdopodobny", "mozliwy"]
 
@@ -16,15 +16,19 @@ def tier(score: Column) -> Column:
 
 
 def first_kind(x: Column, kinds: list[tuple[str, str]], otherwise: str = "inne") -> Column:
+    """The first kind of which an alternative matches x, which is lower-case: each runs where its literal part stands."""
     out = F.lit(otherwise)
     for name, pattern in reversed(kinds):
-        out = F.when(x.rlike(words(pattern)), name).otherwise(out)
+        hit = F.lit(False)
+        for p in pattern.split("|"):
+            hit = hit | (x.contains(literal(p)) & x.rlike(f"(?U){p}"))
+        out = F.when(hit, name).otherwise(out)
     return out
 
 
 def fallback_fraction(x: Column) -> Column:
     """The first fraction if it is a proper one, else the first of five glyphs."""
-    m = F.regexp_extract(x, r"(?U)\b(\d+)\s*/\s*(\d+)\b", 0)
+    m = F.when(x.contains("/"), F.regexp_extract(x, r"(?U)\b(\d+)\s*/\s*(\d+)\b", 0))
     n, d = (F.trim(F.get(F.split(m, "/"), F.lit(i))).try_cast("long") for i in (0, 1))
     proper = F.when((d >= 2) & (n < d) & (n > 0), F.concat_ws("/", n, d))
     return F.coalesce(proper, *(F.when(x.contains(g), F.lit(f)) for g, f in (("½", "1/2"), ("⅓", "1/3"), ("¼", "1/4"), ("¾", "3/4"), ("⅔", "2/3"))))
@@ -58,7 +62,7 @@ def classified(df: DataFrame, min_score: int = rules.SHARE_FROM) -> DataFrame:
     out = out.withColumns({
         "tier": tier(F.col("score")),
         "share_source": first_kind(F.col("_text"), rules.SALE_SOURCES),
-        "property_type": first_kind(F.coalesce("title", F.lit("")), rules.PROPERTY_TYPES),
+        "property_type": first_kind(F.lower(F.coalesce("title", F.lit(""))), rules.PROPERTY_TYPES),
         "fraction": F.coalesce("fraction_detected", fallback_fraction(F.col("_text"))),
         "price_bracket": price_bracket(F.col("price")),
     })
@@ -75,7 +79,8 @@ def rank_order(seq: str = "seq") -> list[Column]:
 
 
 def ranked(df: DataFrame, seq: str = "seq") -> DataFrame:
-    return df.orderBy(*rank_order(seq))
+    """All rows in order. They are dealt by seq first, so that the sort's sampling reads them and doesn't score them again."""
+    return df.repartition(seq).orderBy(*rank_order(seq))
 
 
 def numbered(df: DataFrame, order: list[Column], top: int, name: str = "rank") -> DataFrame:

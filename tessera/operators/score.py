@@ -1,41 +1,66 @@
 """The share score: is a listing the sale of a share of a property?
 
-One struct Column, built from the rule lists, so that scoring is one pass in generated code with no Python.
-The matched words cost an expression for each rule and are made only when asked for.
+Built from the rule lists as Columns. A text is normalised once, in a projection of its own; a pattern only runs where its
+longest literal part stands in the text, which a byte search tells; the score is made behind a generator of one row,
+which filters on the score are not pushed through, so that no expression is repeated in them.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
-from tessera.functions.text import normalized, words
+from tessera.functions.text import normalized
 
 TIERS = [rules.HIGH, rules.MEDIUM, rules.LOW]
 
 
+def plain(pattern: str) -> str:
+    """A rule's pattern for normalised text, which is lower-case and has no space but single blanks."""
+    return pattern.replace(r"\s+", " ").replace(r"\s*", " ?").replace(r"\d", r"\p{Nd}")
+
+
+def literal(pattern: str) -> str:
+    """The longest run of plain letters of a pattern without alternatives: every match contains it."""
+    return max(re.findall("[a-z]+", re.sub(r"\[[^\]]*\]|\\.", " ", pattern)), key=len)
+
+
+def has(x: Column, pattern: str) -> Column:
+    return x.contains(literal(pattern)) & x.rlike(plain(pattern))
+
+
 def any_of(x: Column, patterns: list[str]) -> Column:
-    return x.rlike(words("|".join(patterns)))
+    out = F.lit(False)
+    for p in patterns:
+        out = out | has(x, p)
+    return out
 
 
 def matches(x: Column, patterns: list[str]) -> Column:
     """The first match of each pattern that has one, in the patterns' order."""
-    return F.filter(F.array(*(F.regexp_extract(x, words(p), 0) for p in patterns)), lambda m: m != "")
+    return F.filter(F.array(*(F.when(x.contains(literal(p)), F.regexp_extract(x, plain(p), 0)).otherwise("") for p in patterns)), lambda m: m != "")
 
 
-def tier_points(x: Column, points: tuple[int, int, int]) -> Column:
+def tier(x: Column) -> Column:
+    """The strongest tier with a match, from 1; 0: none."""
     out = F.lit(0)
-    for patterns, p in reversed(list(zip(TIERS, points, strict=True))):
-        out = F.when(any_of(x, patterns), p).otherwise(out)
+    for k, patterns in reversed(list(enumerate(TIERS, 1))):
+        out = F.when(any_of(x, patterns), k).otherwise(out)
     return out
 
 
-def tier_matches(x: Column) -> Column:
-    """Matches of the strongest tier that has any."""
+def tier_points(found: Column, points: tuple[int, int, int]) -> Column:
+    return F.element_at(F.array(*map(F.lit, (0, *points))), found + 1)
+
+
+def tier_matches(x: Column, found: Column) -> Column:
+    """Matches of the tier that was found."""
     out = F.array().cast("array<string>")
-    for patterns in reversed(TIERS):
-        out = F.when(any_of(x, patterns), matches(x, patterns)).otherwise(out)
+    for k, patterns in reversed(list(enumerate(TIERS, 1))):
+        out = F.when(found == k, matches(x, patterns)).otherwise(out)
     return out
 
 
@@ -45,24 +70,24 @@ def plausible(fraction: Column) -> Column:
     return (n > 0) & (n < d) & (d <= 1000)
 
 
+def tight(x: Column) -> Column:
+    """Normalised text without the blanks around slashes."""
+    return F.replace(F.replace(x, F.lit(" /"), F.lit("/")), F.lit("/ "), F.lit("/"))
+
+
 def fraction(x: Column) -> Column:
-    """The common fractions by priority, then the first plausible one, then glyphs."""
-    common = []
-    for f in rules.FRACTIONS:
-        n, d = f.split("/")
-        common.append(F.when(x.rlike(rf"(?U)\b{n}\s*/\s*{d}\b"), F.lit(f)))
-    found = F.transform(F.regexp_extract_all(x, F.lit(r"(?U)\b\d{1,3}\s*/\s*\d{1,4}\b"), F.lit(0)), lambda m: F.regexp_replace(m, r"(?U)\s*/\s*", "/"))
-    slashed = F.when(x.contains("/"), F.coalesce(*common, F.get(F.filter(found, plausible), F.lit(0))))
+    """Of tight text: the common fractions by priority, then the first plausible one, then glyphs."""
+    common = [F.when(x.contains(f) & x.rlike(rf"(?U)\b{f}\b"), F.lit(f)) for f in rules.FRACTIONS]
+    slashed = F.when(x.contains("/"), F.coalesce(*common, F.get(F.filter(F.regexp_extract_all(x, F.lit(r"(?U)\b\d{1,3}/\d{1,4}\b"), F.lit(0)), plausible), F.lit(0))))
     return F.coalesce(slashed, *(F.when(x.contains(g), F.lit(f)) for g, f in rules.GLYPHS))
 
 
 def inheritance_points(x: Column) -> Column:
-    n = sum((x.rlike(words(p)).cast("int") for p in rules.INHERITANCE), F.lit(0))
-    return F.when(any_of(x, rules.INHERITANCE), F.least(F.lit(10), 3 * n)).otherwise(0)
+    return F.least(F.lit(10), 3 * sum((has(x, p).cast("int") for p in rules.INHERITANCE), F.lit(0)))
 
 
 def trustee_points(x: Column) -> Column:
-    return F.when(x.rlike(words("syndyk")) & x.rlike(words("udzia[łl]")), rules.TRUSTEE_POINTS).otherwise(0)
+    return F.when(x.contains("syndyk") & has(x, "udzia[łl]"), rules.TRUSTEE_POINTS).otherwise(0)
 
 
 def price_points(price: Column | None, area: Column | None) -> Column:
@@ -72,8 +97,12 @@ def price_points(price: Column | None, area: Column | None) -> Column:
 
 
 def penalty_points(x: Column) -> Column:
-    each = sum((F.when(x.rlike(words(p)), n).otherwise(0) for p, n in rules.PENALTIES), F.lit(0))
-    return F.when(any_of(x, [p for p, _ in rules.PENALTIES]), each).otherwise(0)
+    return sum((F.when(has(x, p), n).otherwise(0) for p, n in rules.PENALTIES), F.lit(0))
+
+
+def folded(x: Column) -> Column:
+    """Normalised text for the patterns, which ignore case: the long s and the dotless i count as s and i, as upper case says."""
+    return F.when(x.rlike("[ſı]"), F.translate(x, "ſı", "si")).otherwise(x)
 
 
 def scored(df: DataFrame, *, title: str = "title", text: str = "raw_description", price: str | None = None, area: str | None = None, keywords: bool = False, parts: bool = False) -> DataFrame:
@@ -81,26 +110,30 @@ def scored(df: DataFrame, *, title: str = "title", text: str = "raw_description"
 
     price and area are only looked at where named, as the documented pipeline leaves them out.
     """
-    out = df.withColumns({"_t": normalized(F.col(title)), "_d": normalized(F.col(text))}).withColumn("_c", F.concat_ws(" ", "_t", "_d"))
-    t, d, c = F.col("_t"), F.col("_d"), F.col("_c")
+    out = df.withColumns({"_score_t": normalized(F.col(title), compose=True), "_score_d": normalized(F.col(text), compose=True)})
+    out = out.withColumns({"_score_t": folded(F.col("_score_t")), "_score_d": folded(F.col("_score_d"))}).withColumn("_score_c", F.concat_ws(" ", "_score_t", "_score_d")).withColumn("_score_f", tight(F.col("_score_c")))
+    t, d, c = F.col("_score_t"), F.col("_score_d"), F.col("_score_c")
+    out = out.withColumns({"_score_tier_t": tier(t), "_score_tier_d": tier(d), "fraction_detected": fraction(F.col("_score_f"))})
     points = {
-        "title_points": tier_points(t, rules.TITLE_POINTS),
-        "text_points": tier_points(d, rules.TEXT_POINTS),
-        "fraction_detected": fraction(c),
+        "title_points": tier_points(F.col("_score_tier_t"), rules.TITLE_POINTS),
+        "text_points": tier_points(F.col("_score_tier_d"), rules.TEXT_POINTS),
         "inheritance_points": inheritance_points(c),
         "trustee_points": trustee_points(c),
         "price_points": price_points(F.col(price) if price else None, F.col(area) if area else None),
         "penalty_points": penalty_points(c),
     }
-    out = out.withColumns(points)
-    names = [n for n in points if n.endswith("_points")]
-    total = sum((F.col(n) for n in names), F.when(F.col("fraction_detected").isNotNull(), rules.FRACTION_POINTS).otherwise(0))
-    out = out.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), total)))
-    out = out.withColumn("is_share", F.col("score") >= rules.SHARE_FROM)
+    total = lambda p: sum(p, F.when(F.col("fraction_detected").isNotNull(), rules.FRACTION_POINTS).otherwise(0))
+    clamped = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
+    made: list[Column] = [F.col("fraction_detected")]
     if keywords:
         one = F.when(F.col("fraction_detected").isNotNull(), F.array("fraction_detected")).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn("matched_keywords", F.concat(tier_matches(t), tier_matches(d), one, matches(c, rules.INHERITANCE)))
-    return out.drop("_t", "_d", "_c", *([] if parts else names))
+        made.append(F.concat(tier_matches(t, F.col("_score_tier_t")), tier_matches(d, F.col("_score_tier_d")), one, matches(c, rules.INHERITANCE)).alias("matched_keywords"))
+    made += [p.alias(name) for name, p in points.items()] if parts else [clamped(total(points.values())).alias("score")]
+    out = out.select(*(F.col(c) for c in df.columns), F.inline(F.array(F.struct(*made))))
+    if parts:
+        out = out.withColumn("score", clamped(total(F.col(n) for n in points)))
+    last = ["fraction_detected", *(["matched_keywords"] if keywords else []), *(points if parts else [])]
+    return out.select(*df.columns, *last, "score", (F.col("score") >= rules.SHARE_FROM).alias("is_share"))
 
 
 def rescored(df: DataFrame, *, full: str = "full_description", least: int = 5) -> DataFrame:

@@ -20,11 +20,11 @@ def classified(spark: SparkSession, d: str) -> DataFrame:
     return classify.classified(scored(spark, d))
 
 
-@query("f3_normalize", q.listings(f"SELECT seq, {q.norm('raw_description')} AS text FROM listings"))
+@query("f3_normalize", q.listings(f"SELECT seq, {q.norm('title')} AS title, {q.norm('raw_description')} AS text FROM listings"))
 def f3(spark, d):
     from tessera.functions.text import normalized
 
-    return views.listings(spark, d).select("seq", normalized(F.col("raw_description")).alias("text"))
+    return views.listings(spark, d).select("seq", normalized(F.col("title"), compose=True).alias("title"), normalized(F.col("raw_description"), compose=True).alias("text"))
 
 
 @query("d2_title_tier", q.scored("SELECT seq, title_points FROM scored"))

@@ -15,7 +15,7 @@ def found(x: str, patterns: list[str]) -> str:
 
 
 def norm(x: str) -> str:
-    return f"trim(regexp_replace(lower(coalesce({x}, '')), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(nfc_normalize(lower(coalesce({x}, ''))), '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
 def tier(x: str, points: tuple[int, int, int]) -> str:
@@ -44,7 +44,8 @@ SCORED_SQL = f"""{PARTS_SQL}, scored AS (
 
 
 def kind(x: str, kinds: list[tuple[str, str]]) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN '{n}'" for n, p in kinds) + " ELSE 'inne' END"
+    spaced = [(n, p.replace(r"\s", r"[\s\x{85}\p{Z}]")) for n, p in kinds]
+    return "CASE " + " ".join(f"WHEN regexp_matches({x}, '(?i){p}') THEN '{n}'" for n, p in spaced) + " ELSE 'inne' END"
 
 
 _ratio = "(CASE WHEN fraction IS NULL THEN NULL ELSE split_part(fraction, '/', 1)::DOUBLE / split_part(fraction, '/', 2)::DOUBLE END)"
