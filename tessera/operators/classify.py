@@ -15,15 +15,10 @@ def tier(score: Column) -> Column:
     return F.when(score >= 75, "pewny").when(score >= 50, "prawdopodobny").otherwise("mozliwy")
 
 
-def first_kind(x: Column, kinds: list[tuple[str, str]], otherwise: str = "inne") -> Column:
-    """The first kind of which an alternative matches x, which is lower-case: each runs where its literal part stands."""
-    out = F.lit(otherwise)
-    for name, pattern in reversed(kinds):
-        hit = F.lit(False)
-        for p in pattern.split("|"):
-            hit = hit | (x.contains(literal(p)) & x.rlike(f"(?U){p}"))
-        out = F.when(hit, name).otherwise(out)
-    return out
+def first_kind(x: str, kinds: list[tuple[str, str]], otherwise: str = "inne") -> Column:
+    """The first kind of which an alternative matches the column x, which is lower-case: each runs where its literal part stands."""
+    hit = lambda pattern: " OR ".join(f"(contains({x}, '{literal(p)}') AND {x} RLIKE r'(?U){p}')" for p in pattern.split("|"))
+    return F.expr("CASE " + " ".join(f"WHEN {hit(pattern)} THEN '{name}'" for name, pattern in kinds) + f" ELSE '{otherwise}' END")
 
 
 def fallback_fraction(x: Column) -> Column:
@@ -58,15 +53,15 @@ def attractiveness(price: Column, score: Column, fraction: Column, text: Column)
 def classified(df: DataFrame, min_score: int = rules.SHARE_FROM) -> DataFrame:
     """Scored listings from min_score on, with tier, kinds, fraction, bracket and attractiveness."""
     text = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("raw_description", F.lit(""))))
-    out = df.where(F.col("score") >= min_score).withColumn("_text", text)
+    out = df.where(F.col("score") >= min_score).withColumns({"_text": text, "_title": F.lower(F.coalesce("title", F.lit("")))})
     out = out.withColumns({
         "tier": tier(F.col("score")),
-        "share_source": first_kind(F.col("_text"), rules.SALE_SOURCES),
-        "property_type": first_kind(F.lower(F.coalesce("title", F.lit(""))), rules.PROPERTY_TYPES),
+        "share_source": first_kind("_text", rules.SALE_SOURCES),
+        "property_type": first_kind("_title", rules.PROPERTY_TYPES),
         "fraction": F.coalesce("fraction_detected", fallback_fraction(F.col("_text"))),
         "price_bracket": price_bracket(F.col("price")),
     })
-    return out.withColumns({"fraction_size": fraction_size(F.col("fraction")), "attractiveness": attractiveness(F.col("price"), F.col("score"), F.col("fraction"), F.col("_text"))}).drop("_text")
+    return out.withColumns({"fraction_size": fraction_size(F.col("fraction")), "attractiveness": attractiveness(F.col("price"), F.col("score"), F.col("fraction"), F.col("_text"))}).drop("_text", "_title")
 
 
 def tier_number(x: Column) -> Column:

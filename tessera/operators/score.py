@@ -28,40 +28,33 @@ def literal(pattern: str) -> str:
     return max(re.findall("[a-z]+", re.sub(r"\[[^\]]*\]|\\.", " ", pattern)), key=len)
 
 
-def has(x: Column, pattern: str) -> Column:
-    return x.contains(literal(pattern)) & x.rlike(plain(pattern))
+def has(x: str, pattern: str) -> str:
+    """SQL text, as all these functions give: the rules are many, and a text is parsed at once where Columns are built one by one."""
+    return f"(contains({x}, '{literal(pattern)}') AND {x} RLIKE r'{plain(pattern)}')"
 
 
-def any_of(x: Column, patterns: list[str]) -> Column:
-    out = F.lit(False)
-    for p in patterns:
-        out = out | has(x, p)
-    return out
+def any_of(x: str, patterns: list[str]) -> str:
+    return "(" + " OR ".join(has(x, p) for p in patterns) + ")"
 
 
-def matches(x: Column, patterns: list[str]) -> Column:
+def matches(x: str, patterns: list[str]) -> str:
     """The first match of each pattern that has one, in the patterns' order."""
-    return F.filter(F.array(*(F.when(x.contains(literal(p)), F.regexp_extract(x, plain(p), 0)).otherwise("") for p in patterns)), lambda m: m != "")
+    each = ", ".join(f"if(contains({x}, '{literal(p)}'), regexp_extract({x}, r'{plain(p)}', 0), '')" for p in patterns)
+    return f"filter(array({each}), m -> m <> '')"
 
 
-def tier(x: Column) -> Column:
+def tier(x: str) -> str:
     """The strongest tier with a match, from 1; 0: none."""
-    out = F.lit(0)
-    for k, patterns in reversed(list(enumerate(TIERS, 1))):
-        out = F.when(any_of(x, patterns), k).otherwise(out)
-    return out
+    return "CASE " + " ".join(f"WHEN {any_of(x, patterns)} THEN {k}" for k, patterns in enumerate(TIERS, 1)) + " ELSE 0 END"
 
 
-def tier_points(found: Column, points: tuple[int, int, int]) -> Column:
-    return F.element_at(F.array(*map(F.lit, (0, *points))), found + 1)
+def tier_points(found: str, points: tuple[int, int, int]) -> str:
+    return f"element_at(array({', '.join(map(str, (0, *points)))}), {found} + 1)"
 
 
-def tier_matches(x: Column, found: Column) -> Column:
+def tier_matches(x: str, found: str) -> str:
     """Matches of the tier that was found."""
-    out = F.array().cast("array<string>")
-    for k, patterns in reversed(list(enumerate(TIERS, 1))):
-        out = F.when(found == k, matches(x, patterns)).otherwise(out)
-    return out
+    return f"CASE {found} " + " ".join(f"WHEN {k} THEN {matches(x, patterns)}" for k, patterns in enumerate(TIERS, 1)) + " ELSE CAST(array() AS array<string>) END"
 
 
 def plausible(fraction: Column) -> Column:
@@ -75,29 +68,28 @@ def tight(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit(" /"), F.lit("/")), F.lit("/ "), F.lit("/"))
 
 
-def fraction(x: Column) -> Column:
+def fraction(x: str) -> Column:
     """Of tight text: the common fractions by priority, then the first plausible one, then glyphs."""
-    common = [F.when(x.contains(f) & x.rlike(rf"(?U)\b{f}\b"), F.lit(f)) for f in rules.FRACTIONS]
-    slashed = F.when(x.contains("/"), F.coalesce(*common, F.get(F.filter(F.regexp_extract_all(x, F.lit(r"(?U)\b\d{1,3}/\d{1,4}\b"), F.lit(0)), plausible), F.lit(0))))
-    return F.coalesce(slashed, *(F.when(x.contains(g), F.lit(f)) for g, f in rules.GLYPHS))
+    common = F.expr("CASE " + " ".join(rf"WHEN contains({x}, '{f}') AND {x} RLIKE r'(?U)\b{f}\b' THEN '{f}'" for f in rules.FRACTIONS) + " END")
+    glyphs = F.expr("CASE " + " ".join(f"WHEN contains({x}, '{g}') THEN '{f}'" for g, f in rules.GLYPHS) + " END")
+    first = F.get(F.filter(F.regexp_extract_all(F.col(x), F.lit(r"(?U)\b\d{1,3}/\d{1,4}\b"), F.lit(0)), plausible), F.lit(0))
+    return F.coalesce(F.when(F.col(x).contains("/"), F.coalesce(common, first)), glyphs)
 
 
-def inheritance_points(x: Column) -> Column:
-    return F.least(F.lit(10), 3 * sum((has(x, p).cast("int") for p in rules.INHERITANCE), F.lit(0)))
+def inheritance_points(x: str) -> str:
+    return f"least(10, 3 * ({' + '.join(f'int({has(x, p)})' for p in rules.INHERITANCE)}))"
 
 
-def trustee_points(x: Column) -> Column:
-    return F.when(x.contains("syndyk") & has(x, "udzia[łl]"), rules.TRUSTEE_POINTS).otherwise(0)
+def trustee_points(x: str) -> str:
+    return f"IF(contains({x}, 'syndyk') AND {has(x, 'udzia[łl]')}, {rules.TRUSTEE_POINTS}, 0)"
 
 
-def price_points(price: Column | None, area: Column | None) -> Column:
-    if price is None or area is None:
-        return F.lit(0)
-    return F.when((area > 0) & (F.try_divide(price, area) < rules.CHEAP_PER_M2), rules.PRICE_POINTS).otherwise(0)
+def price_points(price: str | None, area: str | None) -> str:
+    return f"IF({area} > 0 AND try_divide({price}, {area}) < {rules.CHEAP_PER_M2}, {rules.PRICE_POINTS}, 0)" if price and area else "0"
 
 
-def penalty_points(x: Column) -> Column:
-    return sum((F.when(has(x, p), n).otherwise(0) for p, n in rules.PENALTIES), F.lit(0))
+def penalty_points(x: str) -> str:
+    return " + ".join(f"IF({has(x, p)}, {n}, 0)" for p, n in rules.PENALTIES)
 
 
 def folded(x: Column) -> Column:
@@ -112,28 +104,26 @@ def scored(df: DataFrame, *, title: str = "title", text: str = "raw_description"
     """
     out = df.withColumns({"_score_t": normalized(F.col(title), compose=True), "_score_d": normalized(F.col(text), compose=True)})
     out = out.withColumns({"_score_t": folded(F.col("_score_t")), "_score_d": folded(F.col("_score_d"))}).withColumn("_score_c", F.concat_ws(" ", "_score_t", "_score_d")).withColumn("_score_f", tight(F.col("_score_c")))
-    t, d, c = F.col("_score_t"), F.col("_score_d"), F.col("_score_c")
-    out = out.withColumns({"_score_tier_t": tier(t), "_score_tier_d": tier(d), "fraction_detected": fraction(F.col("_score_f"))})
+    t, d, c, in_t, in_d = "_score_t", "_score_d", "_score_c", "_score_tier_t", "_score_tier_d"
+    out = out.withColumns({in_t: F.expr(tier(t)), in_d: F.expr(tier(d)), "_score_fraction": fraction("_score_f")})
     points = {
-        "title_points": tier_points(F.col("_score_tier_t"), rules.TITLE_POINTS),
-        "text_points": tier_points(F.col("_score_tier_d"), rules.TEXT_POINTS),
+        "title_points": tier_points(in_t, rules.TITLE_POINTS),
+        "text_points": tier_points(in_d, rules.TEXT_POINTS),
         "inheritance_points": inheritance_points(c),
         "trustee_points": trustee_points(c),
-        "price_points": price_points(F.col(price) if price else None, F.col(area) if area else None),
+        "price_points": price_points(price, area),
         "penalty_points": penalty_points(c),
     }
-    total = lambda p: sum(p, F.when(F.col("fraction_detected").isNotNull(), rules.FRACTION_POINTS).otherwise(0))
-    clamped = lambda x: F.greatest(F.lit(0), F.least(F.lit(100), x))
-    made: list[Column] = [F.col("fraction_detected")]
+    total = lambda each, one: f"greatest(0, least(100, IF({one} IS NULL, 0, {rules.FRACTION_POINTS}) + {' + '.join(each)}))"
+    made = {"fraction_detected": "_score_fraction"}
     if keywords:
-        one = F.when(F.col("fraction_detected").isNotNull(), F.array("fraction_detected")).otherwise(F.array().cast("array<string>"))
-        made.append(F.concat(tier_matches(t, F.col("_score_tier_t")), tier_matches(d, F.col("_score_tier_d")), one, matches(c, rules.INHERITANCE)).alias("matched_keywords"))
-    made += [p.alias(name) for name, p in points.items()] if parts else [clamped(total(points.values())).alias("score")]
-    out = out.select(*(F.col(c) for c in df.columns), F.inline(F.array(F.struct(*made))))
+        made["matched_keywords"] = f"concat({tier_matches(t, in_t)}, {tier_matches(d, in_d)}, filter(array(_score_fraction), m -> m IS NOT NULL), {matches(c, rules.INHERITANCE)})"
+    made |= points if parts else {"score": total(points.values(), "_score_fraction")}
+    row = "inline(array(struct(" + ", ".join(f"{x} AS {name}" for name, x in made.items()) + ")))"
+    out = out.select(*(F.col(f"`{name}`") for name in df.columns), F.expr(row))
     if parts:
-        out = out.withColumn("score", clamped(total(F.col(n) for n in points)))
-    last = ["fraction_detected", *(["matched_keywords"] if keywords else []), *(points if parts else [])]
-    return out.select(*df.columns, *last, "score", (F.col("score") >= rules.SHARE_FROM).alias("is_share"))
+        out = out.withColumn("score", F.expr(total(points, "fraction_detected")))
+    return out.select(*(F.col(f"`{name}`") for name in df.columns), *made, *(["score"] if parts else []), (F.col("score") >= rules.SHARE_FROM).alias("is_share"))
 
 
 def rescored(df: DataFrame, *, full: str = "full_description", least: int = 5) -> DataFrame:

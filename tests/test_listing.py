@@ -43,6 +43,34 @@ def test_fraction_adds_fifteen(spark):
     assert scored(spark, "udział w domu 1/4").score - scored(spark, "udział w domu").score == 15
 
 
+def test_loose_accents_count(spark):
+    import unicodedata
+
+    one = scored(spark, unicodedata.normalize("NFD", "Współwłasność sprzedam"))
+    assert one.score == 35 and one.is_share and one.matched_keywords == ["współwłasność sprzeda"]
+
+
+def test_each_pattern_stands_once_in_the_plan(spark):
+    """A filter on the score isn't pushed below what makes it, which would test every pattern again."""
+    from tessera.functions import rules
+
+    df = spark.createDataFrame([("a", "b")], "title string, raw_description string")
+    plan = score.scored(df).where("is_share").groupBy("score").count()._jdf.queryExecution().optimizedPlan().toString()
+    patterns = 2 * sum(map(len, score.TIERS)) + len(rules.INHERITANCE) + len(rules.PENALTIES) + len(rules.FRACTIONS) + 1
+    assert plan.count("RLIKE") <= patterns + 4 and plan.count("regexp_replace") == 2
+
+
+def test_every_literal_is_in_what_its_pattern_matches():
+    for p in [*rules_patterns()]:
+        assert score.literal(p) and "|" not in p and "(" not in p
+
+
+def rules_patterns():
+    from tessera.functions import rules
+
+    return [*rules.HIGH, *rules.MEDIUM, *rules.LOW, *rules.INHERITANCE, *(p for p, _ in rules.PENALTIES), *(a for _, p in [*rules.SALE_SOURCES, *rules.PROPERTY_TYPES] for a in p.split("|"))]
+
+
 def test_rescore_needs_five_points(spark):
     df = score.scored(spark.createDataFrame([(1, "Dom", "", "x"), (2, "Dom", "", "sprzedam udział 1/2"), (3, "Dom", "", None)], "seq int, title string, raw_description string, full_description string"))
     out = {r.seq: r for r in score.rescored(df).collect()}
@@ -54,7 +82,7 @@ def test_classes(spark):
     assert f(classify.fraction_size(F.col("x")), x="1/3") == "średni" and f(classify.fraction_size(F.col("x")), x="1/0") is None
     assert f(classify.price_bracket(F.col("x")), x=999.0) is None and f(classify.price_bracket(F.col("x")), x=300000.0) == "powyżej_300k"
     assert f(classify.fallback_fraction(F.col("x")), x="lokal 5/3 ¼") == "1/4"
-    assert f(classify.first_kind(F.col("x"), [("dom", r"\bdom\b")]), x="domł") == "inne"
+    assert f(classify.first_kind("x", [("dom", r"\bdom\b")]), x="domł") == "inne"
 
 
 @pytest.mark.parametrize(("t", "want"), [("150 000 zł", 150000.0), ("150.000", 150000.0), ("1.250.000,00", 125000000.0), ("99 zł", None), ("0", 0.0), ("", None), ("12,5 zł", None), ("1500,50", 1500.5)])
