@@ -1,23 +1,27 @@
 """Language-model scores by prediction by partial matching.
 
-The model is a trie of byte contexts of up to ORDER bytes with the counts of the bytes that followed
-them in all training texts, gathered by one aggregation. A byte's probability in its longest known
-context is count / (total + distinct); the rest of the mass, distinct / (total + distinct), escapes to the
-context one byte shorter, where bytes that the longer one has seen are excluded from the counts; below
-the empty context stands the uniform distribution over bytes never seen. Since the model is trained
-beforehand, each context's escape and each seen byte's probability are fixed, and a text's code length is a
-sum of lookups in sorted arrays, in numpy.
-
-The trie is broadcast. A trie of order n has at most 256^(n+1) nodes; if the nodes found exceed MAX_NODES, the
-order is lowered until they don't.
-
-Beside it stands a unigram model over words with add-one smoothing, whose vocabulary grows with the corpus
-and is never broadcast: the most frequent words, at most HEAD, are, and the others' counts are
-joined by their 64-bit hash.
+The model is a trie of contexts with the counts of what followed them in all training texts, pretrained by
+aggregations over the corpus. Its deepest order predicts phrases: a text is cut where a word says so (CUT), and the
+phrase so far is the context of the next one, tens of bytes long. A phrase seen n times after a context seen t times has
+probability n / (t + 1), the escape 1 / (t + 1); contexts never seen cost nothing. A training text's own phrases are left
+out of n and t, so that its score, as that of a text held out, says how well the rest of the corpus predicts it. Below
+it, bytes are predicted in
+contexts of ORDER bytes and fewer: a byte's probability in its longest known context is count / (total + distinct); the
+rest of the mass, distinct / (total + distinct), escapes to the context one byte shorter, where bytes that the
+longer one has seen are excluded from the counts; below the empty context stands the uniform distribution over
+bytes never seen. (Bytes that would spell a seen phrase aren't excluded after its escape.)
+
+What grows with the corpus is never broadcast: phrases, their contexts, words and sequences of ORDER + 1 bytes are counted in a
+table. The most frequent of each, at most HEAD, are sent to the tasks; whatever a text asks for beside them is joined by a
+64-bit key. A term of the score is one thing if its key is found and another if not, so a text's score is a sum over keys.
+Statistics of contexts of ORDER bytes or fewer are sent too; there are at most 256^ORDER of them.
+
+Beside it stands a unigram model over words with add-one smoothing, whose counts are joined the same way.
 
 Defined results: null and empty texts have the end token alone and model score 0; rows without a doc_id
 count as training rows; repeated rows are scored one by one and each counts in training; an empty table gives
-none; without training rows every byte is uniform and N = V = 0; other columns are ignored.
+none; without training rows every byte is uniform and N = V = 0; texts of any length are read whole, in pieces;
+among keys as frequent as the last that fits into the head, none is in it; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,20 +31,29 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, Workspace
+from tessera.llm.common import LOWER, SPACES, Workspace
 
-ORDER, MAX_NODES, HEAD = 3, 4_000_000, 200_000
-#: Distinct words that a task gathers before it hands them on.
-GATHER = 1_000_000
+ORDER, HEAD = 3, 200_000
+#: A phrase ends after a word whose hash is divisible by this, so after so many words on average.
+CUT = 12
+#: Distinct keys that a task gathers before it hands them on, and bytes of text that are looked up at once.
+GATHER, AT_ONCE = 1_000_000, 1 << 20
 END = b""
+#: What is counted: words, phrases after a context, contexts of phrases; sequences of k + 1 bytes have k, and
+#: those of the highest order are called GRAM where they are joined.
+WORD, PHRASE, CONTEXT, GRAM = -1, -2, -3, -4
+IS_SPACE = np.isin(np.arange(256), list(SPACES))
+ODD, MIX = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD)
 
 
 def grams(raw: bytes, order: int) -> np.ndarray:
@@ -63,38 +76,91 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * MIX
+    return x ^ (x >> np.uint64(29))
+
+
+class Powers:
+    """ODD to the power of 0, 1, ... and of 0, -1, ..., modulo 2^64, as long as the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            for name, base in (("up", ODD), ("down", pow(ODD, -1, 1 << 64))):
+                steps = np.full(2 * n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+        return self.up, self.down
+
+
+def phrases(raw: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """Where each phrase of a text starts, and its hash: of all its bytes, up to the next one's start."""
+    b = np.frombuffer(raw, np.uint8)
+    if not len(b):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    up, down = powers.of(len(b) + 1)
+    so_far = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=so_far[1:])
+    hashed = lambda s, e: mixed((so_far[e] - so_far[s]) * down[s])
+    solid = np.concatenate([[False], ~IS_SPACE[b], [False]])
+    starts, ends = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1
+    cut = starts[1:][hashed(starts[:-1], ends[:-1]) % np.uint64(CUT) == 0] if len(starts) else starts
+    at = np.concatenate([[0], cut]).astype(np.int64)
+    return at, hashed(at, np.append(at[1:], len(b)))
+
+
+def keys_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each phrase's context, which is the phrase before (at first: none), and of the phrase after it."""
+    before = np.append(np.zeros(1, np.uint64), h)[: len(h)]
+    return mixed(before + np.uint64(1)).view(np.int64), mixed(before * np.uint64(ODD) ^ h).view(np.int64)
+
+
 def gather(batches: Iterator[pa.RecordBatch], folds: int, fold: int, order: int) -> Iterator[pa.RecordBatch]:
-    """kind, key, n of training rows: words (kind -1, by hash), sequences of order + 1 bytes, and texts' first bytes."""
+    """kind, key, n of training rows: words, phrases, contexts, sequences of order + 1 bytes, and texts' first bytes.
+
+    Partial counts, handed on whenever GATHER keys have come together.
+    """
 
     def handed(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
 
-    words: Counter[bytes] = Counter()
+    words, begun, powers = Counter(), Counter(), Powers()
+    parts: dict[int, list[np.ndarray]] = {PHRASE: [], CONTEXT: [], order: []}
 
-    def word_rows() -> pa.RecordBatch:
+    def given() -> Iterator[pa.RecordBatch]:
         keys = np.fromiter((signed(xxhash.xxh64_intdigest(w)) for w in words), np.int64, len(words))
-        counts = np.fromiter(words.values(), np.int64, len(words))
+        yield handed(WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
+        for k in range(order):
+            own = {t: n for t, n in begun.items() if len(t) == k + 1}
+            yield handed(k, np.fromiter((int.from_bytes(t, "big") for t in own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+        for kind, found in parts.items():
+            if found:
+                codes, own = pd.factorize(np.concatenate(found))
+                yield handed(kind, own, np.bincount(codes, minlength=len(own)))
+            found.clear()
         words.clear()
-        return handed(-1, keys, counts)
+        begun.clear()
 
-    nodes, begun = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), Counter()
+    n = 0
     for b in batches:
-        texts = [(t or b"").translate(LOWER) for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if trains(d, folds, fold)]
-        for t in texts:
-            words.update(t.split())
+        for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            if not trains(d, folds, fold):
+                continue
+            raw = (t or b"").translate(LOWER)
+            words.update(raw.split())
             words[END] += 1
-            begun.update(t[: k + 1] for k in range(min(order, len(t))))
-            if len(words) > GATHER:
-                yield word_rows()
-        for at in range(0, len(texts), 500):
-            found, counts = np.unique(np.concatenate([grams(t, order) for t in texts[at : at + 500]]), return_counts=True)
-            keys, where = np.unique(np.concatenate([nodes[0], found]), return_inverse=True)
-            nodes = keys, np.bincount(where, np.concatenate([nodes[1], counts]), len(keys)).astype(np.int64)
-    yield word_rows()
-    yield handed(order, *nodes)
-    for k in range(order):
-        own = {t: n for t, n in begun.items() if len(t) == k + 1}
-        yield handed(k, np.fromiter((int.from_bytes(t, "big") for t in own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
+            begun.update(raw[: k + 1] for k in range(min(order, len(raw))))
+            context, phrase = keys_of(phrases(raw, powers)[1])
+            for kind, keys in ((PHRASE, phrase), (CONTEXT, context), (order, grams(raw, order).astype(np.int64))):
+                parts[kind].append(keys)
+            n += len(raw) + 1
+            if n > 8 * AT_ONCE or len(words) > GATHER:
+                yield from given()
+                n = 0
+    yield from given()
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,154 +174,260 @@ def marginal(level: tuple[np.ndarray, np.ndarray], begun: tuple[np.ndarray, np.n
     return summed(np.concatenate([short, begun[0]]), np.concatenate([level[1], begun[1]]))
 
 
+def found(keys: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of x stands in the sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return at, keys[at] == x
+
+
+@dataclass
+class Contexts:
+    """Contexts of one order: key, total, distinct; and what each leaves of the context a byte shorter: total and distinct there."""
+
+    keys: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    left_total: np.ndarray
+    left_distinct: np.ndarray
+
+    def __post_init__(self):
+        with np.errstate(divide="ignore"):
+            self.first = np.log10(self.total + self.distinct)
+            self.escape = np.log10(self.distinct) - self.first
+            some = self.left_distinct > 0
+            self.below = np.where(some, np.log10(np.maximum(self.left_total + self.left_distinct, 1)), 0.0)
+            self.escape_below = np.where(some, np.log10(np.maximum(self.left_distinct, 1)) - self.below, 0.0)
+
+
 class Trie:
-    """Log probabilities (base 10) of seen bytes and of escapes, by order."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels: for each order the sorted keys (context and byte) and their counts."""
-        self.order = len(levels) - 1
-        self.keys = [k for k, _ in levels]
-        #: contexts of each order; log of escape and of mass when they are entered first, or from the context one longer
-        self.contexts, self.top, self.full, self.first, self.escape_first, self.owner = [], [], [], [], [], []
-        self.below, self.escape_below = [], []
+    """Log probabilities (base 10) of bytes: counts of the orders under the highest, and contexts of all orders."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], top: Contexts):
+        """levels: for each order but the highest, the sorted keys (context and byte) and their counts; top: the highest order's contexts."""
+        self.order = len(levels)
+        self.keys, self.logs = [k for k, _ in levels], [np.log10(c) for _, c in levels]
+        self.contexts: list[Contexts] = []
         for k, (keys, counts) in enumerate(levels):
-            ctx = keys >> np.uint64(8)
-            own, start = np.unique(ctx, return_index=True)
-            total = np.add.reduceat(counts, start) if len(own) else np.zeros(0)
-            distinct = np.diff(np.append(start, len(keys)))
-            self.contexts.append(own)
-            self.first.append(np.log10(total + distinct))
-            self.escape_first.append(np.log10(distinct) - self.first[k])
-            self.owner.append(np.repeat(np.arange(len(own), dtype=np.int32), distinct))
-            self.top.append(np.log10(counts))
-            self.full.append(self.top[k] - self.first[k][self.owner[k]])
-            if k:  # what this context leaves of the one a byte shorter: counts and bytes that it hasn't seen
-                short = self.keys[k - 1]
-                suffix = keys & np.uint64((1 << (8 * k)) - 1)
-                at = np.minimum(np.searchsorted(short, suffix), max(len(short) - 1, 0))
-                known = short[at] == suffix if len(short) else np.zeros(len(suffix), bool)
-                seen = np.add.reduceat(np.where(known, levels[k - 1][1][at], 0), start) if len(own) else np.zeros(0)
-                seen_distinct = np.add.reduceat(known.astype(np.int64), start) if len(own) else np.zeros(0)
-                up = own & np.uint64((1 << (8 * (k - 1))) - 1)
-                there = np.searchsorted(self.contexts[k - 1], up)
-                all_total, all_distinct = 10 ** self.first[k - 1], np.diff(np.append(np.unique(short >> np.uint64(8), return_index=True)[1], len(short)))
-                d = all_distinct[there] - seen_distinct
-                t = np.round(all_total[there]) - all_distinct[there] - seen
-                with np.errstate(divide="ignore"):
-                    mass = np.where(d > 0, np.log10(np.maximum(t + d, 1)), 0.0)
-                    out = np.where(d > 0, np.log10(np.maximum(d, 1)) - mass, 0.0)
-                self.below.append(mass)
-                self.escape_below.append(out)
-        unseen = 256 - len(levels[0][0])
-        self.uniform = -math.log10(unseen) if unseen and len(levels[0][0]) else -math.log10(256)
-
-    def log10(self, raw: bytes) -> float:
-        """The log probability of a text, whose bytes start without context."""
-        total = 0.0
-        for k in range(min(self.order, len(raw))):  # the first bytes have shorter contexts
-            total += float(self.levels(grams(raw[: k + 1], k), k).sum())
-        if len(raw) > self.order:
-            total += float(self.levels(grams(raw, self.order), self.order).sum())
-        return total
-
-    def levels(self, g: np.ndarray, k: int) -> np.ndarray:
-        """Of sequences of k + 1 bytes, each the log probability of its last byte after the others."""
-        out = np.zeros(len(g))
-        todo, longer = np.arange(len(g)), np.full(len(g), -1)  # longer: the number of the context escaped from
-        while len(todo):
-            x = g[todo]
-            keys, own = self.keys[k], self.contexts[k]
-            at = np.minimum(np.searchsorted(keys, x), max(len(keys) - 1, 0))
-            hit = keys[at] == x if len(keys) else np.zeros(len(x), bool)
-            entered = longer[todo] < 0
-            at = at[hit]
-            value, h = self.full[k][at], todo[hit]
-            if k < self.order and len(h):
-                escaped = ~entered[hit]
-                value[escaped] = self.top[k][at[escaped]] - self.below[k][longer[h[escaped]]]
-            out[h] += value
-            miss = todo[~hit]
-            if len(miss):
-                y = x[~hit] >> np.uint64(8)
-                c = np.minimum(np.searchsorted(own, y), max(len(own) - 1, 0))
-                known = own[c] == y if len(own) else np.zeros(len(y), bool)
-                esc = self.escape_first[k][c] if len(own) else np.zeros(len(y))
-                if k < self.order:
-                    esc = np.where(entered[~hit], esc, self.escape_below[k][np.maximum(longer[miss], 0)])
-                out[miss] += np.where(known, esc, 0.0)
-                longer[miss] = np.where(known, c, -1)
-                if k == 0:
-                    out[miss] += self.uniform
-                    return out
-                g = g.copy() if not g.flags.writeable else g
-                g[miss] &= np.uint64((1 << (8 * k)) - 1)
-            todo, k = miss, k - 1
+            own, start = np.unique(keys >> np.uint64(8), return_index=True)
+            total, distinct = (np.add.reduceat(x, start) if len(own) else np.zeros(0) for x in (counts, np.ones(len(keys), np.int64)))
+            left_total, left_distinct = np.zeros(len(own)), np.zeros(len(own))
+            if k:  # every sequence's end is a sequence of the order below
+                up = self.contexts[k - 1]
+                at, _ = found(self.keys[k - 1], keys & np.uint64((1 << (8 * k)) - 1))
+                there, _ = found(up.keys, own & np.uint64((1 << (8 * (k - 1))) - 1))
+                left_total = up.total[there] - (np.add.reduceat(levels[k - 1][1][at], start) if len(own) else 0)
+                left_distinct = up.distinct[there] - distinct
+            self.contexts.append(Contexts(own, total, distinct, left_total, left_distinct))
+        self.contexts.append(top)
+        unseen = 256 - (len(levels[0][0]) if levels else 0)
+        self.uniform = -math.log10(unseen) if 0 < unseen < 256 else -math.log10(256)
+
+    def unseen(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of sequences of order + 1 bytes: the last byte's log probability if the sequence was never seen, and what it is less than the log of its count if it was."""
+        at, known = found(self.contexts[self.order].keys, g >> np.uint64(8))
+        top = self.contexts[self.order]
+        first = np.where(known, top.first[at], 0.0) if len(top.keys) else np.zeros(len(g))
+        out = np.where(known, top.escape[at], 0.0) if len(top.keys) else np.zeros(len(g))
+        return out + self.levels(g & np.uint64((1 << (8 * self.order)) - 1), self.order - 1, np.where(known, at, -1)), first
+
+    def levels(self, g: np.ndarray, k: int, longer: np.ndarray | None = None) -> np.ndarray:
+        """Of sequences of k + 1 bytes, the log probability of the last byte; longer: the context of order k + 1 escaped from, or -1."""
+        out, todo, g = np.zeros(len(g)), np.arange(len(g)), g.copy()
+        longer = np.full(len(g), -1) if longer is None else longer.copy()
+        while k >= 0 and len(todo):
+            own = self.contexts[k]
+            at, hit = found(self.keys[k], g[todo])
+            c, known = found(own.keys, g[todo] >> np.uint64(8))
+            escaped = longer[todo] >= 0
+            mass, leave = (np.where(known, x[c], 0.0) if len(own.keys) else np.zeros(len(todo)) for x in (own.first, own.escape))
+            if escaped.any():
+                up = self.contexts[k + 1]
+                mass = np.where(escaped, up.below[np.maximum(longer[todo], 0)], mass)
+                leave = np.where(escaped, up.escape_below[np.maximum(longer[todo], 0)], leave)
+            out[todo] += np.where(hit, (self.logs[k][at] if len(self.keys[k]) else 0.0) - mass, np.where(known, leave, 0.0))
+            longer[todo] = np.where(known, c, -1)
+            todo = todo[~hit]
+            g[todo] &= np.uint64((1 << (8 * k)) - 1)
+            k -= 1
+        out[todo] += self.uniform
         return out
 
 
-def score(batches: Iterator[pa.RecordBatch], trie: Trie, head: tuple[np.ndarray, np.ndarray], folds: int, fold: int) -> Iterator[pa.RecordBatch]:
-    keys, logs = head
+@dataclass
+class Head:
+    """Sorted keys of one kind, their counts and the logs of these (of words: plus 1)."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    logs: np.ndarray
+
+
+def by_byte(raws: list[bytes], trie: Trie, head: Head) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text: the log probability of each byte (0 where it depends on a sequence outside the head), and of those sequences: places, keys, and logs if unseen and less than the count's if seen.
+
+    Equal sequences of the texts are looked up once.
+    """
+    order = trie.order
+    g = [grams(r, order) for r in raws]
+    codes, own = pd.factorize(np.concatenate(g))
+    own = np.asarray(own, np.uint64)
+    at, hit = found(head.keys, own.astype(np.int64))
+    alt, first = trie.unseen(own)
+    value = np.where(hit, (head.logs[at] if len(head.keys) else 0.0) - first, 0.0)
+    lo = 0
+    for r, x in zip(raws, g, strict=True):
+        code = codes[lo : lo + len(x)]
+        lo += len(x)
+        out = np.zeros(len(r))
+        for k in range(min(order, len(r))):  # the first bytes have shorter contexts
+            out[k] = trie.levels(grams(r[: k + 1], k), k)[0]
+        out[order:] = value[code]
+        rest = np.flatnonzero(~hit[code])
+        yield out, rest + order, own[code[rest]].astype(np.int64), np.stack([alt[code[rest]], first[code[rest]]])
+
+
+def own(keys: np.ndarray, counted: bool) -> np.ndarray:
+    """How often each of a text's keys is counted for the text itself."""
+    codes, _ = pd.factorize(keys)
+    return np.bincount(codes)[codes] if counted and len(keys) else np.zeros(len(keys), np.int64)
+
+
+def terms(raw: bytes, spelling: tuple, heads: dict[int, Head], powers: Powers, counted: bool) -> tuple[float, dict[str, np.ndarray]]:
+    """What is known of a text's score, and what is to be joined: kind, key, times, at, alt, less (see ASKED)."""
+    at, h = phrases(raw, powers)
+    context, phrase = keys_of(h)
+    own_c, own_p = own(context, counted), own(phrase, counted)
+    (c, in_c), (p, in_p) = found(heads[CONTEXT].keys, context), found(heads[PHRASE].keys, phrase)
+    in_p[in_p] = heads[PHRASE].counts[p[in_p]] > own_p[in_p]  # no others: it is asked for like one that isn't in the head, and not found
+    known = np.log10(heads[PHRASE].counts[p[in_p]] - own_p[in_p]).sum() - np.log10(heads[CONTEXT].counts[c[in_c]] - own_c[in_c] + 1).sum()
+    each, places, keys, (alt, less) = spelling
+    spelt = np.add.reduceat(each, at) if len(at) else np.zeros(0)
+    of = np.searchsorted(at, places, "right") - 1  # the phrase that a sequence outside the head ends in
+    used = ~in_p[of]
+    of, keys, alt, less = of[used], keys[used], alt[used], less[used]
+    open_ = np.flatnonzero(~in_p)
+    n_c, n_p, n_g = int((~in_c).sum()), len(open_), len(of)
+    return float(known), {
+        "kind": np.repeat(np.array([CONTEXT, PHRASE, GRAM], np.int32), [n_c, n_p, n_g]),
+        "key": np.concatenate([context[~in_c], phrase[open_], keys]),
+        "times": np.concatenate([own_c[~in_c], own_p[open_], np.zeros(n_g, np.int64)]),
+        "at": np.concatenate([np.full(n_c, -1), np.where(np.isin(open_, of), open_, -1), of]).astype(np.int32),
+        "alt": np.concatenate([np.zeros(n_c), spelt[open_], alt]),
+        "less": np.concatenate([np.zeros(n_c + n_p), less]),
+    }
+
+
+#: What a text asks for: kind and key; times a word occurs, or a phrase or context is counted for the text itself; alt, its term if the key isn't found; less, what a sequence's term is
+#: less than the log of its count if it is. A phrase and the sequences outside the head in it share at, its number in the
+#: text: they count only if it isn't found. Otherwise at is -1.
+ASKED = {"kind": pa.int32(), "key": pa.int64(), "times": pa.int64(), "at": pa.int32(), "alt": pa.float64(), "less": pa.float64()}
+
+
+def score(batches: Iterator[pa.RecordBatch], trie: Trie, heads: dict[int, Head], folds: int, fold: int) -> Iterator[pa.RecordBatch]:
+    powers, words_head = Powers(), heads[WORD]
     for b in batches:
         ids = b.column(1).to_pylist()
-        cols: list[list] = [[] for _ in range(7)]
-        for d, t in zip(ids, b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-            raw = (t or b"").translate(LOWER)
-            words = Counter(raw.split())
-            words[END] += 1
-            h = np.fromiter((signed(xxhash.xxh64_intdigest(w)) for w in words), np.int64, len(words))
-            n = np.fromiter(words.values(), np.int64, len(words))
-            at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
-            hit = keys[at] == h if len(keys) else np.zeros(len(h), bool)
-            for c, v in zip(cols, (not trains(d, folds, fold), int(n.sum()), int(n[hit].sum()), float((n[hit] * logs[at[hit]]).sum()), trie.log10(raw), h[~hit], n[~hit]), strict=True):
-                c.append(v)
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["_row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rest", "times"])
-
-
-def column(df: DataFrame, *names: str) -> list[np.ndarray]:
-    got = df.select(*names).toArrow()
+        raws = [(t or b"").translate(LOWER) for t in b.column(2).cast(pa.binary()).to_pylist()]
+        cols: list[list] = [[] for _ in range(5)]
+        asked: list[dict[str, np.ndarray]] = []
+        lo = 0
+        while lo < len(raws):
+            hi, size = lo, 0
+            while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= AT_ONCE):
+                size += len(raws[hi])
+                hi += 1
+            for d, raw, spelling in zip(ids[lo:hi], raws[lo:hi], by_byte(raws[lo:hi], trie, heads[GRAM]), strict=True):
+                words = Counter(raw.split())
+                words[END] += 1
+                h = np.fromiter((signed(xxhash.xxh64_intdigest(w)) for w in words), np.int64, len(words))
+                n = np.fromiter(words.values(), np.int64, len(words))
+                at, hit = found(words_head.keys, h)
+                log, more = terms(raw, spelling, heads, powers, trains(d, folds, fold))
+                rest, zeros = int((~hit).sum()), np.zeros(int((~hit).sum()))
+                asked.append({"kind": np.append(more["kind"], np.full(rest, WORD, np.int32)), "key": np.append(more["key"], h[~hit]), "times": np.append(more["times"], n[~hit]), "at": np.append(more["at"], np.full(rest, -1, np.int32)), "alt": np.append(more["alt"], zeros), "less": np.append(more["less"], zeros)})
+                for c, v in zip(cols, (not trains(d, folds, fold), int(n.sum()), int(n[hit].sum()), float((n[hit] * words_head.logs[at[hit]]).sum()), log), strict=True):
+                    c.append(v)
+            lo = hi
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in asked]) if asked else [], kind) for k, kind in ASKED.items()], list(ASKED))
+        ends = pa.array(np.cumsum([0, *(len(x["key"]) for x in asked)]).astype(np.int32))
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(ends, flat)], names=["_row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "asked"])
+
+
+def columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    got = df.select(*names).toArrow().sort_by(names[0])
     return [got.column(n).to_numpy() for n in names]
 
 
-def score_documents(docs: DataFrame, *, folds: int = 7, fold: int = 2, order: int = ORDER, max_nodes: int = MAX_NODES, head: int = HEAD) -> DataFrame:
+def trie_of(ws: Workspace, counts: DataFrame, order: int) -> Trie:
+    """From counts(kind, key, n): what the tasks need, at most 256^order contexts and sequences of each order under the highest."""
+    last = F.col("key").bitwiseAND(F.lit((1 << (8 * order)) - 1))
+    longest = counts.where(F.col("kind") == order).select("key", "n")
+    shorter = longest.select(last.alias("key"), "n").unionByName(counts.where(F.col("kind") == order - 1).select("key", "n"))
+    shorter = ws.keep(shorter.groupBy("key").agg(F.sum("n").alias("n")), "shorter")
+    ends = longest.withColumn("end", last).join(shorter.select(F.col("key").alias("end"), F.col("n").alias("m")), "end")
+    top = ends.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.sum("m").alias("seen"))
+    begun = [(k.astype(np.uint64), c) for k, c in (columns(counts.where(F.col("kind") == k), "key", "n") for k in range(order - 1))]
+    keys, n = columns(shorter, "key", "n")
+    levels = [(keys.astype(np.uint64), n)]
+    for k in reversed(range(order - 1)):
+        levels.insert(0, marginal(levels[0], begun[k], k))
+    own, total, distinct, seen = columns(top, "context", "total", "distinct", "seen")
+    own = own.astype(np.uint64)
+    keys, up = levels[-1][0], levels[-1][1]
+    short, start = np.unique(keys >> np.uint64(8), return_index=True)
+    there, _ = found(short, own & np.uint64((1 << (8 * (order - 1))) - 1))
+    all_total, all_distinct = (np.add.reduceat(x, start)[there] if len(own) else np.zeros(0) for x in (up, np.ones(len(keys), np.int64)))
+    return Trie(levels, Contexts(own, total, distinct, all_total - seen, all_distinct - distinct))
+
+
+def heads_of(counts: DataFrame, kinds: dict[int, int], head: int) -> tuple[dict[int, Head], dict[int, DataFrame]]:
+    """By name in kinds (name: kind in counts): the keys from a count on, the lowest step of counts that leaves no more than head keys; and the others."""
+    step = F.floor(F.log2("n") * 64)
+    histogram: dict[int, list] = {}
+    for r in counts.where(F.col("kind").isin(list(kinds.values()))).groupBy("kind", step.alias("step")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("step")).collect():
+        histogram.setdefault(r.kind, []).append(r)
+    heads, tails = {}, {}
+    for name, kind in kinds.items():
+        room, least = head, None
+        for r in histogram.get(kind, []):
+            room -= r.v
+            if room < 0:
+                break
+            least = r.step
+        own, inside = counts.where(F.col("kind") == kind), step >= least if least is not None else F.lit(False)
+        keys, n = columns(own.where(inside), "key", "n")
+        heads[name] = Head(keys, n, np.log10(n + (1.0 if name == WORD else 0.0)))
+        tails[name] = own.where(~inside).select(F.lit(name).alias("kind"), "key", F.col("n").alias("c"))
+    return heads, tails
+
+
+def score_documents(docs: DataFrame, *, folds: int = 7, fold: int = 2, order: int = ORDER, head: int = HEAD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text)."""
     ws = Workspace(docs.sparkSession, "ppm")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counted = rows.mapInArrow(lambda it: gather(it, folds, fold, order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    counts = ws.keep(counted, "counts")
-    words = counts.where("kind = -1")
-    total = {r.kind: (r.v, r.n) for r in counts.groupBy("kind").agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()}
-    v, n = total.get(-1, (0, 0))
-    nodes, size = counts.where(F.col("kind") == order).select("key", "n"), total.get(order, (0, 0))[0]
-    while order and size > max_nodes:
-        order -= 1
-        last = F.col("key").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1))
-        nodes = ws.keep(counts.where(F.col("kind") >= order).groupBy(last.alias("key")).agg(F.sum("n").alias("n")), "nodes")
-        size = nodes.count()
-    begun = [(k.astype(np.uint64), c) for k, c in (column(counts.where(F.col("kind") == k), "key", "n") for k in range(order))]
-    keys, seen = column(nodes, "key", "n")
-    levels = [summed(keys.astype(np.uint64), seen)]
-    for k in reversed(range(order)):
-        levels.insert(0, marginal(levels[0], begun[k], k))
-    # the head: words from a count on, the lowest step of counts that leaves no more than head words
-    step = F.floor(F.log2("n") * 64)
-    room, least = head, None
-    for r in words.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("v")).orderBy(F.desc("step")).collect():
-        room -= r.v
-        if room < 0:
-            break
-        least = r.step
-    inside = step >= least if least is not None else F.lit(False)
-    keys, seen = column(words.where(inside), "key", "n")
-    by = np.argsort(keys)
-    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((Trie(levels), (keys[by], np.log10(seen[by] + 1.0)))))
+    counts = ws.keep(rows.mapInArrow(lambda it: gather(it, folds, fold, order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    v, n = counts.where(F.col("kind") == WORD).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    heads, tails = heads_of(counts, {WORD: WORD, PHRASE: PHRASE, CONTEXT: CONTEXT, GRAM: order}, head)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((trie_of(ws, counts, order), heads)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, rest array<long>, times array<long>"
+    out = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, asked array<struct<kind:int,key:long,times:long,at:int,alt:double,less:double>>"
     scored = rows.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text").mapInArrow(lambda it: score(it, *pickle.loads(sent.value), folds, fold), out)
     scored = ws.keep(scored, "scored")
-    # words that aren't in the head: their counts, by a join on the hash
-    tail = words.where(~inside).select("key", F.col("n").alias("c"))
-    asked = scored.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("key"), F.col("x.times").alias("m"))
-    more = asked.join(tail, "key").groupBy("_row").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.log10(F.col("c") + 1.0)).alias("l"))
-    base = F.coalesce("logs", F.lit(0.0)) + F.coalesce("l", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    return scored.join(more, "_row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("m", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    # what isn't in a head, by a join on kind and key; first a sum for each phrase that has sequences outside the head, then for each row
+    tail = tails[WORD].unionByName(tails[PHRASE]).unionByName(tails[CONTEXT]).unionByName(tails[GRAM])
+    asked = scored.select("_row", F.inline("asked")).join(tail, ["kind", "key"], "left")
+    is_, others = lambda k: F.col("kind") == k, F.col("c") - F.col("times")
+    hit = F.when(is_(PHRASE), F.coalesce(others > 0, F.lit(False))).otherwise(F.col("c").isNotNull())
+    word = F.when(is_(WORD) & hit, F.col("times"))
+    term = F.when(is_(CONTEXT), F.when(hit, -F.log10(others + 1.0)).otherwise(0.0)).when(is_(PHRASE), F.when(hit, F.log10(others)).otherwise(F.col("alt"))).when(is_(GRAM), F.when(hit, F.log10("c") - F.col("less")).otherwise(F.col("alt")))
+    by_phrase = asked.groupBy("_row", "at").agg(
+        F.sum(word).alias("m"), F.sum(word * F.log10(F.col("c") + 1.0)).alias("l"), F.sum(F.when(~is_(GRAM), term)).alias("s"), F.sum(F.when(is_(GRAM), term)).alias("g"),
+        F.bool_or((F.col("at") >= 0) & is_(PHRASE) & hit).alias("whole"),
+    )
+    more = by_phrase.groupBy("_row").agg(F.sum("m").alias("m"), F.sum("l").alias("l"), F.sum(F.coalesce("s", F.lit(0.0)) + F.when(F.col("whole"), 0.0).otherwise(F.coalesce("g", F.lit(0.0)))).alias("s"))
+    none = F.lit(0.0)
+    base = F.coalesce("logs", none) + F.coalesce("l", none) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return scored.drop("asked").join(more, "_row", "left").select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("m", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("s", none)).alias("score"))

@@ -248,9 +248,9 @@ def brute_ppm(train, t, order):
         for i in range(len(x)):
             for k in range(min(order, i) + 1):
                 seen.setdefault(x[i - k : i], Counter())[x[i]] += 1
-    total = 0.0
+    each = []
     for i in range(len(t)):
-        out, p = set(), None
+        total, out, p = 0.0, set(), None
         for k in range(min(order, i), -1, -1):
             live = {c: n for c, n in seen.get(t[i - k : i], {}).items() if c not in out}
             if not live:
@@ -261,28 +261,63 @@ def brute_ppm(train, t, order):
                 break
             total += math.log10(len(live) / mass)
             out |= set(live)
-        total += math.log10(p) if p else -math.log10(256 - len(seen.get(b"", {})))
-    return total
-
-
-@pytest.mark.parametrize(("order", "nodes"), [(3, 4_000_000), (3, 400)])
-def test_lm_scores(odd, order, nodes):
-    short = [(i, t) for i, t in ODD if t is not LONG]
-    got = ppm.score_documents(odd.where("doc_id <> 9 OR doc_id IS NULL"), order=order, max_nodes=nodes, head=10).collect()
+        each.append(total + (math.log10(p) if p else -math.log10(256 - len(seen.get(b"", {})))))
+    return each
+
+
+def cut(raw):
+    """Phrases of a text, as bytes, by the rule for where they end."""
+    if not raw:
+        return []
+    at, _ = ppm.phrases(raw, ppm.Powers())
+    starts = {m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)}
+    assert set(at[1:].tolist()) <= starts
+    ends = [*at[1:].tolist(), len(raw)]
+    return [raw[a:b] for a, b in zip(at.tolist(), ends, strict=True)]
+
+
+@pytest.mark.parametrize(("order", "head"), [(3, 200_000), (3, 10), (2, 0)])
+def test_lm_scores(odd, order, head, monkeypatch):
+    """Every head, and none, gives the scores of a plain trie with phrases above it."""
+    monkeypatch.setattr(ppm, "AT_ONCE", 300)
+    short = [(i, t) for i, t in ODD if t is not LONG] + [(40, BASE + " one more"), (41, BASE + " two more"), (42, BASE * 3), (45, "zzz qqq " + BASE)]
+    df = odd.sparkSession.createDataFrame([(i, t, "x", 0) for i, t in short], "doc_id long, text string, key string, n int").repartition(3)
+    got = ppm.score_documents(df, order=order, head=head).collect()
     assert len(got) == len(short)
     low = {i: (t or "").translate(LOW) for i, t in short}
-    train = [t for i, t in short if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    raw = [(t or "").translate(LOW).encode() for t in train]
-    while order and sum(len({x[i - k : i + 1] for x in raw for i in range(k, len(x))}) for k in [order]) > nodes:
-        order -= 1
+    train = [t for i, t in ((i, (t or "").translate(LOW)) for i, t in short) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    raw = [t.encode() for t in train]
     c = Counter(w for t in train for w in [*words_of(t), ""])
+    after = Counter((a, b) for t in raw for p in [[None, *cut(t)]] for a, b in zip(p, p[1:], strict=False))
+    seen = Counter(a for (a, _), k in after.items() for _ in range(k))
     n, v = sum(c.values()), len(c)
     for r in got:
         w = [*words_of(low[r.doc_id]), ""]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
         assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        assert r.score == pytest.approx(brute_ppm(raw, low[r.doc_id].encode(), order), abs=1e-6)
+        t, at, want = low[r.doc_id].encode(), 0, 0.0
+        bytes_ = brute_ppm(raw, t, order)
+        pairs = list(zip([None, *cut(t)], cut(t), strict=False))
+        mine = Counter() if r.held_out else Counter(pairs) + Counter(a for a, _ in pairs)
+        for a, b in pairs:
+            others, n_context = after[a, b] - mine[a, b], seen[a] - mine[a]
+            want -= math.log10(n_context + 1)
+            want += math.log10(others) if others else sum(bytes_[at : at + len(b)])
+            at += len(b)
+        assert r.score == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_lm_tells_texts_that_occur_twice(spark):
+    """Per word, a text that occurs twice is likelier than those that occur once, as the phrases say."""
+    rng = np.random.RandomState(6)
+    texts = [" ".join(f"w{x}" for x in rng.randint(0, 400, 150)) for _ in range(400)]
+    docs = [(i, texts[i if i < 400 else i - 400]) for i in range(420)]
+    out = ppm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).where("NOT held_out").toPandas()
+    per = out.score / out.n_tokens
+    twice = (out.doc_id < 20) | (out.doc_id >= 400)
+    both = twice & out.doc_id.isin([i % 400 for i in out.doc_id[twice & (out.doc_id >= 400)]] + [i + 400 for i in out.doc_id[out.doc_id < 20]])
+    assert per[both].min() > per[~twice].quantile(0.9)
 
 
 def test_lm_scores_without_rows(empty):
