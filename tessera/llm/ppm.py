@@ -36,7 +36,6 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,10 +44,11 @@ from tessera.llm.common import LOWER, SPACES, Workspace
 
 ORDER, HEAD = 3, 200_000
 #: A phrase ends after a word whose hash is divisible by this, so after so many words on average.
-CUT = 12
-#: Distinct keys that a task gathers before it hands them on, and bytes of text that are looked up at once.
-GATHER, AT_ONCE = 1_000_000, 1 << 20
-END = b""
+CUT = 16
+#: Bytes of text of which a task hands on the counts together, and that are looked up at once.
+GATHER, AT_ONCE = 16 << 20, 1 << 20
+#: The key of a text's end as a word.
+END = 0
 #: What is counted: words, phrases after a context, contexts of phrases; sequences of k + 1 bytes have k, and
 #: those of the highest order are called GRAM where they are joined.
 WORD, PHRASE, CONTEXT, GRAM = -1, -2, -3, -4
@@ -72,10 +72,6 @@ def trains(doc_id: object, folds: int, fold: int) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds != fold
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * MIX
     return x ^ (x >> np.uint64(29))
@@ -96,70 +92,104 @@ class Powers:
         return self.up, self.down
 
 
-def phrases(raw: bytes, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Where each phrase of a text starts, and its hash: of all its bytes, up to the next one's start."""
-    b = np.frombuffer(raw, np.uint8)
-    if not len(b):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    up, down = powers.of(len(b) + 1)
-    so_far = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=so_far[1:])
-    hashed = lambda s, e: mixed((so_far[e] - so_far[s]) * down[s])
-    solid = np.concatenate([[False], ~IS_SPACE[b], [False]])
-    starts, ends = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1
-    cut = starts[1:][hashed(starts[:-1], ends[:-1]) % np.uint64(CUT) == 0] if len(starts) else starts
-    at = np.concatenate([[0], cut]).astype(np.int64)
-    return at, hashed(at, np.append(at[1:], len(b)))
+@dataclass
+class Block:
+    """Texts one after the other, a blank between them, and where their words and phrases stand. All by array operations over the block."""
 
+    raws: list[bytes]
+    powers: Powers
 
-def keys_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each phrase's context, which is the phrase before (at first: none), and of the phrase after it."""
-    before = np.append(np.zeros(1, np.uint64), h)[: len(h)]
-    return mixed(before + np.uint64(1)).view(np.int64), mixed(before * np.uint64(ODD) ^ h).view(np.int64)
+    def __post_init__(self):
+        self.raw = b" ".join(self.raws)
+        size = np.array([len(r) for r in self.raws], np.int64)
+        self.end = np.cumsum(size + 1) - 1
+        self.start = self.end - size
+        b = np.frombuffer(self.raw, np.uint8)
+        up, self.down = self.powers.of(len(b) + 1)
+        self.so_far = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=self.so_far[1:])
+        solid = np.concatenate([[False], ~IS_SPACE[b], [False]])
+        starts, ends = np.flatnonzero(solid[1:-1] & ~solid[:-2]), np.flatnonzero(solid[1:-1] & ~solid[2:]) + 1
+        #: Words: text and hash.
+        self.word_text, self.words = self.text_of(starts), self.hashed(starts, ends)
+        same = self.word_text[1:] == self.word_text[:-1]
+        cut = starts[1:][same & (self.words[:-1] % np.uint64(CUT) == 0)]
+        #: Phrases: start, text, and keys of the context, which is the phrase before (at first: none), and of the phrase after it.
+        self.at = np.sort(np.concatenate([self.start[size > 0], cut])).astype(np.int64)
+        self.text = self.text_of(self.at)
+        last = np.append(self.text[1:] != self.text[:-1], True)[: len(self.at)]
+        h = self.hashed(self.at, np.where(last, self.end[self.text], np.append(self.at[1:], 0)[: len(self.at)]))
+        before = np.where(self.at == self.start[self.text], np.uint64(0), np.append(np.zeros(1, np.uint64), h)[: len(h)])
+        self.context, self.phrase = mixed(before + np.uint64(1)).view(np.int64), mixed(before * np.uint64(ODD) ^ h).view(np.int64)
+
+    def text_of(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.start, at, "right") - 1
+
+    def hashed(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.so_far[end] - self.so_far[start]) * self.down[start])
+
+    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bytes that have order bytes of their text before them, and the sequences of order + 1 bytes."""
+        g = grams(self.raw, order)
+        at = np.arange(order, order + len(g))
+        from_start = at - np.repeat(self.start, self.end - self.start + 1)[order : order + len(g)] if len(g) else at
+        inside = (from_start >= order) & (at < np.repeat(self.end, self.end - self.start + 1)[order : order + len(g)]) if len(g) else np.zeros(0, bool)
+        return at[inside], g[inside]
+
+    def each(self, text: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Group of each key of a text, and how many each group has."""
+        codes, _ = pd.factorize(mixed(keys.view(np.uint64) + text.astype(np.uint64) * np.uint64(ODD)))
+        return codes, np.bincount(codes)
+
+
+def blocks(raws: list[bytes], powers: Powers) -> Iterator[tuple[int, Block]]:
+    """The texts in blocks of AT_ONCE bytes, or of one text that is longer; with the number of each block's first."""
+    lo = 0
+    while lo < len(raws):
+        hi, size = lo, 0
+        while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= AT_ONCE):
+            size += len(raws[hi]) + 1
+            hi += 1
+        yield lo, Block(raws[lo:hi], powers)
+        lo = hi
 
 
 def gather(batches: Iterator[pa.RecordBatch], folds: int, fold: int, order: int) -> Iterator[pa.RecordBatch]:
     """kind, key, n of training rows: words, phrases, contexts, sequences of order + 1 bytes, and texts' first bytes.
 
-    Partial counts, handed on whenever GATHER keys have come together.
+    Partial counts of GATHER bytes of text at a time.
     """
 
     def handed(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
 
-    words, begun, powers = Counter(), Counter(), Powers()
-    parts: dict[int, list[np.ndarray]] = {PHRASE: [], CONTEXT: [], order: []}
+    begun, powers, size, texts = Counter(), Powers(), 0, 0
+    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], PHRASE: [], CONTEXT: [], order: []}
 
     def given() -> Iterator[pa.RecordBatch]:
-        keys = np.fromiter((signed(xxhash.xxh64_intdigest(w)) for w in words), np.int64, len(words))
-        yield handed(WORD, keys, np.fromiter(words.values(), np.int64, len(words)))
+        yield handed(WORD, np.array([END]), np.array([texts]))
         for k in range(order):
             own = {t: n for t, n in begun.items() if len(t) == k + 1}
             yield handed(k, np.fromiter((int.from_bytes(t, "big") for t in own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
-        for kind, found in parts.items():
-            if found:
-                codes, own = pd.factorize(np.concatenate(found))
-                yield handed(kind, own, np.bincount(codes, minlength=len(own)))
-            found.clear()
-        words.clear()
+        for kind, some in parts.items():
+            if some:
+                codes, own = pd.factorize(np.concatenate([k for k, _ in some]))
+                yield handed(kind, own, np.bincount(codes, np.concatenate([n for _, n in some]), len(own)))
+            some.clear()
         begun.clear()
 
-    n = 0
     for b in batches:
-        for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if not trains(d, folds, fold):
-                continue
-            raw = (t or b"").translate(LOWER)
-            words.update(raw.split())
-            words[END] += 1
-            begun.update(raw[: k + 1] for k in range(min(order, len(raw))))
-            context, phrase = keys_of(phrases(raw, powers)[1])
-            for kind, keys in ((PHRASE, phrase), (CONTEXT, context), (order, grams(raw, order).astype(np.int64))):
-                parts[kind].append(keys)
-            n += len(raw) + 1
-            if n > 8 * AT_ONCE or len(words) > GATHER:
+        train = [(t or b"").translate(LOWER) for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if trains(d, folds, fold)]
+        for _, block in blocks(train, powers):
+            for kind, keys in ((WORD, block.words.view(np.int64)), (PHRASE, block.phrase), (CONTEXT, block.context), (order, block.grams(order)[1].astype(np.int64))):
+                codes, own = pd.factorize(keys)
+                parts[kind].append((own, np.bincount(codes, minlength=len(own))))
+            for r in block.raws:
+                begun.update(r[: k + 1] for k in range(min(order, len(r))))
+            texts, size = texts + len(block.raws), size + len(block.raw)
+            if size > GATHER:
                 yield from given()
-                n = 0
+                size = texts = 0
     yield from given()
 
 
@@ -264,59 +294,63 @@ class Head:
     logs: np.ndarray
 
 
-def by_byte(raws: list[bytes], trie: Trie, head: Head) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: the log probability of each byte (0 where it depends on a sequence outside the head), and of those sequences: places, keys, and logs if unseen and less than the count's if seen.
+def spelt(block: Block, trie: Trie, head: Head, first: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The log probability of each byte (0 where it hangs on a sequence outside the head); and of those sequences: places, keys, logs if they were never seen, and what they are less than the logs of their counts if they were.
 
-    Equal sequences of the texts are looked up once.
+    Equal sequences are looked up once. first: log probabilities of texts' first bytes, which have shorter contexts.
     """
-    order = trie.order
-    g = [grams(r, order) for r in raws]
-    codes, own = pd.factorize(np.concatenate(g))
+    order, out = trie.order, np.zeros(len(block.raw))
+    for at, r in zip(block.start.tolist(), block.raws, strict=True):
+        for k in range(min(order, len(r))):
+            if (begin := r[: k + 1]) not in first:
+                first[begin] = float(trie.levels(grams(begin, k), k)[0])
+            out[at + k] = first[begin]
+    places, g = block.grams(order)
+    codes, own = pd.factorize(g)
     own = np.asarray(own, np.uint64)
-    at, hit = found(head.keys, own.astype(np.int64))
-    alt, first = trie.unseen(own)
-    value = np.where(hit, (head.logs[at] if len(head.keys) else 0.0) - first, 0.0)
-    lo = 0
-    for r, x in zip(raws, g, strict=True):
-        code = codes[lo : lo + len(x)]
-        lo += len(x)
-        out = np.zeros(len(r))
-        for k in range(min(order, len(r))):  # the first bytes have shorter contexts
-            out[k] = trie.levels(grams(r[: k + 1], k), k)[0]
-        out[order:] = value[code]
-        rest = np.flatnonzero(~hit[code])
-        yield out, rest + order, own[code[rest]].astype(np.int64), np.stack([alt[code[rest]], first[code[rest]]])
-
-
-def own(keys: np.ndarray, counted: bool) -> np.ndarray:
-    """How often each of a text's keys is counted for the text itself."""
-    codes, _ = pd.factorize(keys)
-    return np.bincount(codes)[codes] if counted and len(keys) else np.zeros(len(keys), np.int64)
-
-
-def terms(raw: bytes, spelling: tuple, heads: dict[int, Head], powers: Powers, counted: bool) -> tuple[float, dict[str, np.ndarray]]:
-    """What is known of a text's score, and what is to be joined: kind, key, times, at, alt, less (see ASKED)."""
-    at, h = phrases(raw, powers)
-    context, phrase = keys_of(h)
-    own_c, own_p = own(context, counted), own(phrase, counted)
-    (c, in_c), (p, in_p) = found(heads[CONTEXT].keys, context), found(heads[PHRASE].keys, phrase)
+    at, hit = found(head.keys, own.view(np.int64))
+    alt, less = trie.unseen(own)
+    out[places] = np.where(hit, (head.logs[at] if len(head.keys) else 0.0) - less, 0.0)[codes]
+    rest = np.flatnonzero(~hit[codes])
+    return out, places[rest], own[codes[rest]].view(np.int64), alt[codes[rest]], less[codes[rest]]
+
+
+def terms(block: Block, trie: Trie, heads: dict[int, Head], first: dict[bytes, float], counted: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """Of each text: tokens, known ones, sum of their logs, what is known of the score; then what is to be joined (see ASKED), and whose it is.
+
+    counted: which texts are training rows.
+    """
+    n, total = len(block.raws), lambda text, x: np.bincount(text, x, len(block.raws))
+    text, keys = np.append(block.word_text, np.arange(n)), np.append(block.words.view(np.int64), np.full(n, END))
+    group, times = block.each(text, keys)
+    _, one = np.unique(group, return_index=True)
+    text, keys, times = text[one], keys[one], times
+    w, in_w = found(heads[WORD].keys, keys)
+    log_w = np.where(in_w, heads[WORD].logs[w], 0.0) if len(heads[WORD].keys) else np.zeros(len(keys))
+    own_c, own_p = (np.where(counted[block.text], size[g], 0) if len(g) else np.zeros(0, np.int64) for g, size in (block.each(block.text, x) for x in (block.context, block.phrase)))
+    (c, in_c), (p, in_p) = found(heads[CONTEXT].keys, block.context), found(heads[PHRASE].keys, block.phrase)
     in_p[in_p] = heads[PHRASE].counts[p[in_p]] > own_p[in_p]  # no others: it is asked for like one that isn't in the head, and not found
-    known = np.log10(heads[PHRASE].counts[p[in_p]] - own_p[in_p]).sum() - np.log10(heads[CONTEXT].counts[c[in_c]] - own_c[in_c] + 1).sum()
-    each, places, keys, (alt, less) = spelling
-    spelt = np.add.reduceat(each, at) if len(at) else np.zeros(0)
-    of = np.searchsorted(at, places, "right") - 1  # the phrase that a sequence outside the head ends in
-    used = ~in_p[of]
-    of, keys, alt, less = of[used], keys[used], alt[used], less[used]
-    open_ = np.flatnonzero(~in_p)
-    n_c, n_p, n_g = int((~in_c).sum()), len(open_), len(of)
-    return float(known), {
-        "kind": np.repeat(np.array([CONTEXT, PHRASE, GRAM], np.int32), [n_c, n_p, n_g]),
-        "key": np.concatenate([context[~in_c], phrase[open_], keys]),
-        "times": np.concatenate([own_c[~in_c], own_p[open_], np.zeros(n_g, np.int64)]),
-        "at": np.concatenate([np.full(n_c, -1), np.where(np.isin(open_, of), open_, -1), of]).astype(np.int32),
-        "alt": np.concatenate([np.zeros(n_c), spelt[open_], alt]),
-        "less": np.concatenate([np.zeros(n_c + n_p), less]),
+    known = total(block.text[in_p], np.log10(heads[PHRASE].counts[p[in_p]] - own_p[in_p])) - total(block.text[in_c], np.log10(heads[CONTEXT].counts[c[in_c]] - own_c[in_c] + 1))
+    each, places, rest, alt, less = spelt(block, trie, heads[GRAM], first)
+    by_bytes = np.add.reduceat(each, block.at) if len(block.at) else np.zeros(0)
+    of = np.searchsorted(block.at, places, "right") - 1  # the phrase that a sequence outside the head ends in
+    used = ~in_p[of] if len(of) else np.zeros(0, bool)
+    of, rest, alt, less = of[used], rest[used], alt[used], less[used]
+    open_, shut_c = np.flatnonzero(~in_p), np.flatnonzero(~in_c)
+    shut_w = np.flatnonzero(~in_w)
+    sizes = [len(shut_c), len(open_), len(of), len(shut_w)]
+    none = [np.zeros(k) for k in sizes]
+    whose = np.concatenate([block.text[shut_c], block.text[open_], block.text[of], text[shut_w]])
+    asked = {
+        "kind": np.repeat(np.array([CONTEXT, PHRASE, GRAM, WORD]), sizes),
+        "key": np.concatenate([block.context[shut_c], block.phrase[open_], rest, keys[shut_w]]),
+        "times": np.concatenate([own_c[shut_c], own_p[open_], none[2], times[shut_w]]),
+        "at": np.concatenate([none[0] - 1, np.where(np.isin(open_, of), open_, -1), of, none[3] - 1]),
+        "alt": np.concatenate([none[0], by_bytes[open_], alt, none[3]]),
+        "less": np.concatenate([none[0], none[1], less, none[3]]),
     }
+    order = np.argsort(whose, kind="stable")
+    return [total(text, times), total(text, np.where(in_w, times, 0)), total(text, times * log_w), known], whose[order], {k: x[order] for k, x in asked.items()}
 
 
 #: What a text asks for: kind and key; times a word occurs, or a phrase or context is counted for the text itself; alt, its term if the key isn't found; less, what a sequence's term is
@@ -326,34 +360,20 @@ ASKED = {"kind": pa.int32(), "key": pa.int64(), "times": pa.int64(), "at": pa.in
 
 
 def score(batches: Iterator[pa.RecordBatch], trie: Trie, heads: dict[int, Head], folds: int, fold: int) -> Iterator[pa.RecordBatch]:
-    powers, words_head = Powers(), heads[WORD]
+    powers, first = Powers(), {}
+    names = ["_row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "asked"]
     for b in batches:
-        ids = b.column(1).to_pylist()
+        counted = np.array([trains(d, folds, fold) for d in b.column(1).to_pylist()], bool)
         raws = [(t or b"").translate(LOWER) for t in b.column(2).cast(pa.binary()).to_pylist()]
-        cols: list[list] = [[] for _ in range(5)]
-        asked: list[dict[str, np.ndarray]] = []
-        lo = 0
-        while lo < len(raws):
-            hi, size = lo, 0
-            while hi < len(raws) and (hi == lo or size + len(raws[hi]) <= AT_ONCE):
-                size += len(raws[hi])
-                hi += 1
-            for d, raw, spelling in zip(ids[lo:hi], raws[lo:hi], by_byte(raws[lo:hi], trie, heads[GRAM]), strict=True):
-                words = Counter(raw.split())
-                words[END] += 1
-                h = np.fromiter((signed(xxhash.xxh64_intdigest(w)) for w in words), np.int64, len(words))
-                n = np.fromiter(words.values(), np.int64, len(words))
-                at, hit = found(words_head.keys, h)
-                log, more = terms(raw, spelling, heads, powers, trains(d, folds, fold))
-                rest, zeros = int((~hit).sum()), np.zeros(int((~hit).sum()))
-                asked.append({"kind": np.append(more["kind"], np.full(rest, WORD, np.int32)), "key": np.append(more["key"], h[~hit]), "times": np.append(more["times"], n[~hit]), "at": np.append(more["at"], np.full(rest, -1, np.int32)), "alt": np.append(more["alt"], zeros), "less": np.append(more["less"], zeros)})
-                for c, v in zip(cols, (not trains(d, folds, fold), int(n.sum()), int(n[hit].sum()), float((n[hit] * words_head.logs[at[hit]]).sum()), log), strict=True):
-                    c.append(v)
-            lo = hi
-        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in asked]) if asked else [], kind) for k, kind in ASKED.items()], list(ASKED))
-        ends = pa.array(np.cumsum([0, *(len(x["key"]) for x in asked)]).astype(np.int32))
-        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.ListArray.from_arrays(ends, flat)], names=["_row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "asked"])
+        for lo, block in blocks(raws, powers):
+            hi = lo + len(block.raws)
+            sums, whose, asked = terms(block, trie, heads, first, counted[lo:hi])
+            flat = pa.StructArray.from_arrays([pa.array(asked[k].astype(kind.to_pandas_dtype()), kind) for k, kind in ASKED.items()], list(ASKED))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(whose, minlength=hi - lo))).astype(np.int32))
+            made = [pa.array(~counted[lo:hi]), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x.astype(np.float64)) for x in sums[2:])]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in (0, 1)), *made, pa.ListArray.from_arrays(ends, flat)], names=names)
+            if len(first) > GATHER:
+                first.clear()
 
 
 def columns(df: DataFrame, *names: str) -> list[np.ndarray]:

@@ -269,7 +269,7 @@ def cut(raw):
     """Phrases of a text, as bytes, by the rule for where they end."""
     if not raw:
         return []
-    at, _ = ppm.phrases(raw, ppm.Powers())
+    at = ppm.Block([raw], ppm.Powers()).at
     starts = {m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)}
     assert set(at[1:].tolist()) <= starts
     ends = [*at[1:].tolist(), len(raw)]
