@@ -15,9 +15,10 @@ with no other bounds its similarity to each exactly, so those that can't reach t
 pair of a bucket is compared, excluded by its bound, or connected.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text of fewer words
-than a shingle is one shingle; rows with a null doc_id are left out, as a component is named by a
-doc_id; repeated rows are returned as they came, each with the component of its own text, and texts that share
-a doc_id are one node of the links; an empty table gives none; other columns are ignored.
+than a shingle is one shingle; rows with a null doc_id have their n_shingles, but link nothing and have a null component and
+kept, as a component is named by a doc_id; repeated rows are returned as they came, each with the component of its own text,
+and texts that share a doc_id are one node of the links; texts of any length are read whole; an empty table gives none;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ from tessera.llm.components import roots
 BANDS, ROWS, BATCH, MISS = 50, 7, 70, 1e-5
 #: Minima that the screening compares. Of each, 8 bits are kept: chance agreement only makes it milder.
 SCREENED = BANDS * ROWS
-#: Texts in a block of the last comparison.
-BLOCK = 512
+#: Shingles in a block of the last comparison; a longer text is a block's.
+BLOCK = 1 << 15
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 RANDOM = np.random.RandomState(20240229)
 #: Odd multipliers of the minima and of the rows of a band.
@@ -142,26 +143,29 @@ def connected(ws: Workspace, sigs: DataFrame, texts: DataFrame, k: int, percent:
     named = ws.keep(active.select("bucket", "member").join(comp.select(F.col("node").alias("member"), "comp"), "member", "left").select("bucket", "member", F.coalesce("comp", "member").alias("comp")), "members")
     parts = named.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     open_ = parts.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("major"), F.sum("n").alias("n")).where("n > major.n").select("bucket", F.col("major.comp").alias("region"))
-    live = ws.keep(named.join(open_, "bucket").select("region", "member", "comp").distinct(), "live")
-    sets = shared_shingles(ws, live, texts, k, percent)
-    live = ws.keep(live.join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi").select("region", "member", "comp", (F.col("comp") != F.col("region")).alias("asks")), "live")
+    first = ws.keep(named.join(open_, "bucket").select("region", "member", "comp").distinct(), "live")
+    sets = shared_shingles(ws, first, texts, k, percent)
+    live = ws.keep(first.join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi").select("region", "member", "comp", (F.col("comp") != F.col("region")).alias("asks")), "live")
+    ws.drop(first)
     more = ws.keep(across(live, sets, percent), "links")
     grown = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("_b")), "b", "left")
     merged = roots(ws, grown.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     up = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
-    ws.drop(active, named)
+    ws.drop(active, weight, named, live, sets, more)
     return ws.keep(comp.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")).unionByName(merged.join(comp.select("node"), "node", "left_anti")), "components")
 
 
 def across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, of each region's asking texts with all its texts, on full sets, in blocks.
 
-    Both sides are dealt into blocks of about BLOCK texts by a hash; a task gets one block of each side, so a
-    region of any size is shared out, and rows grow with its texts times its blocks. Of a text's links to one
+    Both sides are dealt by a hash into blocks of about BLOCK shingles; a task gets one block of each side, so a
+    region of any size, of short or long texts, is shared out in groups that a worker can hold. Of a text's links to one
     component, one a block is returned.
     """
-    total = live.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if("asks") / BLOCK).cast("int").alias("asking")).where("asking > 0")
-    rows = live.join(total, "region").join(sets.withColumnRenamed("doc_id", "member"), "member")
+    sized = sets.select(F.col("doc_id").alias("member"), "s", F.size("s").alias("_size"))
+    held = live.join(sized, "member")
+    total = held.groupBy("region").agg(F.ceil(F.sum("_size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("asks"), F.col("_size"))) / BLOCK).cast("int").alias("asking")).where("asking > 0")
+    rows = held.drop("_size").join(total, "region")
     spread = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     told = rows.select("region", spread("blocks").alias("block"), every("asking").alias("ask"), F.lit(False).alias("asks"), "member", "comp", "s")
@@ -180,16 +184,16 @@ def compare(df: pd.DataFrame, percent: int) -> pd.DataFrame:
         row = lambda sets: np.repeat(np.arange(len(sets)), size(sets))
         qh, mh = np.concatenate(qs), np.concatenate(ms)
         shared = np.intersect1d(qh, mh)
-        same = np.zeros((len(qs), len(ms)), np.float32)
+        same = np.zeros((len(qs), len(ms)), np.int64)
         where = [(np.searchsorted(shared, h), r) for h, r in ((qh, row(qs)), (mh, row(ms)))]
         hit = [shared[np.minimum(at, len(shared) - 1)] == h if len(shared) else np.zeros(len(h), bool) for (at, _), h in zip(where, (qh, mh), strict=True)]
-        for lo in range(0, len(shared), 4096):  # so many shingles at a time: products of two 0/1 matrices
+        for lo in range(0, len(shared), 4096):  # so many shingles at a time: products of two 0/1 matrices, whose sums are exact in a float
             m = []
             for (at, r), ok, n in zip(where, hit, (len(qs), len(ms)), strict=True):
                 x, use = np.zeros((n, min(4096, len(shared) - lo)), np.float32), ok & (at >= lo) & (at < lo + 4096)
                 x[r[use], at[use] - lo] = 1
                 m.append(x)
-            same += m[0] @ m[1].T
+            same += (m[0] @ m[1].T).astype(np.int64)
         linked = (100 * same >= percent * (size(qs)[:, None] + size(ms)[None] - same)) & (qc[:, None] != mc[None])
         seen = set()
         for i, j in zip(*np.nonzero(linked), strict=True):
@@ -208,23 +212,26 @@ def shared_shingles(ws: Workspace, live: DataFrame, texts: DataFrame, k: int, pe
     wanted = live.select(F.col("member").alias("doc_id")).distinct()
     sets = ws.keep(per_document(texts.join(wanted, "doc_id", "left_semi"), ["doc_id"], [T.StructField("s", T.ArrayType(T.LongType()))], lambda raw: (shingles(raw, k).view(np.int64).tolist(),)), "sets")
     once = sets.select("doc_id", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("own"))
-    return ws.keep(sets.join(once, "doc_id", "left").where(100 * (F.size("s") - F.coalesce("own", F.lit(0))) >= percent * F.size("s")).select("doc_id", "s"), "sets")
+    out = ws.keep(sets.join(once, "doc_id", "left").where(100 * (F.size("s") - F.coalesce("own", F.lit(0))) >= percent * F.size("s")).select("doc_id", "s"), "sets")
+    ws.drop(sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     ws = Workspace(docs.sparkSession, "neardup")
-    texts = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    texts = docs.select("doc_id", "text")
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     sets = ws.keep(per_document(texts, ["doc_id"], fields, partial(sketch, k=shingle)), "sets")
     # a class: equal sets. Copies meet on the map side, so a class of many sends one row a task
-    classes = ws.keep(sets.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = ws.keep(sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "key")
     sigs = ws.keep(sets.join(reps, ["doc_id", "key"], "left_semi").select("doc_id", "bands", "sig"), "signatures")
     comp = connected(ws, sigs, texts, shingle, percent)
     named = ws.keep(classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id")), "named")
     ws.drop(sigs, classes)
-    out = sets.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = sets.join(named, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
@@ -239,7 +246,7 @@ common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b
 links AS (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= {percent} * (x.n + y.n - c)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 c AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n ON d.doc_id IS NOT DISTINCT FROM n.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
 """
 
 

@@ -183,12 +183,43 @@ def brute_components(docs, k, percent):
 def test_near_duplicates(spark, odd, empty):
     want = brute_components([(i, t) for i, t in ODD if i is not None], 4, 80)
     got = neardup.near_duplicates(odd, shingle=4).collect()
-    assert len(got) == len(ODD) - 1
+    assert len(got) == len(ODD)
     for r in got:
+        if r.doc_id is None:
+            assert (r.n_shingles, r.component_id, r.kept) == (6, None, None)
+            continue
         assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """Thousands of texts of one template in the same buckets, hardly any of them linked, in small blocks: equal to brute force."""
+    monkeypatch.setattr(neardup, "BLOCK", 2000)
+    rng = np.random.RandomState(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = []
+    for i in range(1500):
+        w = list(base)
+        for at in rng.choice(6, 3, replace=False):  # the last words differ, in a few ways
+            w[54 + at] = f"v{rng.randint(12)}"
+        docs.append((i, " ".join(w)))
+    want = brute_components(docs, 4, 90)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=4, percent=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_components(spark):
+    """Chains, stars, loops, separate pairs and no pairs at all."""
+    from tessera.llm.common import Workspace
+    from tessera.llm.components import roots
+
+    pairs = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(50, 60)] + [(3, 3), (2, 1), (90, 91), (91, 90), (140, 99)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    got = {r.node: r.comp for r in roots(Workspace(spark, "t"), df).collect()}
+    assert got == {i: 99 for i in range(99, 141)} | {i: 7 for i in (7, *range(50, 60))} | {1: 1, 2: 1, 90: 90, 91: 90}
+    assert roots(Workspace(spark, "t"), df.where("false")).count() == 0
+
+
 def test_near_duplicates_in_a_family(spark):
     """Many near copies of one text, most of them far from each other: links that only some pairs have aren't lost."""
     rng = np.random.RandomState(5)
