@@ -8,13 +8,16 @@ offset gives the one place where the window could stand, the lengths must allow
 are compared with the window's.
 
 The words of a document travel beside its exploded shingles but are only read where the join matched, as
-both run in one stage. The windows' number is counted: up to BROADCAST_WINDOWS they are broadcast; beyond
-that the joins shuffle, on rows without words, and the words are fetched for candidates alone.
+both run in one stage. The windows' bytes are counted: up to BROADCAST_BYTES they are broadcast; beyond
+that the joins shuffle, on rows without words, and the words are fetched for candidates alone. Which items a window is of
+is a table of its own, however many share it: it is joined once for each set of windows that some documents hold, not for
+each hit.
 
 Defined results: null and empty texts have no words, hit nothing, and as items have no windows; items with
-fewer words than a window are one window; equal windows of several items count for each of them; an item
-whose item_id is null can't be named and is left out; repeated rows of documents are judged one by one;
-other columns are ignored.
+fewer words than a window are one window; equal windows of several items count for each of them; the windows of an item
+whose item_id is null hit, but it can't be named in items; repeated rows of documents are judged one by one; texts of any
+length are read whole; shingles equally rare go by their place in the window; an empty table of documents gives none, one of
+items no hits; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER_AZ, UPPER_AZ, Workspace
 
 WINDOW, SHINGLE = 10, 3
-BROADCAST_WINDOWS = 1_000_000
+#: Bytes of windows, as estimated, that are sent to every task.
+BROADCAST_BYTES = 64 << 20
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -48,11 +52,12 @@ def shingle_at(h: str, i: Column, k: int) -> Column:
 
 
 def windows_of(bench: DataFrame, window: int, shingle: int) -> DataFrame:
-    """Distinct windows: w (lower-cased words), size, k (words in a shingle), items."""
-    items = bench.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("item"), F.transform(words_of("text"), lower_az).alias("words")).where(F.size("words") > 0)
+    """A row for each item and window of it: item, id (of the window), w (lower-cased words), size, k (words in a shingle)."""
+    items = bench.select(F.col("item_id").cast("string").alias("item"), F.transform(words_of("text"), lower_az).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)))
     each = items.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, window))).alias("w"))
-    return each.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("size", F.size("w")).withColumn("k", F.least(F.col("size"), F.lit(shingle)))
+    named = each.select("item", F.sha2(F.array_join("w", " ").cast("binary"), 256).alias("id"), "w", F.size("w").alias("size"))
+    return named.withColumn("k", F.least(F.col("size"), F.lit(shingle)))
 
 
 def exploded(docs: DataFrame, keep: list[str], ks: list[int], mark: int | None = None) -> DataFrame:
@@ -77,43 +82,51 @@ def verified(df: DataFrame) -> Column:
     return inside & (F.transform(F.slice("words", F.when(inside, F.col("start")).otherwise(F.lit(0)) + 1, F.col("size")), lower_az) == F.col("w"))
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, shingle: int = SHINGLE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, *, keep: list[str] | None = None, window: int = WINDOW, shingle: int = SHINGLE, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """keep, n_words, places (start, size) and items (sorted) for each row of docs(text)."""
     ws = Workspace(docs.sparkSession, "leaks")
     keep = keep or ["doc_id"]
-    windows = ws.keep(windows_of(bench, window, shingle), "windows")
-    found = windows.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("k"), asc=False).alias("ks")).first()
-    ks, small = found.ks, found.n <= broadcast_windows
+    cut = ws.keep(windows_of(bench, window, shingle), "items")
+    windows = ws.keep(cut.drop("item").dropDuplicates(["id"]), "windows")
+    size = F.sum(F.octet_length(F.array_join("w", " ")) + F.lit(200) + 16 * F.col("size"))
+    found = windows.agg(F.coalesce(size, F.lit(0)).alias("bytes"), F.sort_array(F.collect_set("k"), asc=False).alias("ks")).first()
+    ks, small = found.ks, found.bytes <= broadcast_bytes
+    if not ks:
+        none = docs.select(*keep, F.size(words_of("text")).cast("long").alias("n_words"))
+        return none.withColumn("places", F.array().cast("array<struct<start:int,size:int>>")).withColumn("items", F.array().cast("array<string>"))
     few = F.broadcast if small else lambda df: df
     docs = docs.withColumn("_row", F.monotonically_increasing_id()) if small else ws.keep(docs.select(*dict.fromkeys([*keep, "text"])).withColumn("_row", F.monotonically_increasing_id()), "documents")
     keep = ["_row", *keep]
     mark = 0
     shingles = windows.withColumn("_h", word_hashes("w")).select("*", F.explode(F.sequence(F.lit(0), F.col("size") - F.col("k"))).alias("off"))
     hashed = sum((F.when(F.col("k") == k, shingle_at("_h", F.col("off"), k)).otherwise(F.lit(0).cast("long")) for k in ks), F.lit(0).cast("long"))
-    shingles = ws.keep(shingles.select("w", "size", "k", "items", "off", hashed.alias("hash")), "shingles")
+    shingles = ws.keep(shingles.select("id", "size", "k", "off", hashed.alias("hash")), "shingles")
     # order: how often each shingle of the benchmark occurs in all documents
-    counts = ws.keep(exploded(docs, [], ks).join(few(shingles.select("hash").distinct()), "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("seen")), "counts") if ks else None
-    if counts is None:
-        none = docs.select(*keep[1:], F.size(words_of("text")).cast("long").alias("n_words"))
-        return none.withColumn("places", F.array().cast("array<struct<start:int,size:int>>")).withColumn("items", F.array().cast("array<string>"))
+    counts = ws.keep(exploded(docs, [], ks).join(few(shingles.select("hash").distinct()), "hash").groupBy("hash").agg(F.count(F.lit(1)).alias("seen")), "counts")
     # the rarest shingle of each window; windows with one that no document has are out
-    ranked = shingles.join(few(counts), "hash", "left").groupBy("w", "size", "k", "items").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)), "off", "hash")).alias("least"))
-    prefix = ws.keep(ranked.where(F.col("least.col1") > 0).select("w", "size", "k", "items", F.col("least.off").alias("off"), F.col("least.hash").alias("hash")), "prefix")
+    ranked = shingles.join(few(counts), "hash", "left").groupBy("id", "size", "k").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)), "off", "hash")).alias("least"))
+    prefix = ranked.where(F.col("least.col1") > 0).select("id", "size", "k", F.col("least.off").alias("off"), F.col("least.hash").alias("hash"))
+    prefix = ws.keep(prefix.join(windows.select("id", "w"), "id"), "prefix")
+    ws.drop(windows, shingles, counts)
     if small:
         # mark's row brings every document through the join once, so that no second pass counts its words
-        one = docs.sparkSession.sql(f"SELECT CAST(array() AS array<string>) AS w, 0 AS size, 0 AS k, CAST(array() AS array<string>) AS items, 0 AS off, CAST({mark} AS BIGINT) AS hash")
+        one = docs.sparkSession.sql(f"SELECT '' AS id, 0 AS size, 0 AS k, 0 AS off, CAST({mark} AS BIGINT) AS hash, CAST(array() AS array<string>) AS w")
         pairs = exploded(docs, keep, ks, mark).join(F.broadcast(prefix.unionByName(one)), "hash").withColumn("start", place(ks))
-        pairs = pairs.where((F.col("size") == 0) | verified(pairs)).select(*keep, "n", "start", "size", "items")
+        pairs = pairs.where((F.col("size") == 0) | verified(pairs)).select(*keep, "n", "start", "size", "id")
     else:
-        lean = exploded(docs, keep, ks).drop("words").join(prefix, "hash").withColumn("start", place(ks)).where("start >= 0 AND start + size <= n").select("_row", "start", "size", "w", "items")
+        lean = exploded(docs, keep, ks).drop("words").join(prefix, "hash").withColumn("start", place(ks)).where("start >= 0 AND start + size <= n").select("_row", "start", "size", "w", "id")
         read = docs.select(*keep, words_of("text").alias("words")).withColumn("n", F.size("words"))
         hits = lean.join(read, "_row")
-        hits = hits.where(verified(hits)).select(*keep, "n", "start", "size", "items")
-        rest = read.select(*keep, "n", F.lit(0).alias("start"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("items"))
+        hits = hits.where(verified(hits)).select(*keep, "n", "start", "size", "id")
+        rest = read.select(*keep, "n", F.lit(0).alias("start"), F.lit(0).alias("size"), F.lit("").alias("id"))
         pairs = hits.unionByName(rest)
-    hit = F.when(F.col("size") > 0, F.struct("start", "size"))
-    by = pairs.groupBy(*keep).agg(F.max("n").cast("long").alias("n_words"), F.collect_set(hit).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    return by.select(*keep[1:], "n_words", "places", "items")
+    hit = F.col("size") > 0
+    by = pairs.groupBy(*keep).agg(F.max("n").cast("long").alias("n_words"), F.collect_set(F.when(hit, F.struct("start", "size"))).alias("places"), F.array_sort(F.collect_set(F.when(hit, F.col("id")))).alias("_ids"))
+    by = ws.keep(by, "hits")
+    # items of each set of windows, made once however many documents hold that set
+    held = by.where(F.size("_ids") > 0).select("_ids").distinct()
+    items = held.select("_ids", F.explode("_ids").alias("id")).join(cut.select("id", "item"), "id").groupBy("_ids").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return by.join(items, "_ids", "left").select(*keep[1:], "n_words", "places", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest(leaks: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -124,7 +137,7 @@ def digest(leaks: DataFrame, keep: list[str] | None = None) -> DataFrame:
 _CLASS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '{_CLASS}') AS ws FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '{_CLASS}') AS ws FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER_AZ}', '{LOWER_AZ}'), '{_CLASS}') AS ws FROM benchmark),
 win AS (SELECT DISTINCT item, size, array_to_string(ws[s + 1 : s + size], ' ') AS w FROM (
   SELECT item, ws, least(len(ws), {WINDOW}) AS size, unnest(range(greatest(len(ws) - {WINDOW}, 0) + 1)) AS s FROM b WHERE len(ws) > 0)),
 sizes AS (SELECT DISTINCT size FROM win),
@@ -132,7 +145,7 @@ grams AS (SELECT r, size, s, array_to_string(ws[s + 1 : s + size], ' ') AS w FRO
   SELECT r, ws, size, unnest(range(len(ws) - size + 1)) AS s FROM d, sizes WHERE len(ws) >= size)),
 hits AS (SELECT r, item, s, size FROM grams JOIN win USING (size, w)),
 words AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(s, s + size)) AS p FROM (SELECT DISTINCT r, s, size FROM hits)) GROUP BY r),
-items AS (SELECT r, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+items AS (SELECT r, count(*) AS n, sha256(string_agg(item, ',' ORDER BY item)) AS h FROM (SELECT DISTINCT r, item FROM hits WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
