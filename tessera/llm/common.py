@@ -85,4 +85,9 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One in no more pieces than two a core is dealt over all cores, as its texts cost more to work on than to move.
+
+    A large table has more pieces than that and stays as it is.
+    """
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= 2 * cores else df

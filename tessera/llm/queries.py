@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, ppm, repetition, secrets, sharding, urls
-from tessera.llm.common import table
+from tessera.llm.common import Workspace, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +19,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_versions(table(spark, sf_dir, "documents")))
+    """Two deliveries to one ledger: English texts, then all, of which only blobs that the first didn't have are scanned."""
+    docs, ledger = table(spark, sf_dir, "documents"), f"{Workspace(spark, 'secrets').top}/ledger"
+    secrets.scan_versions(docs.where("lang = 'en'"), ledger=ledger)
+    return secrets.digest(secrets.scan_versions(docs, ledger=ledger))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,18 +7,18 @@ rows, and joins the findings back to all paths whose text is that blob. A second
 documents scans nothing; new rules get a new version and scan everything once.
 
 Spans are in code points, end exclusive. Where a rule's expression matches, the text between matches
-comes from a split by the same expression, so positions are running sums of lengths.
+comes from a split by the same expression, so positions are running sums of lengths, over rows and not inside one.
 
 Defined results: a null text is the empty blob and has no spans; repeated rows, and rows that share a
-path, each get the findings of their own text; a null path stays null; an empty table leaves the ledger as
-it is; other columns are ignored.
+path, each get the findings of their own text; a null path stays null; texts of any length are scanned whole; spans that
+start together go by the rules' order; an empty table leaves the ledger as it is; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Workspace
@@ -45,29 +45,29 @@ def version(rules: list[tuple[str, str, int, int]]) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
-def spans(text: Column, k: int, rule: tuple[str, str, int, int]) -> Column:
-    """The places where rule number k matches, by start."""
-    _, pattern, group, least = rule
+def lengths(text: Column, k: int, rule: tuple[str, str, int, int]) -> Column:
+    """Of each place where rule number k matches, in turn: the lengths of the text before it (since the last one), of the match, and of what is judged."""
+    _, pattern, group, _ = rule
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.arrays_zip(found.alias("m"), gaps.alias("g"), judged.alias("j"))
-    start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(SPAN).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["g"])
-        end = at + F.length(x["m"])
-        here = F.array(F.struct(at.alias("at"), F.lit(k).alias("k"), end.alias("end")))
-        so_far = F.coalesce(acc["out"], F.array().cast(SPAN))
-        return F.struct(F.coalesce(end, at).alias("pos"), F.when(F.length(x["j"]) >= least, F.concat(so_far, here)).otherwise(so_far).alias("out"))
-
-    hit = F.aggregate(steps, start, step, lambda acc: F.coalesce(acc["out"], F.array().cast(SPAN)))
-    return F.when(text.rlike(pattern), hit).otherwise(F.array().cast(SPAN))
+    each = F.transform(found, lambda m, i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.lit(0).alias("gap"), F.length(m).alias("size"), F.length(F.regexp_extract(m, pattern, group) if group else m).alias("judged")))
+    zipped = F.zip_with(each, F.slice(gaps, F.lit(1), F.size(each)), lambda x, g: F.struct(x["k"].alias("k"), x["i"].alias("i"), F.length(g).alias("gap"), x["size"].alias("size"), x["judged"].alias("judged")))
+    return F.when(text.rlike(pattern), zipped)
 
 
 def findings(blobs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
-    """blob, spans: of every rule, by start and then rule."""
-    every = F.array_sort(F.concat(*(spans(F.col("text"), k, r) for k, r in enumerate(rules))))
-    return blobs.select("blob", every.alias("spans"))
+    """blob, spans: of every rule, by start and then rule.
+
+    Only lengths are shuffled, of blobs that have matches; places are their running sums.
+    """
+    none = F.array().cast("array<struct<k:int,i:int,gap:int,size:int,judged:int>>")
+    every = F.concat(*(F.coalesce(lengths(F.col("text"), k, r).cast("array<struct<k:int,i:int,gap:int,size:int,judged:int>>"), none) for k, r in enumerate(rules)))
+    each = blobs.select("blob", F.inline_outer(every))
+    least = F.element_at(F.array(*(F.lit(r[3]) for r in rules)), F.col("k") + 1)
+    before = Window.partitionBy("blob", "k").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("gap") + F.coalesce(F.sum(F.col("gap") + F.col("size")).over(before), F.lit(0))
+    placed = each.select("blob", "k", "judged", "size", at.cast("int").alias("at"))
+    span = F.when(F.col("judged") >= least, F.struct("at", "k", (F.col("at") + F.col("size")).alias("end")))
+    return placed.groupBy("blob").agg(F.array_sort(F.collect_list(span)).cast(SPAN).alias("spans"))
 
 
 def joined(which: Column, rules: list[tuple[str, str, int, int]]) -> Column:
