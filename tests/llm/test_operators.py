@@ -237,9 +237,9 @@ def test_near_duplicates_in_a_family(spark):
 
 def test_decontamination(spark, odd, empty):
     bench = spark.createDataFrame([("a", BASE), ("b", "kappa LAMBDA mu, nu"), ("c", None), ("d", ""), (None, "one"), ("e", "one two"), ("f", "eleven"), ("g", "never seen words at all"), ("h", "kappa lambda mu nu")], "item_id string, text string")
-    items = {i: ALNUM.findall((t or "").translate(LOW)) for i, t in bench.collect() if i}
+    items = {i: ALNUM.findall((t or "").translate(LOW)) for i, t in bench.collect()}
     for limit in (1_000_000, 0):
-        got = decontaminate.find_leaks(odd, bench, keep=["doc_id", "text"], broadcast_windows=limit)
+        got = decontaminate.find_leaks(odd, bench, keep=["doc_id", "text"], broadcast_bytes=limit)
         out = decontaminate.digest(got, ["doc_id", "text"]).collect()
         assert len(out) == len(ODD)
         for r in out:
@@ -251,7 +251,7 @@ def test_decontamination(spark, odd, empty):
                     for s in range(len(w) - size + 1):
                         if tuple(w[s : s + size]) == win:
                             hit |= set(range(s, s + size))
-                            names.add(i)
+                            names |= {i} - {None}
             assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (len(w), len(hit), len(names), bool(hit))
             assert r.items_sha256 == hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
     assert decontaminate.find_leaks(empty, bench).count() == 0
@@ -375,17 +375,19 @@ def test_mixing(spark, odd, empty):
     out = mixing.mix(docs, known).toPandas()
     p = out[["p_good", "p_junk", "p_toxic"]].to_numpy()
     n, r = out.n_tokens.to_numpy(), out.rate.to_numpy()
-    assert np.allclose(p.sum(1), 1) and (r >= 0).all() and (r <= 2).all()
-    # brute force: the same least squares, by plain projected gradient on all documents at once
-    now = n @ p
+    assert np.allclose(p.sum(1), 1) and (r >= 0).all()
+    # brute force: the same least squares, on all documents at once; and the totals meet the targets
     share = np.array(list(mixing.TARGETS.values()))
-    want = np.minimum(share * now[0] / share[0], 2 * now)
-    white, x = np.linalg.pinv((p * n[:, None]).T @ p), np.ones(len(out))
-    for _ in range(mixing.STEPS):
-        x = np.clip(x - p @ (white @ ((n * x) @ p - want)), 0, 2)
-    loss = lambda r: float(((n * r) @ p - want) @ white @ ((n * r) @ p - want))
-    assert loss(r) <= max(loss(x) * 1.5, 1e-4 * n.sum())
-    assert loss(r) < 0.02 * loss(np.ones(len(out)))
+    want = share * (n @ p)[0] / share[0]
+    white = lambda use: np.linalg.pinv((p * (n * use)[:, None]).T @ p, rcond=1e-9)
+    every, x, w = white(1), np.ones(len(out)), white(1)
+    loss = lambda r: float(((n * r) @ p - want) @ every @ ((n * r) @ p - want))
+    while np.abs((n * x) @ p - want).max() > mixing.EXACT * want.sum():
+        y = np.maximum(x - p @ (w @ ((n * x) @ p - want)), 0)
+        x = y if loss(y) <= loss(x) else np.maximum(x - p @ (every @ ((n * x) @ p - want)), 0)
+        w = white(x > 0)
+    assert np.abs(r - x).max() < 1e-6
+    assert out.residual.max() <= mixing.EXACT and np.abs((n * r) @ p / (n * r).sum() - share).max() < 1e-4
     test = out.merge(labels.where("pmod(hash(doc_id), 2) <> 0").toPandas(), on="doc_id")
     assert (np.array(["good", "junk", "toxic"])[test[["p_good", "p_junk", "p_toxic"]].to_numpy().argmax(1)] == test.domain).mean() > 0.9
     assert mixing.mix(odd, known).count() == len(ODD) and mixing.mix(empty, known).count() == 0

@@ -46,7 +46,7 @@ def test_null_and_repeated_ids(spark, monkeypatch):
     assert rows(two) == sorted([docs[k] for k in (0, 2, 3, 4, 5, 7, 8, 9)], key=repr)
     three = stage["decontamination"](spark, two, sf)
     assert rows(three) == sorted([docs[k] for k in (0, 2, 3, 4, 5, 7)], key=repr)
-    monkeypatch.setattr(mixing, "fit", lambda *a: [])  # rates of 1: all stay
+    monkeypatch.setattr(mixing, "fit", lambda *a: ([], 0.0))  # rates of 1: all stay
     four = stage["mix_domains"](spark, three, sf)
     assert rows(four) == rows(three)
     five = stage["sharding"](spark, four, sf)
