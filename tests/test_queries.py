@@ -22,11 +22,3 @@ def test_entry(spark):
     assert {r.tier for r in rows} <= {"pewny", "prawdopodobny", "mozliwy"} and rows
     assert set(e.oracle_sql()) <= set(e.queries())
 
-
-def test_corpus_queries_are_registered():
-    import __spark_entry__ as e
-    import corpus_pipeline
-
-    assert e.queries()["pipeline"] is corpus_pipeline.run
-    assert {n.split("_")[0] for n in e.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
-    assert set(e.oracle_sql()) <= set(e.queries())
