@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,11 +39,15 @@ class Workspace:
     """Intermediate tables of one run of an operator, as Parquet files in the shared folder.
 
     keep() writes a frame and reads it again, which cuts its lineage; a lost executor costs
-    no more than the tasks that ran on it. drop() removes a table that nothing reads any more.
+    no more than the tasks that ran on it. drop() removes a table that nothing reads any more, close() all of them.
+    An operator's result reads its last tables until it is itself written; then close_all() may go.
     """
 
+    opened: ClassVar[list[Workspace]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.top, self.n = spark, f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        Workspace.opened.append(self)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -53,10 +58,22 @@ class Workspace:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.kept_at)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(df.kept_at)
+
+    def close(self) -> None:
+        self._delete(self.top)
+        Workspace.opened.remove(self)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    @classmethod
+    def close_all(cls, *but: Workspace) -> None:
+        """Deletes the tables of every operator that ran so far, but for these workspaces."""
+        for w in [w for w in cls.opened if w not in but]:
+            w.close()
 
 
 def remainder(key: str, mod: int) -> Column:

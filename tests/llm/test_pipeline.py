@@ -2,6 +2,7 @@
 
 import corpus_pipeline as cp
 from tessera.llm import mixing, repetition
+from tessera.llm.common import Workspace
 from tests.llm.test_operators import ALNUM, LOW, brute_components
 
 
@@ -29,7 +30,39 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+    import os
+
+    before = len(Workspace.opened)
+    out = cp.run(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0
+    # nothing is left of the stages but the last one's table
+    assert len(Workspace.opened) == before + 1 and [x.split("-", 1)[1] for x in os.listdir(Workspace.opened[-1].top)] == ["sharding"]
+
+
+def test_registered():
+    import __spark_entry__ as e
+
+    assert e.queries()["pipeline"] is cp.run
+    assert {n.split("_")[0] for n in e.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_odd_rows(spark):
+    """Nulls in every column, empty and long texts, repeated rows, columns with clashing names, and no rows, through each stage."""
+    sf, stage = "/root/testdata/sf0.001", dict(cp.STAGES)
+    long = " ".join(f"w{i * 7919 % 50021}" for i in range(40_000))
+    docs = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, long, None, None, None), (3, long, "en", "s", 1), (4, "a b c", None, "s", 2), (4, "a b c", None, "s", 2), (5, " \n", "en", None, 2)]
+    df = spark.createDataFrame([(*d, 1, 2, 3, "x") for d in docs], "doc_id long, text string, lang string, source string, n_chars long, _number int, slot int, shard int, key string")
+    for name, size in (("quality_rules", 2), ("near_duplicates", 5), ("decontamination", 7)):
+        out = stage[name](spark, df, sf)
+        assert out.columns == cp.COLUMNS and out.count() == size, name
+    assert [r.doc_id for r in stage["near_duplicates"](spark, df, sf).where("length(text) > 10").collect()] == [3]
+    mixed = stage["mix_domains"](spark, df, sf)
+    assert mixed.columns == cp.COLUMNS and mixed.count() <= 7
+    last = stage["sharding"](spark, df, sf)
+    assert last.count() == 7 and last.where("shard IS NULL").count() == 0 and set(df.columns) - {"slot"} == set(last.columns)
+    for name, work in cp.STAGES:
+        assert work(spark, df.select(*cp.COLUMNS).where("false"), sf).count() == 0, name
 
 
 def test_null_and_repeated_ids(spark, monkeypatch):
