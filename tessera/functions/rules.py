@@ -83,21 +83,6 @@ PENALTIES = [
 #: Common fractions, by priority; then any plausible one; then glyphs.
 FRACTIONS = ["1/2", "1/3", "1/4", "1/5", "1/6", "1/8", "1/10", "1/12", "1/16", "2/3", "3/4", "3/8", "5/8", "7/8"]
 GLYPHS = [("½", "1/2"), ("¼", "1/4"), ("¾", "3/4"), ("⅓", "1/3"), ("⅔", "2/3"), ("⅕", "1/5"), ("⅛", "1/8")]
-#: What portals are searched for.
-SEARCH_QUERIES = [
-    "sprzedaż udziału w nieruchomości",
-    "udział w mieszkaniu sprzedaż",
-    "udział w nieruchomości",
-    "współwłasność sprzedaż",
-    "sprzedam udział",
-    "udział 1/2 mieszkanie",
-    "udział spadkowy nieruchomość",
-    "część nieruchomości sprzedaż",
-    "udział w domu",
-    "udział w kamienicy",
-    "zniesienie współwłasności sprzedaż",
-    "ułamkowa część nieruchomości",
-]
 #: Points by tier of the title and of the description, and single bonuses.
 TITLE_POINTS, TEXT_POINTS = (35, 25, 10), (25, 18, 8)
 FRACTION_POINTS, TRUSTEE_POINTS, PRICE_POINTS = 15, 20, 8

@@ -100,3 +100,23 @@ def tool_calls(envelope: Column) -> Column:
     """Name and arguments (JSON text) of the calls that a chat answer asks for."""
     calls = F.from_json(F.get_json_object(envelope, "$.choices[0].message.tool_calls"), "array<struct<function:struct<name:string,arguments:string>>>")
     return F.coalesce(F.transform(calls, lambda c: F.struct(c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments"))), F.array().cast("array<struct<name:string,arguments:string>>"))
+
+
+CONFIG = "enabled boolean, max_concurrent int, timeout double, temperature double, max_tokens int, api_key string, base_url string, model string, providers array<struct<name string, api_key string, model string, enabled boolean, priority int>>"
+#: What an address says of its provider, first match wins; and the defaults.
+PROVIDERS = [("deepseek", "deepseek"), ("generativelanguage.googleapis", "gemini"), ("anthropic", "anthropic"), ("localhost:11434", "ollama"), ("localhost:1234", "lmstudio")]
+PROVIDER, MODEL = "openai", "gpt-4o-mini"
+
+
+def provider_settings(config: Column) -> Column:
+    """Of a configuration in JSON: providers (name, model, enabled, priority) and limits; null where it is off or has no key. Keys are left out."""
+    c = F.from_json(config, CONFIG)
+    named = F.lit(PROVIDER)
+    for part, name in reversed(PROVIDERS):
+        named = F.when(c["base_url"].contains(part), name).otherwise(named)
+    one = lambda name, model, enabled, priority: F.struct(name.alias("name"), model.alias("model"), enabled.alias("enabled"), priority.cast("int").alias("priority"))
+    known = F.transform(c["providers"], lambda p, i: F.when(p["api_key"] != "", one(F.coalesce(p["name"], F.lit(PROVIDER)), F.coalesce(p["model"], F.lit(MODEL)), F.coalesce(p["enabled"], F.lit(True)), F.coalesce(p["priority"], i + 1))))
+    single = F.when(c["api_key"] != "", F.array(one(named, F.coalesce(c["model"], F.lit(MODEL)), F.lit(True), F.lit(1))))
+    found = F.when(c["providers"].isNotNull(), F.filter(known, lambda p: p.isNotNull())).otherwise(single)
+    limits = [F.coalesce(c[name], F.lit(default)).alias(name) for name, default in (("max_concurrent", 5), ("timeout", 30.0), ("temperature", 0.3), ("max_tokens", 600))]
+    return F.when(c["enabled"] & (F.size(found) > 0), F.struct(found.alias("providers"), *limits))

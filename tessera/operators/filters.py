@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,16 +64,23 @@ def by_radius(df: DataFrame, lat: float, lon: float, km: float, seq: str = "seq"
 def near_centres(df: DataFrame, centres: DataFrame, km: float) -> DataFrame:
     """All pairs of a row and a centre(centre, lat, lon) within km, by an equal join on cells of a grid.
 
-    A cell's side is at least km at every latitude under 75 degrees; each centre is dealt to the nine cells around it, so
-    the join is an ordinary shuffled or broadcast one, whichever the sizes call for.
+    Bands of latitude are km high; each is cut into whole cells around the earth that are at least as wide as two points km apart
+    can differ in longitude there, near a pole into one. A centre is dealt to the cells around it in its band and the ones above and
+    below, over the antimeridian too, so the join is an ordinary shuffled or broadcast one, whichever the sizes call for.
     """
-    step_lat, step_lon = km / 110.0, km / 28.0
-    cell = lambda x, step: F.floor(x / step)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    dealt = centres.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumns({"_y": cell(F.col("lat"), step_lat) + F.col("_dy"), "_x": cell(F.col("lon"), step_lon) + F.col("_dx")})
-    rows = df.where(in_range(F.col("latitude"), F.col("longitude"))).withColumns({"_y": cell(F.col("latitude"), step_lat), "_x": cell(F.col("longitude"), step_lon)})
+    high = km / 110.0
+    band = lambda lat: F.floor(lat / high)
+    # the furthest from the equator that a point or a centre of the band and the ones beside it can be
+    cosine = lambda y: F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs((y - 1) * high), F.abs((y + 2) * high)))))
+    wide = lambda y: F.degrees(2 * F.asin(F.least(F.lit(1.0), F.try_divide(F.lit(math.sin(min(math.pi, math.radians(high)) / 2)), cosine(y)))))
+    cells = lambda y: F.greatest(F.lit(1), F.floor(F.try_divide(F.lit(360.0), F.coalesce(wide(y), F.lit(180.0))))).cast("long")
+    cell = lambda lon, n: F.pmod(F.floor((lon + 180) / 360 * n), n)
+    dealt = centres.withColumn("_y", F.explode(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: band(F.col("lat")) + d))).withColumn("_n", F.when(cells(F.col("_y")) < 4, 1).otherwise(cells(F.col("_y"))))
+    dealt = dealt.withColumn("_x", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.pmod(cell(F.col("lon"), F.col("_n")) + d, F.col("_n"))))))
+    rows = df.where(in_range(F.col("latitude"), F.col("longitude"))).withColumn("_y", band(F.col("latitude")))
+    rows = rows.withColumn("_x", cell(F.col("longitude"), F.when(cells(F.col("_y")) < 4, 1).otherwise(cells(F.col("_y")))))
     d = haversine(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
-    return rows.join(dealt.drop("_dx", "_dy"), ["_y", "_x"]).withColumn("_d", d).where(F.col("_d") <= km).withColumn("distance_km", F.round("_d", 2)).drop("_y", "_x", "_d")
+    return rows.join(dealt.drop("_n"), ["_y", "_x"]).withColumn("_d", d).where(F.col("_d") <= km).withColumn("distance_km", F.round("_d", 2)).drop("_y", "_x", "_d")
 
 
 def by_class(df: DataFrame, *, share_source: str | None = None, property_type: str | None = None, fraction_size: str | None = None, price_bracket: str | None = None, city: str | None = None, voivodeship: str | None = None, least_tier: str | None = None) -> DataFrame:
@@ -116,6 +125,19 @@ def by_keywords(df: DataFrame, keywords: list[str]) -> DataFrame:
     return df.where(F.coalesce("is_share", F.lit(False)) | has_keyword(F.col("title"), keywords))
 
 
+def with_keywords(df: DataFrame, keywords: DataFrame) -> DataFrame:
+    """All pairs of a row and a keyword(keyword) that its title contains, in any case.
+
+    A keyword is filed under its first three letters (or fewer, if it has no more), and a title fetches by its own runs of as
+    many, so this is an equal join, however many keywords there are. Empty and null keywords are in no title.
+    """
+    low, kw = F.lower("title"), F.lower("keyword")
+    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(k)))
+    filed = keywords.where("keyword <> ''").select("keyword", F.substring(kw, 1, 3).alias("_run")).distinct()
+    titles = df.where("title <> ''").withColumn("_run", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
+    return titles.join(filed, "_run").where(low.contains(kw)).drop("_run")
+
+
 def candidates(df: DataFrame) -> DataFrame:
     return df.where(F.col("score") > 0)
 
@@ -140,6 +162,10 @@ def cities_in(cities: DataFrame, voivodeship: str) -> DataFrame:
     return cities.where(same(F.col("voivodeship"), voivodeship)).orderBy(F.desc("population"), "name")
 
 
+def largest_cities(cities: DataFrame, top: int = 20) -> DataFrame:
+    return cities.orderBy(F.desc("population"), "name").limit(top)
+
+
 def active_filters(filters: DataFrame) -> DataFrame:
     return filters.where("is_active").orderBy("name")
 

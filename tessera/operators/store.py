@@ -54,6 +54,17 @@ def insert_or_ignore(old: DataFrame, batch: DataFrame, seq: str = "seq") -> Data
     return fresh.join(old.select("id"), "id", "left_anti").join(old.select("url"), "url", "left_anti").select(*batch.columns)
 
 
+def consecutive(df: DataFrame, order: str, name: str, after: int = 0, pieces: int = 64) -> DataFrame:
+    """df numbered by the column order, from after + 1 on. Rows are numbered in pieces between quantiles, each after the counts of those before."""
+    bounds = df.select(F.percentile_approx(order, [k / pieces for k in range(1, pieces)])).first()[0] or []
+    piece = sum(((F.col(order) > b).cast("int") for b in sorted(set(bounds))), F.lit(0))
+    dealt = df.withColumn("_piece", piece)
+    counts = dealt.groupBy("_piece").agg(F.count(F.lit(1)).alias("_count"))
+    # at most so many rows as there are pieces, in one small task
+    before = counts.withColumn("_before", F.coalesce(F.sum("_count").over(Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_count")
+    return dealt.join(F.broadcast(before), "_piece").withColumn(name, F.lit(after) + F.col("_before") + F.row_number().over(Window.partitionBy("_piece").orderBy(order))).drop("_piece", "_before")
+
+
 def save(saved: DataFrame, requests: DataFrame, listings: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """Saved rows after requests(listing_id, notes, priority, seq), and the requests for listings that aren't there.
 
@@ -61,9 +72,10 @@ def save(saved: DataFrame, requests: DataFrame, listings: DataFrame, now: Column
     """
     wanted = _last(existing(requests, listings), "listing_id", "seq").select("listing_id", F.col("notes").alias("_notes"), F.col("priority").alias("_priority"), F.col("seq").alias("_seq"))
     joined = saved.withColumn("_old", F.lit(True)).join(wanted, "listing_id", "full")
-    # new ids go on from the largest one; the batch of one change is what the numbering sees
-    top = saved.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = joined.where("_old IS NULL").join(F.broadcast(top), F.lit(True)).withColumn("id", F.col("_top") + F.row_number().over(Window.orderBy("_seq"))).select("id", "listing_id", F.col("_notes").alias("notes"), F.col("_priority").alias("priority"), F.lit("new").alias("status"), now.alias("saved_at"))
+    # new ids go on from the largest one
+    fresh = joined.where("_old IS NULL").select("listing_id", F.col("_notes").alias("notes"), F.col("_priority").alias("priority"), F.lit("new").alias("status"), now.alias("saved_at"), "_seq")
+    top = saved.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    fresh = consecutive(fresh, "_seq", "id", top).select("id", "listing_id", "notes", "priority", "status", "saved_at")
     kept = joined.where("_old").select("id", "listing_id", F.when(F.col("_seq").isNotNull(), F.col("_notes")).otherwise(F.col("notes")).alias("notes"), F.coalesce("_priority", "priority").alias("priority"), "status", "saved_at")
     return kept.unionByName(fresh), missing(requests, listings)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
@@ -44,8 +44,8 @@ def duplicates_removed(df: DataFrame) -> DataFrame:
 
 def across_portals(df: DataFrame, seq: str = "seq") -> DataFrame:
     """The proposed second dedup: by normal title, then by price, area and city; the first of each stays."""
-    keep = lambda d, *keys: d.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).where("_n = 1").drop("_n")
-    one = keep(df.withColumn("_title", normalized(F.col("title"))), "_title").drop("_title")
+    keep = lambda d, *keys: d.groupBy(*keys).agg(F.min_by(F.struct(*(F.col(c) for c in d.columns if c not in keys)), seq).alias("_x")).select(*(F.col(c) if c in keys else F.col(f"_x.{c}").alias(c) for c in d.columns))
+    one = keep(df.withColumn("_title", normalized(F.col("title"), compose=True)), "_title").drop("_title")
     known = F.col("price").isNotNull() & F.col("area").isNotNull() & (F.coalesce("city", F.lit("")) != "")
     return keep(one.where(known), "price", "area", "city").unionByName(one.where(~known))
 

@@ -24,13 +24,13 @@ CARDS = {
 }
 
 
-def pages_of(spark: SparkSession, d: str, portal: str) -> DataFrame:
-    """Ten listings a page, in the portal's markup."""
+def pages_of(spark: SparkSession, d: str, portal: str, card: str | None = None, size: int = 10) -> DataFrame:
+    """Ten listings a page, or size, in the portal's markup."""
     df = views.listings(spark, d).select("seq", text.escaped(F.col("title")).alias("t"), F.floor("price").cast("string").alias("p"), F.col("city").alias("c"), F.col("voivodeship").alias("v"), (F.col("seq") % 90).cast("string").alias("a"))
-    card, pieces = CARDS[portal], []
+    card, pieces = card or CARDS[portal], []
     for n, part in enumerate(card.replace("{k}", "\0seq\0").replace("{t}", "\0t\0").replace("{p}", "\0p\0").replace("{c}", "\0c\0").replace("{v}", "\0v\0").replace("{a}", "\0a\0").split("\0")):
         pieces.append(F.col(part).cast("string") if n % 2 else F.lit(part))
-    made = df.select(F.floor(F.col("seq") / 10).alias("page_id"), "seq", F.concat(*pieces).alias("card"))
+    made = df.select(F.floor(F.col("seq") / size).alias("page_id"), "seq", F.concat(*pieces).alias("card"))
     return made.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "card"))), lambda x: x["card"]), "\n").alias("html")).withColumn("portal", F.lit(portal))
 
 
@@ -46,6 +46,53 @@ for _key, _portal in (("s1_olx", "olx"), ("s3_morizon", "morizon"), ("s4_domipor
     query(_key, q.listings(_sql))(_one)
 
 
+#: Other markup of one portal: links in headings without a card around them, cards known by their classes alone, bare links (each twice).
+OLX = {
+    "s1_olx_headings": '<section><h6><a href="/d/oferta/{k}">{t}</a></h6><p>{p} zł</p></section>',
+    "s1_olx_classes": '<div data-testid="other"><div class="x css-rc5s2u"><a href="/oferta/{k}"><b>{t}</b></a></div><span>{p} zł</span><script>var x = "1 zł";</script></div>',
+    "s1_olx_links": '<p><a href="/d/oferta/{k}">{t}</a> <a href="/d/oferta/{k}">{t}</a> <a href="/d/oferta/x{k}">abc</a></p>',
+}
+for _key, _markup in OLX.items():
+    _price = "floor(price)::DOUBLE" if _key == "s1_olx_classes" else "NULL::DOUBLE"
+
+    def _other(spark, d, markup=_markup):
+        return html.search_results(pages_of(spark, d, "olx", markup)).select("page_id", "title", "url", "price")
+
+    query(_key, q.listings(f"SELECT seq // 10 AS page_id, title, 'https://www.olx.pl{'' if _key == 's1_olx_classes' else '/d'}/oferta/' || seq AS url, {_price} AS price FROM listings"))(_other)
+
+_long = "{t}, " * 12
+#: Pages of single listings, by portal.
+DETAILS = {
+    "olx": '<div data-testid="ad-price-container"><h3>{p} zł</h3></div><div data-cy="ad_description"><h4>Opis</h4><div><p>{t}</p><br>blisko {c}</div></div><ul data-testid="ad-params"><li><p>Piętro: 3</p></li><li>Powierzchnia: {a} m²</li><li>bez dwukropka</li></ul>',
+    "morizon": '<div class="box property-description"><p>{t},</p> <p>{c}</p></div><table class="property-params"><tr><td>Powierzchnia</td><td>{a} m²</td></tr><tr><td>Piętro</td><td>3</td></tr></table>',
+    "gratka": '<p>krótko</p><div class="offer-description">' + _long + '</div><p>' + _long + _long + '</p>',
+    "domiporta": '<div class="description">za krótki</div><p>krótko</p><p><b>' + _long + '</b> koniec</p>',
+}
+_shown = {
+    "s14_olx": ("olx", "title || ' blisko ' || city", "floor(price)::DOUBLE", "(seq % 90)::DOUBLE"),
+    "s14_morizon": ("morizon", "title || ', ' || city", "NULL::DOUBLE", "(seq % 90)::DOUBLE"),
+    "s14_described": ("gratka", "trim(repeat(title || ', ', 12))", "NULL::DOUBLE", "NULL::DOUBLE"),
+    "s14_paragraph": ("domiporta", "trim(repeat(title || ', ', 12)) || ' koniec'", "NULL::DOUBLE", "NULL::DOUBLE"),
+}
+for _key, (_portal, _text, _price, _area) in _shown.items():
+
+    def _detail(spark, d, p=_portal):
+        return html.details(pages_of(spark, d, p, DETAILS[p], 1)).select("page_id", "full_description", "price", "area")
+
+    query(_key, q.listings(f"SELECT seq AS page_id, {_text} AS full_description, {_price} AS price, {_area} AS area FROM listings"))(_detail)
+
+
+@query("s14_otodom", q.listings("SELECT seq AS page_id, raw_description AS full_description, CASE WHEN seq % 2 = 0 AND seq % 90 <> 0 THEN (seq % 90)::DOUBLE ELSE (seq % 80)::DOUBLE END AS area, city, CASE WHEN seq % 4 = 0 THEN 'u' || seq END AS street, (seq % 3)::INT AS photos FROM listings WHERE seq % 7 <> 0 UNION ALL SELECT seq, NULL, NULL, NULL, NULL, NULL FROM listings WHERE seq % 7 = 0"))
+def s14_otodom(spark, d):
+    k = F.col("seq")
+    address = F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.when(k % 4 == 0, F.struct(F.concat(F.lit("u"), k.cast("string")).alias("name"))).alias("street"))
+    area = [F.when(k % 2 == 0, k % 90).alias("areaInSquareMeters"), (k % 80).alias("areaInM2")]
+    ad = F.struct(F.col("raw_description").alias("description"), *area, F.struct(address.alias("address")).alias("location"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 3).cast("int")).alias("images"))
+    body = F.to_json(F.struct(F.struct(F.struct(ad.alias("ad")).alias("pageProps")).alias("props")))
+    page = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.when(k % 7 == 0, "{broken").otherwise(body), F.lit("</script>"))
+    return json.embedded_detail(views.listings(spark, d).select(k.alias("page_id"), page.alias("html"))).select("page_id", "full_description", "area", "city", "street", "photos")
+
+
 @query("s2_embedded_json", q.listings("SELECT seq // 10 AS page_id, title, 'https://www.otodom.pl/pl/oferta/s' || seq AS url, floor(price)::DOUBLE AS price, city, voivodeship, (seq % 90)::DOUBLE AS area, 3::INT AS rooms, 7::INT AS total_pages FROM listings"))
 def s2(spark, d):
     item = F.struct("title", F.concat(F.lit("s"), F.col("seq").cast("string")).alias("slug"), F.struct(F.floor("price").alias("value")).alias("totalPrice"), F.struct(F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.col("voivodeship").alias("name")).alias("province")).alias("address")).alias("location"), (F.col("seq") % 90).alias("areaInSquareMeters"), F.lit("THREE").alias("roomsNumber"))
@@ -74,11 +121,6 @@ def s14(spark, d):
     return views.table(spark, d, "pages").select("page_id", html.longest_paragraph(F.col("html")).alias("full_description"))
 
 
-@query("s14_details")
-def s14b(spark, d):
-    return html.details(views.table(spark, d, "pages").select("page_id", F.lit("other").alias("portal"), "html")).select("page_id", "full_description", "area", "kw")
-
-
 @query("s15_blocked", "SELECT page_id, status, status IN (403, 429, 503, 520, 521, 522, 523, 524) OR html = '' OR contains(lower(html), 'rate limit') AND length(html) < 15000 AS blocked FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 403 ELSE 200 END AS status, CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '<p>Rate limit</p>' WHEN 2 THEN repeat('<p>Rate limit</p>', 2000) ELSE '<p>' || page_id || '</p>' END AS html FROM pages)")
 def s15(spark, d):
     k = F.col("page_id")
@@ -234,10 +276,79 @@ def t1(spark, d):
 @query("t2_forgotten", "SELECT user_id, max(ts) AS last_seen FROM events GROUP BY user_id HAVING date_diff('second', max(ts), (SELECT max(ts) FROM events)) <= 3600 * 24")
 def t2(spark, d):
     e = views.table(spark, d, "events")
-    now = e.agg(F.max("ts").alias("_now"))
-    return throttle.forgotten(e.join(F.broadcast(now), F.lit(True)).select("user_id", "ts"), F.lit(e.agg(F.max("ts")).first()[0]), 3600 * 24)
+    return throttle.forgotten(e.select("user_id", "ts"), F.lit(e.agg(F.max("ts")).first()[0]), 3600 * 24)
 
 
 @query("ext_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def windowed(spark, d):
     return throttle.windowed_counts(views.table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+# --- files and settings ---
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes: under spark.checkpoint.dir, or in a local session without one a folder of its own."""
+    import tempfile
+    import uuid
+
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="tessera-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("k1_results", q.scored("SELECT id, title, score::BIGINT AS score, url FROM scored WHERE score >= 50"))
+def k1(spark, d):
+    from tessera.registry.scoring import scored
+    from tessera.sources import files
+
+    path = scratch(spark, "results")
+    files.write_results(scored(spark, d).where("score >= 50").select("id", "title", "score", "url"), path)
+    return spark.read.schema("id string, title string, score long, url string").json(path)
+
+
+@query("k3_presets", "SELECT 'Łódź' AS city, '50000' AS price_max, NULL::VARCHAR AS area_min")
+def k3(spark, d):
+    from tessera.sources import files
+
+    path = scratch(spark, "preset")
+    files.save_preset(spark, {"city": "Łódź", "price_max": "50000"}, path)
+    f = F.col("filters")
+    return files.load_preset(spark, path).select(f["city"].alias("city"), f["price_max"].alias("price_max"), f["area_min"].alias("area_min"))
+
+
+@query("k4_schema", "SELECT 0::BIGINT AS rows_at_first, count(*) AS rows_then, 2::INT AS version FROM supplier")
+def k4(spark, d):
+    """A store that is set up twice, as every start does, and written once in between."""
+    from tessera.operators.store import Snapshots
+
+    path, schema = scratch(spark, "store"), "s_suppkey long, s_name string"
+    first = Snapshots(spark, path, schema)
+    empty = first.read().count()
+    first.write(views.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), "s_name"))
+    again = Snapshots(spark, path, schema)
+    return again.read().agg(F.lit(empty).cast("long").alias("rows_at_first"), F.count(F.lit(1)).alias("rows_then"), F.lit(again.version()).alias("version"))
+
+
+_ports = ["https://api.openai.com/v1", "https://api.deepseek.com", "https://generativelanguage.googleapis.com/v1", "https://api.anthropic.com", "http://localhost:11434", "http://localhost:1234/v1"]
+_named = ["openai", "deepseek", "gemini", "anthropic", "ollama", "lmstudio"]
+
+
+_which = "CASE event_id % 6 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_named)) + " END"
+
+
+@query("l5_provider_settings", f"""SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL WHEN event_id % 2 = 0 THEN 'first:own:1:true,openai:gpt-4o-mini:3:false'
+  ELSE {_which} || ':gpt-4o-mini:1:true' END AS providers,
+  CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN NULL ELSE CASE WHEN event_id % 3 = 0 THEN 12.5 ELSE 30 END END::DOUBLE AS timeout FROM events""")
+def l5(spark, d):
+    """Several providers, one by its address, none with a key, and configurations that are off."""
+    k = F.col("event_id")
+    key = F.when(k % 7 == 0, "").otherwise("key")
+    one = lambda name, api_key, model, enabled, priority: F.struct(*(F.lit(v).cast(kind).alias(n) for n, v, kind in (("name", name, "string"), ("api_key", api_key, "string"), ("model", model, "string"), ("enabled", enabled, "boolean"), ("priority", priority, "int"))))
+    several = F.array(one("first", key, "own", None, None), one("none", "", "x", True, 9), one(None, key, None, False, None))
+    address = views.pick(_ports, k % 6)
+    config = F.to_json(F.struct((k % 5 != 0).alias("enabled"), F.when(k % 3 == 0, 12.5).alias("timeout"), F.when(k % 2 == 0, several).alias("providers"), F.when(k % 2 == 1, key).alias("api_key"), F.when(k % 2 == 1, address).alias("base_url")))
+    found = views.table(spark, d, "events").select("event_id", analysis.provider_settings(config).alias("s"))
+    line = F.array_join(F.transform("s.providers", lambda p: F.concat_ws(":", p["name"], p["model"], p["priority"].cast("string"), p["enabled"].cast("string"))), ",")
+    return found.select("event_id", line.alias("providers"), F.col("s.timeout").alias("timeout"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import geo, parse, text
+from tessera.functions import geo, parse, rules, text
 from tessera.operators import filters, score, store, tables
 from tessera.plans import views
 from tessera.registry import sqltext as q
 from tessera.registry.base import query
-from tessera.sources import files
+from tessera.sources import files, requests
 
 NOW = "timestamp'1996-01-10 00:00:00'"
 
@@ -208,6 +208,41 @@ def p11(spark, d):
     return filters.cities_in(views.cities(spark), "Pomorskie ").select("name")
 
 
+@query("p11_voivodeships", "SELECT * FROM (VALUES " + ", ".join(f"('{v}')" for v in rules.VOIVODESHIPS) + ") t(voivodeship)")
+def p11_all(spark, d):
+    return spark.createDataFrame([(v,) for v in rules.VOIVODESHIPS], "voivodeship string")
+
+
+@query("o7_top_cities", "SELECT c_name AS name, c_custkey * 7919 % 100003 AS population FROM customer ORDER BY population DESC, name LIMIT 20")
+def o7(spark, d):
+    places = views.table(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") * 7919 % 100003).alias("population"))
+    return filters.largest_cities(places)
+
+
+@query("p13_allowed", "SELECT c_custkey, c_nationkey = 7 AS by_owner, TRUE AS by_anyone FROM customer")
+def p13(spark, d):
+    c, nobody = views.table(spark, d, "customer"), F.when(F.col("c_custkey") > 0, F.col("c_nationkey"))
+    return c.select("c_custkey", filters.allowed(nobody, 7).alias("by_owner"), filters.allowed(nobody, 0).alias("by_anyone"))
+
+
+@query("j8_with_keywords", q.with_(q.LISTINGS_SQL, "k AS (SELECT DISTINCT CASE WHEN s_suppkey % 3 = 0 THEN 'UDZIAŁ' || CASE WHEN s_suppkey % 2 = 0 THEN ' W' ELSE '' END ELSE s_suppkey::VARCHAR END AS keyword FROM supplier)", select="SELECT seq, keyword FROM listings JOIN k ON contains(lower(title), lower(keyword))"))
+def j8(spark, d):
+    k = F.col("s_suppkey")
+    words = views.table(spark, d, "supplier").select(F.when(k % 3 == 0, F.concat(F.lit("UDZIAŁ"), F.when(k % 2 == 0, " W").otherwise(""))).otherwise(k.cast("string")).alias("keyword"))
+    return filters.with_keywords(L(spark, d), words).select("seq", "keyword")
+
+
+_low, _high = "CASE WHEN seq % 2 = 0 THEN (seq % 9 * 10000)::VARCHAR END", "CASE WHEN seq % 3 = 0 THEN (seq % 9 * 10000 + 50000)::VARCHAR END"
+_esc = lambda x: f"replace(url_encode({x}), '%20', '+')"
+
+
+@query("s9_search_urls", q.listings(f"SELECT seq, 'https://www.nieruchomosci-online.pl/szukaj.html?' || concat_ws('&', 'text=' || {_esc('title')}, '3_price_from=' || {_low}, '3_price_to=' || {_high}, '1_location=' || {_esc('city')}, '3_area_from=' || CASE WHEN seq % 5 = 0 THEN '20' END) AS a, 'https://www.szybko.pl/szukaj?' || concat_ws('&', 'q=' || {_esc('title')}, 'type=nieruchomosci', 'price_from=' || {_low}, 'price_to=' || {_high}, 'city=' || {_esc('city')}, 'area_from=' || CASE WHEN seq % 5 = 0 THEN '20' END) AS b, 'https://api.allegro.pl?' || concat_ws('&', 'phrase=' || {_esc('title')}, 'category.id=100249', 'sort=-relevance', 'limit=50', 'price.from=' || {_low}, 'price.to=' || {_high}, 'location.city=' || {_esc('city')}) AS c FROM listings"))
+def s9(spark, d):
+    k = F.col("seq")
+    asked = F.create_map(F.lit("price_min"), F.when(k % 2 == 0, (k % 9 * 10000).cast("string")), F.lit("price_max"), F.when(k % 3 == 0, (k % 9 * 10000 + 50000).cast("string")), F.lit("city"), F.col("city"), F.lit("area_min"), F.when(k % 5 == 0, "20"), F.lit("rooms"), F.lit("3"))
+    return L(spark, d).select("seq", *(requests.search_url(p, F.col("title"), asked).alias(name) for name, p in (("a", "nieruchomosci_online"), ("b", "szybko"), ("c", "allegro"))))
+
+
 @query("p12_active_filters", "SELECT c_name AS name FROM customer WHERE c_custkey % 4 <> 0")
 def p12(spark, d):
     c = views.table(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_custkey") % 4 != 0).alias("is_active"))
@@ -353,7 +388,7 @@ def s18(spark, d):
     return views.table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name")
 
 
-@query("s10_empty")
+@query("s10_empty", "SELECT ''::VARCHAR AS id, ''::VARCHAR AS source, ''::VARCHAR AS url, ''::VARCHAR AS title, ''::VARCHAR AS description, 0::DOUBLE AS price, 0::DOUBLE AS area, ''::VARCHAR AS city, ''::VARCHAR AS voivodeship, 0::DOUBLE AS latitude, 0::DOUBLE AS longitude, 0::INT AS score, TRUE AS is_share, TRUE AS is_active, TIMESTAMP '2000-01-01' AS first_seen_at, TIMESTAMP '2000-01-01' AS last_seen_at, TIMESTAMP '2000-01-01' AS created_at, TIMESTAMP '2000-01-01' AS updated_at WHERE FALSE")
 def s10(spark, d):
     return files.empty_source(spark)
 

@@ -186,11 +186,25 @@ def w4(spark, d):
     return classify.numbered(classified(spark, d), classify.rank_order(), 50).select("seq", "rank", F.ceil(F.col("rank") / 5).cast("int").alias("page"))
 
 
-@query("f20_page")
+_card = f"concat_ws(chr(10), {_icon} || ' <b>' || rank || '. ' || {_esc} || '</b>', CASE WHEN price <> 0 THEN '💰 ' || {_money} END, '📐 Udział: ' || fraction, '📍 ' || nullif({_meta}, ''), '🔗 <a href=\"' || url || '\">Otwórz ogłoszenie</a> (live)')"
+_paged = f"""SELECT CASE WHEN max(text) IS NULL THEN '📭 Brak wyników na tej stronie.' ELSE max(text) END AS text, pages FROM (SELECT greatest(1, ceil(count(*) / 5.0))::INT AS pages FROM classified) LEFT JOIN (
+  SELECT '📋 <b>Wyniki (2/' || any_value(pages_) || ')</b>' || chr(10) || chr(10) || string_agg({_card} || chr(10), chr(10) ORDER BY rank) AS text FROM (
+    SELECT *, row_number() OVER (ORDER BY tier_n, attractiveness DESC, seq)::INT AS rank, greatest(1, ceil(count(*) OVER () / 5.0))::INT AS pages_ FROM classified) WHERE rank BETWEEN 6 AND 10) ON TRUE GROUP BY pages"""
+
+
+@query("f20_page", q.classified(_paged))
 def f20_page(spark, d):
     return render.page(classified(spark, d), 1)
 
 
-@query("f20_summary")
+_grouped = lambda x: f"regexp_replace(round_even({x}, 0)::BIGINT::VARCHAR, '(\\d)(\\d{{3}})$', '\\1,\\2')"
+_summed = f"""SELECT concat_ws(chr(10), '📊 <b>Znaleziono ' || count(*) || ' udziałów:</b>' || chr(10),
+    CASE WHEN count(*) FILTER (tier = 'pewny') > 0 THEN '🔥 Pewne: <b>' || count(*) FILTER (tier = 'pewny') || '</b>' END, CASE WHEN count(*) FILTER (tier = 'prawdopodobny') > 0 THEN '⭐ Prawdopodobne: <b>' || count(*) FILTER (tier = 'prawdopodobny') || '</b>' END,
+    CASE WHEN count(*) FILTER (tier = 'mozliwy') > 0 THEN '❓ Możliwe: <b>' || count(*) FILTER (tier = 'mozliwy') || '</b>' END,
+    chr(10) || '💰 Ceny: ' || {_grouped("min(price) FILTER (price > 1000)")} || ' – ' || {_grouped("max(price) FILTER (price > 1000)")} || ' PLN',
+    '📋 Źródła: ' || (SELECT string_agg(k || '× ' || share_source, ', ' ORDER BY k DESC, first) FROM (SELECT share_source, count(*) AS k, min(seq) AS first FROM classified GROUP BY share_source ORDER BY k DESC, first LIMIT 3))) AS text FROM classified"""
+
+
+@query("f20_summary", q.classified(_summed))
 def f20_summary(spark, d):
     return render.summary(classified(spark, d))

@@ -21,7 +21,6 @@ from tessera.functions import parse, rules
 from tessera.functions.text import filled
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-MOST_CHARS = 5_000_000
 
 
 class Node:
@@ -108,7 +107,7 @@ class _Builder(HTMLParser):
 
 def tree(html: str) -> Node:
     b = _Builder()
-    b.feed(html[:MOST_CHARS])
+    b.feed(html)
     b.close()
     return b.top
 

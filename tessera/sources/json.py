@@ -76,3 +76,17 @@ def city_index(cities: DataFrame) -> DataFrame:
     """key, name, lat, lon: each city under its name and its name without marks; of rows with one key the later wins."""
     keyed = cities.withColumn("_n", F.monotonically_increasing_id()).select(F.explode(F.array_distinct(F.array(F.lower("name"), without_marks(F.col("name"))))).alias("key"), "name", "lat", "lon", "_n")
     return keyed.groupBy("key").agg(F.max_by(F.struct("name", "lat", "lon"), "_n").alias("x")).select("key", "x.*")
+
+
+AD = "description string, areaInSquareMeters string, areaInM2 string, roomsNumber string, floor string, advertiserType string, images array<string>, location struct<address struct<city struct<name string>, district struct<name string>, street struct<name string>>>"
+
+
+def embedded_detail(pages: DataFrame) -> DataFrame:
+    """One row for each of pages(page_id, html): the listing that the page's own JSON holds; nulls where there is none."""
+    body = F.regexp_extract("html", r'(?s)<script\s+id="__NEXT_DATA__"\s+type="application/json"[^>]*>(.*?)</script>', 1)
+    ad = F.from_json(F.get_json_object(body, "$.props.pageProps.ad"), AD)
+    at, area = ad["location"]["address"], lambda x: F.when(x.try_cast("double") != 0, x.try_cast("double"))
+    return pages.select(
+        "page_id", ad["description"].alias("full_description"), F.coalesce(area(ad["areaInSquareMeters"]), ad["areaInM2"].try_cast("double")).alias("area"), ad["roomsNumber"].alias("rooms"), ad["floor"].alias("floor"),
+        at["city"]["name"].alias("city"), at["district"]["name"].alias("district"), at["street"]["name"].alias("street"), ad["advertiserType"].alias("seller_type"), F.when(ad.isNotNull(), F.greatest(F.size(ad["images"]), F.lit(0))).alias("photos"),
+    )

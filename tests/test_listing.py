@@ -111,6 +111,45 @@ def test_radius(spark):
     assert filters.by_radius(df, 52.2297, 21.0122, 0).isEmpty()
 
 
+@pytest.mark.parametrize("km", [5.0, 40.0, 700.0, 9000.0, 15000.0])
+def test_near_centres_anywhere(spark, km):
+    """All pairs that the distance says, near the poles and over the antimeridian too."""
+    import math
+    import random
+
+    r = random.Random(3)
+    near = [(85.0, 0.0), (85.0, 3.5), (89.99, 10.0), (89.99, -170.0), (0.0, 179.99), (0.1, -179.95), (-60.0, 180.0), (-60.1, -180.0), (90.0, 5.0), (52.2, 21.0), (52.3, 21.2)]
+    points = near + [(r.uniform(-90, 90), r.uniform(-180, 180)) for _ in range(60)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)] + [(-1, None, 1.0), (-2, 91.0, 1.0)], "seq int, latitude double, longitude double")
+    centres = spark.createDataFrame([(i, *p) for i, p in enumerate(points[:25])], "centre int, lat double, lon double")
+
+    def d(p, q):
+        a, b = math.radians(p[0]), math.radians(q[0])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h)))
+
+    want = sorted((i, j) for i, p in enumerate(points) for j, q in enumerate(points[:25]) if d(p, q) <= km)
+    assert sorted((x.seq, x.centre) for x in filters.near_centres(df, centres, km).collect()) == want
+
+
+def test_numbers_go_on_in_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("seq"))
+    out = store.consecutive(df, "seq", "n", 10).orderBy("seq").collect()
+    assert [r.n for r in out] == list(range(11, 5011)) and store.consecutive(df.where("false"), "seq", "n").count() == 0
+
+
+def test_keyword_table(spark):
+    df = spark.createDataFrame([(1, "Dom z ogrodem"), (2, "ab"), (3, None), (4, "")], "seq int, title string")
+    words = spark.createDataFrame([("DOM",), ("o",), ("ab",), ("abc",), ("z ogrod",), ("",), (None,), ("o",)], "keyword string")
+    assert sorted((r.seq, r.keyword) for r in filters.with_keywords(df, words).collect()) == [(1, "DOM"), (1, "o"), (1, "z ogrod"), (2, "ab")]
+
+
+def test_long_page_is_read_whole(spark):
+    page = "<p>" + "x" * 5_100_000 + '</p><a href="/d/oferta/1">Dłuższy tytuł</a>'
+    df = spark.createDataFrame([(1, "olx", page)], "page_id int, portal string, html string")
+    assert html.search_results(df).count() == 1
+
+
 def test_unknown_city_filters_nothing(spark):
     df = spark.createDataFrame([(1, 52.2, 21.0, "Warszawa", "mazowieckie")], "seq int, latitude double, longitude double, city string, voivodeship string")
     cities = spark.createDataFrame([("Łódź", 51.7, 19.4, "łódzkie", 1)], json.CITY)
