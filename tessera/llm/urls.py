@@ -1,17 +1,18 @@
 """URL filters: pattern rules under their rarest literal token.
 
 A rule is a regular expression, an action and the literal tokens that every URL it matches contains.
-The rules' tokens are counted over all URLs, and each rule is filed under its rarest. Each URL's
-tokens then fetch rules by a broadcast join with that index, and only fetched rules run their regular
-expression. The rules are a parameter; their number is checked before they are broadcast, and beyond
-BROADCAST_RULES the same join shuffles.
+The rules are a table; their tokens are counted over all URLs, and each rule is filed under its rarest. Each URL's
+tokens then fetch rules by an equal join with that index, which is broadcast if its bytes, counted, are few, and only fetched rules run
+their regular expression, a rule's URLs together, so that it is compiled once a task. Rules without a literal token can't be
+filed and run on every URL; there may be no more than EVERYWHERE of them.
 
 Rules over host and path come first and are compared by length (the longest wins); a URL that none of
 them fits gets the verdict of the pattern rules: block if one that blocks matches, else allow.
 
 Defined results: a null URL, or one without ://, has empty host and path, fits no host rule and is
-allowed unless a pattern rule matches its text; repeated rows are judged one by one; an empty table gives
-none. Other columns are ignored.
+allowed unless a pattern rule matches its text; URLs of any length are judged whole; repeated rows are judged one by one; of
+host rules as long the greater text wins, then block; rules that stand twice count once; without rules all is allowed; an empty table gives
+none. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,23 +23,33 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER_AZ, UPPER_AZ
+from tessera.llm.common import LOWER_AZ, UPPER_AZ, Workspace
 
 #: Fixed by contract: action and rule.
 HOST_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+#: Words in host names, between dots and hyphens, that block.
+HOST_WORDS = """casino poker roulette blackjack slots jackpot betting sportsbet lottery bingo viagra cialis tramadol xanax replica warez keygen
+crack torrent pirate camgirls escorts hookup porn hentai sexcam milf payday bitdoubler clickbank seotool backlinks linkfarm adserver adclick popunder
+tracker doubleclick malware phishing botnet""".split()
+#: Words in paths, between slashes, hyphens and dots, that block.
+PATH_WORDS = ["casino", "poker", "viagra", "cialis", "porn", "xxx", "warez", "torrent", "redirect", "unsubscribe", "trackback", "pingback"]
 #: Action, regular expression over host and path joined, literal tokens in it.
 PATTERN_RULES = [
     ("block", r"(^|[.-])spam-farm[.]", "spam farm"),
     ("block", r"(^|[.-])cheap-pills[.]", "cheap pills"),
-    ("block", r"(^|[.-])(online-)?casino(-online)?[.]", "casino"),
     ("block", r"(^|[.-])free-(movies|downloads|money)[.]", "free"),
     ("block", r"/wp-login[.]php$", "wp login php"),
+    ("block", r"/wp-admin/", "wp admin"),
+    ("block", r"/xmlrpc[.]php$", "xmlrpc php"),
     ("block", r"/cgi-bin/", "cgi bin"),
     ("block", r"[.](exe|msi|apk)/download$", "download"),
-    ("block", r"(^|[.])xxx(/|$)", "xxx"),
-    ("block", r"/(viagra|cialis)[/.-]", ""),
-]
-BROADCAST_RULES = 100_000
+    ("block", r"/(login|signin|signup|checkout|cart)(/|$)", ""),
+    ("block", r"[.](zip|rar|7z|exe|dmg|iso)$", ""),
+    *(("block", rf"(^|[.-]){w}([.-]|/|$)", w) for w in HOST_WORDS),
+    *(("block", rf"/([^/]*[-.])?{w}([-./]|$)", w) for w in PATH_WORDS),
+]
+#: Bytes of the index of rules that are sent to every task, and how many rules may run on every URL.
+BROADCAST_BYTES, EVERYWHERE = 64 << 20, 1000
 TOKEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
@@ -65,11 +76,14 @@ def all_rules(host_rules: list[tuple[str, str]], patterns: list[tuple[str, str,
     return out + [UrlRule(a, p, literal(t), None) for a, p, t in patterns]
 
 
-def rule_table(spark: SparkSession, rules: list[UrlRule]) -> DataFrame:
-    """A row for each rule; rules without a literal token have the empty one, which every URL has."""
-    rows = [(k, r.action, r.pattern, list(r.tokens) or [""], r.shown) for k, r in enumerate(rules)]
-    values = ", ".join("(" + ", ".join([str(k), *(sql_text(x) for x in (a, p)), "array(" + ", ".join(map(sql_text, t)) + ")", sql_text(s)]) + ")" for k, a, p, t, s in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t(rule_id, action, pattern, tokens, shown)")
+RULE = "action string, pattern string, tokens array<string>, shown string"
+
+
+def rule_table(spark: SparkSession, host_rules: list[tuple[str, str]] = HOST_RULES, patterns: list[tuple[str, str, str]] = PATTERN_RULES) -> DataFrame:
+    """A row for each rule: action, pattern, tokens (lower-case), and the text of a host rule, which is what a verdict shows."""
+    rows = [(r.action, r.pattern, list(r.tokens), r.shown) for r in all_rules(host_rules, patterns)]
+    values = ", ".join("(" + ", ".join([sql_text(a), sql_text(p), "CAST(array(" + ", ".join(map(sql_text, t)) + ") AS array<string>)", sql_text(s)]) + ")" for a, p, t, s in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(action, pattern, tokens, shown)") if rows else spark.createDataFrame([], RULE)
 
 
 def sql_text(x: str | None) -> str:
@@ -77,37 +91,46 @@ def sql_text(x: str | None) -> str:
 
 
 def parsed(pages: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, host, path, their join and its tokens with the empty one."""
+    """keep, host, path, their join and its tokens."""
     u = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rest = F.when(F.col("_u").contains("://"), F.expr("substring(_u, locate('://', _u) + 3)")).otherwise(F.lit(""))
     df = pages.select(*keep, u.alias("_u")).withColumn("_rest", rest)
     df = df.withColumn("host", F.translate(F.regexp_extract("_rest", r"(?s)^[^/?#]*", 0), UPPER_AZ, LOWER_AZ))
     df = df.withColumn("path", F.regexp_extract("_rest", r"(?s)^[^/?#]*([^?#]*)", 1))
     df = df.withColumn("_text", F.when(F.col("_rest") == "", F.col("_u")).otherwise(F.concat("host", "path")))
-    return df.withColumn("_tokens", F.array_distinct(F.concat(F.array(F.lit("")), F.split(F.lower("_text"), TOKEN)))).drop("_u", "_rest")
+    return df.withColumn("_tokens", F.array_remove(F.array_distinct(F.split(F.lower("_text"), TOKEN)), "")).drop("_u", "_rest")
 
 
-def filter_urls(pages: DataFrame, keep: list[str] | None = None, host_rules: list[tuple[str, str]] = HOST_RULES, patterns: list[tuple[str, str, str]] = PATTERN_RULES) -> DataFrame:
-    """keep, host, path, rule and verdict for each row of pages(url)."""
+def filter_urls(pages: DataFrame, keep: list[str] | None = None, rules: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """keep, host, path, rule and verdict for each row of pages(url); rules: a table as rule_table makes one."""
     spark, keep = pages.sparkSession, keep or ["page_id"]
-    listed = all_rules(host_rules, patterns)
-    small = F.broadcast if len(listed) <= BROADCAST_RULES else lambda df: df
-    rules = rule_table(spark, listed)
-    urls = parsed(pages, keep).withColumn("_row", F.monotonically_increasing_id())
-    # how many URLs have each token of a rule: partial counts, then a handful of rows
-    tokens = rules.select(F.explode("tokens").alias("token")).distinct()
+    ws = Workspace(spark, "urls")
+    rules = ws.keep((rule_table(spark) if rules is None else rules.select("action", "pattern", "tokens", "shown")).distinct().withColumn("rule_id", F.xxhash64("action", "pattern", "shown")), "rules")
+    length = F.coalesce(F.octet_length("pattern"), F.lit(0)) + F.coalesce(F.octet_length("shown"), F.lit(0)) + F.octet_length(F.array_join("tokens", " ")) + 300
+    small = F.broadcast if (rules.agg(F.sum(length)).first()[0] or 0) <= broadcast_bytes else lambda df: df
+    loose = rules.where(F.size("tokens") == 0).select("action", "pattern", "shown").limit(EVERYWHERE + 1).collect()
+    if len(loose) > EVERYWHERE or any(r.shown is not None for r in loose):
+        raise ValueError(f"a host rule needs a literal token, and all but {EVERYWHERE} pattern rules")
+    urls = ws.keep(parsed(pages, keep).withColumn("_row", F.monotonically_increasing_id()), "urls")
+    # how many URLs have each token of a rule: partial counts
+    filed = rules.where(F.size("tokens") > 0)
+    tokens = filed.select(F.explode("tokens").alias("token")).distinct()
     seen = urls.select(F.explode("_tokens").alias("token")).join(small(tokens), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    filed = rules.withColumn("token", F.explode("tokens")).join(small(seen), "token", "left")
-    index = filed.groupBy("rule_id", "action", "pattern", "shown").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).getField("token").alias("token"))
-    # every URL also fetches the row of token '' that stands for no rule, so that none is lost
-    none = spark.sql("SELECT -1 AS rule_id, CAST(NULL AS STRING) AS action, '' AS pattern, CAST(NULL AS STRING) AS shown, '' AS token")
-    fetched = urls.withColumn("token", F.explode("_tokens")).join(small(index.unionByName(none)), "token")
-    fits = fetched.where((F.col("rule_id") < 0) | F.expr("_text rlike pattern"))
-    # a host rule fits host and path only; its pattern starts at the host, so a URL without :// can't fit
-    fits = fits.where(F.col("shown").isNull() | (F.col("host") != ""))
-    best = F.max(F.when(F.col("shown").isNotNull(), F.struct(F.length("shown").alias("n"), "shown", "action")))
-    out = fits.groupBy("_row", *keep, "host", "path").agg(best.alias("_best"), F.max(F.when(F.col("shown").isNull(), F.col("action") == "block")).alias("_blocked"))
-    verdict = F.coalesce(F.col("_best.action"), F.when(F.col("_blocked"), F.lit("block")).otherwise(F.lit("allow")))
+    named = filed.withColumn("token", F.explode("tokens")).join(small(seen), "token", "left")
+    # a rule with a token that no URL has matches none
+    least = named.groupBy("rule_id", "action", "pattern", "shown").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x")).where("x.n > 0")
+    index = ws.keep(least.select("rule_id", "action", "pattern", "shown", F.col("x.token").alias("token")), "index")
+    fetched = urls.select("_row", "host", "_text", F.explode("_tokens").alias("token")).join(small(index), "token")
+    # the match is made above the sort and is no filter, which would be moved below it
+    tried = fetched.sortWithinPartitions("rule_id").select("_row", "action", "shown", (F.expr("_text rlike pattern") & (F.col("shown").isNull() | (F.col("host") != ""))).alias("hit"))
+    best = F.max(F.when(F.col("hit") & F.col("shown").isNotNull(), F.struct(F.length("shown").alias("n"), "shown", "action")))
+    by = tried.groupBy("_row").agg(best.alias("_best"), F.bool_or(F.col("hit") & F.col("shown").isNull() & (F.col("action") == "block")).alias("_blocked")).where("_best IS NOT NULL OR _blocked")
+    everywhere = F.lit(False)
+    for r in loose:
+        if r.action == "block":
+            everywhere = everywhere | F.col("_text").rlike(r.pattern)
+    out = urls.join(by, "_row", "left")
+    verdict = F.coalesce(F.col("_best.action"), F.when(F.coalesce("_blocked", F.lit(False)) | everywhere, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(*keep, "host", "path", F.col("_best.shown").alias("rule"), verdict.alias("verdict"))
 
 

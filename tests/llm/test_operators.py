@@ -273,6 +273,31 @@ def test_urls(spark):
     assert urls.filter_urls(df).count() == len(u) + 1 and urls.filter_urls(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_urls_with_a_large_table_of_rules(spark, limit):
+    """Many rules from a table, broadcast and not, against every rule on every URL; rules without a token too."""
+    rng = np.random.RandomState(9)
+    word = lambda: f"w{rng.randint(900)}"
+    hosts = {f"{word()}.{word()}/{word()}/" for _ in range(300)} | {"x.w1/", "w1/"}
+    rules = [(("block", "allow")[rng.randint(2)], h) for h in sorted(hosts)]
+    patterns = [("block", rf"/{a}-{b}($|/)", f"{a} {b}") for a, b in ((word(), word()) for _ in range(900))] + [("block", "[0-9]9[.]html$", ""), ("allow", "", "")]
+    urls_ = [f"http://{word()}.{h.rstrip('/')}/{word()}" for h in sorted(hosts)[::9]] + [f"https://a.b/{p[1:].split('(')[0].strip('/')}/x" for _, p, t in patterns[:900:7] if t] + ["http://q.r/19.html", "http://sub.x.w1/", None, "w1.w2/w3", "http://W1/"]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    table = urls.rule_table(spark, rules, patterns)
+    listed = [(q, re.compile(q.pattern)) for q in urls.all_rules(rules, patterns)]
+    for r in urls.filter_urls(df, ["page_id", "url"], rules=table.unionByName(table.limit(5)), broadcast_bytes=limit).collect():
+        x = (r.url or "").partition("://")[2] if "://" in (r.url or "") else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", x, re.S).groups()
+        host = host.translate(LOW)
+        text = host + path if x else r.url or ""
+        fits = [(len(q.shown), q.shown, q.action) for q, p in listed if q.shown and x and p.search(text)]
+        blocked = any(q.action == "block" and q.shown is None and p.search(text) for q, p in listed)
+        best = max(fits, default=None)
+        assert (r.rule, r.verdict) == (best and best[1], best[2] if best else "block" if blocked else "allow"), r.url
+    bare = urls.filter_urls(df, rules=table.where("false"), broadcast_bytes=limit).collect()
+    assert len(bare) == len(urls_) and {r.verdict for r in bare} == {"allow"}
+
+
 def brute_ppm(train, t, order):
     seen = {}
     for x in train:
