@@ -10,7 +10,9 @@ scoring tasks.
 Defined results: null and empty texts have the vector of an empty text and are scored like others;
 rows without a doc_id can't be labelled, are scored, and count as not held out; a label that is null
 or neither 0 nor 1 is ignored, as are repeated labels of a document that contradict each other; with
-a class that has no labelled row, every score is the share of label 1 (0.5 without any label).
+a class that has no labelled row, every score is the share of label 1 (0.5 without any label); texts of any length are read whole;
+repeated rows get equal scores; a score at the threshold is predicted as 1; an empty table gives none; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

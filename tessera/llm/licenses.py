@@ -7,10 +7,12 @@ they are taken by priority, then length, then start; one whose words lie inside
 detection is dropped.
 
 The rules are written by family: each has its names, the versions it comes in, and whether a bare
-name is evidence enough. Around them stand the phrases in which licenses are granted.
+name is evidence enough. Around them stand the phrases in which licenses are granted, and beside them sentences of the
+licenses' own texts and headers.
 
 Defined results: a null or empty text has no words and no labels and score 0; rows are scanned one
-by one and whole; repeated rows give equal results; other columns are ignored.
+by one and whole, however long; repeated rows give equal results; of detections alike in priority, length and start the rule listed
+first is taken; an empty table gives none; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,6 +104,72 @@ NOTICES = [
     ("disclaimer", "as is", r"(?:provided|distributed) (?:on an )?as is(?: basis)?(?: without warrant(?:y|ies))?"),
     ("disclaimer", "warranties or conditions", r"without warranties or conditions of any kind"),
 ]
+#: Label, keyword, phrase, of sentences in the licenses' own texts and headers.
+BODIES = [
+    ("mit", "above copyright notice and this permission", r"the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit", "to deal in the software", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies"),
+    ("mit", "the software is provided as is", r"the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("isc", "provided that the above copyright notice", r"fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc", "the author disclaims all warranties", r"the software is provided as is and the author disclaims all warranties with regard to this software"),
+    ("bsd", "redistributions of source code must retain", r"redistributions of source code must retain the (?:above )?copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3.clause", "endorse or promote products", r"(?:may be used|be used) to endorse or promote products derived from this software"),
+    ("bsd-4.clause", "advertising materials mentioning", r"all advertising materials mentioning features or use of this software must display"),
+    ("bsd", "by the copyright holders and contributors as is", r"this software is provided by the copyright holders and contributors as is"),
+    ("apache-2.0", "licensed under the apache license", r"licensed under the apache license version 2 0(?: the license)?"),
+    ("apache-2.0", "you may not use this file except", r"you may not use this file except in compliance with the license"),
+    ("apache-2.0", "apache org licenses", r"apache org licenses license 2 0"),
+    ("apache-2.0", "perpetual worldwide non exclusive no charge", r"perpetual worldwide non exclusive no charge royalty free irrevocable (?:copyright|patent) license"),
+    ("apache", "licensed to the apache software foundation", r"licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-1.1", "this product includes software developed by the apache", r"this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl", "is free software you can redistribute it", r"(?:this program|this file|it|[^ ]+) is free software you can redistribute it and or modify it"),
+    ("gpl-2", "either version 2 of the license", r"either version 2 of the license or at your option any later version"),
+    ("gpl-3", "either version 3 of the license", r"either version 3 of the license or at your option any later version"),
+    ("gpl", "copy of the gnu general public license", r"you should have received a copy of the gnu general public license along with"),
+    ("lgpl", "copy of the gnu lesser general public license", r"you should have received a copy of the gnu lesser general public license along with"),
+    ("agpl", "copy of the gnu affero general public license", r"you should have received a copy of the gnu affero general public license along with"),
+    ("gpl", "everyone is permitted to copy and distribute", r"everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl-3", "free copyleft license for software", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl-2.1", "either version 2 1 of the license", r"either version 2 1 of the license or at your option any later version"),
+    ("agpl-3", "remotely through a computer network", r"users interacting with it remotely through a computer network"),
+    ("mpl-2.0", "source code form is subject to the terms", r"this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", "mozilla org mpl 2 0", r"you can obtain one at (?:https? )?mozilla org mpl 2 0"),
+    ("mpl-1.1", "mozilla public license version 1 1", r"the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-1.0", "eclipse public license v1 0", r"made available under the terms of the eclipse public license v1 0"),
+    ("epl-2.0", "eclipse public license 2 0", r"made available under the terms of the eclipse public license 2 0"),
+    ("cddl", "common development and distribution license", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "licensed under the eupl", r"licensed under the eupl(?: (?:version |v ?)?1 [012])?"),
+    ("unlicense", "free and unencumbered software", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish", r"anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "do what the fuck you want to", r"you just do what the fuck you want to"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "may not be removed or altered", r"this notice may not be removed or altered from any source distribution"),
+    ("boost-1.0", "obtaining a copy of the software and accompanying", r"obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("boost-1.0", "boost software license", r"distributed under the boost software license version 1 0"),
+    ("artistic-2.0", "copyright holder intends", r"the copyright holder intends that a given package remain available as open source"),
+    ("ofl-1.1", "this font software is licensed under", r"this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", "reserved font name", r"with reserved font name"),
+    ("python", "psf hereby grants licensee", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("python", "licensee agrees", r"licensee agrees to include in any such work a brief summary"),
+    ("openssl", "openssl project for use", r"developed by the openssl project for use in the openssl toolkit"),
+    ("public-domain", "with this deed has dedicated", r"the person who associated a work with this deed has dedicated the work"),
+    ("public-domain", "waives all of", r"waives all of (?:his or her|their) rights to the work worldwide"),
+    ("cc-by", "you must give appropriate credit", r"you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("cc-by-sa", "distribute your contributions under the same license", r"you must distribute your contributions under the same license as the original"),
+    ("cc-by-nc", "you may not use the material for commercial", r"you may not use the material for commercial purposes"),
+    ("cc-by-nd", "you may not distribute the modified material", r"you may not distribute the modified material"),
+    ("cc-by-sa-3.0", "text is available under the creative commons", r"text is available under the creative commons attribution share ?alike license"),
+    ("cc-by", "except where otherwise noted", r"except where otherwise noted content on this (?:site|page|wiki) is licensed under a creative commons"),
+    ("busl", "the licensor hereby grants you the right to copy", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("elastic-2", "hosted or managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("sspl-1", "make the functionality of the program", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this (?:file|software|document)(?: via any medium)? is strictly prohibited"),
+    ("proprietary", "no part of this", r"no part of this (?:publication|book|document|work) may be reproduced"),
+    ("proprietary", "end user license agreement", r"end user license agreement"),
+    ("proprietary", "trade secret", r"contains? (?:confidential and )?trade secrets?(?: information)? of"),
+    ("reserved", "terms of use", r"(?:use of|by using) this (?:site|website) (?:is subject to|you agree to) (?:our |the |these )?terms of use"),
+    ("copyright", "copyright holder", r"(?:property of|with permission of) the(?:ir)? (?:respective )?copyright holders?"),
+]
 #: Bytes in a block of the index of taken detections.
 BLOCK = 256
 GRANT = r"(?:(?:dual )?licen[cs]ed|released|distributed|available|published|provided|covered|governed|redistributed) (?:and [^ ]+ )?(?:under|by|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?"
@@ -140,6 +208,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, "creative", rf"creative commons {words}", 30, "cc"))
         out.append(Rule(label, "creative", rf"creativecommons org licenses {terms}", 8, "cc"))
     out += [Rule(label, key, pattern, 25, label) for label, key, pattern in NOTICES]
+    out += [Rule(label, key, pattern, 7, label) for label, key, pattern in BODIES]
     return sorted(dict.fromkeys(out), key=lambda r: r.priority)
 
 

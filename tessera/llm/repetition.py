@@ -5,8 +5,8 @@ more in a text; what counts is the share of the text's characters that lies insi
 share is measured for lines, and two ratios of characters complete the rules.
 
 Defined results: a null or empty text has no words, fails the base rule and isn't kept; rows are
-judged one by one, so repeated rows get equal verdicts; columns of the input other than those
-asked for are ignored, whatever their names.
+judged one by one and whole, however long, so repeated rows get equal verdicts; a share at its limit is kept; an empty table gives none;
+columns of the input other than those asked for are ignored, whatever their names.
 """
 
 from __future__ import annotations

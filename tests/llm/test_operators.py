@@ -133,6 +133,64 @@ def test_license_of_a_lone_phrase(text, label):
     assert licenses.scan(text.encode(), licenses.Scanner(licenses.rules()))[5] == label
 
 
+def test_license_detections_and_labels(spark):
+    """Every rule on every text without keywords, suppressed by comparing all with all; texts of single rules and mixed ones."""
+    listed = licenses.rules()
+    plain = [x.replace("_", "a") for r in listed for x in shortest(r.pattern)[:1]]
+    rng = np.random.RandomState(2)
+    filler = "the quick brown fox under license gnu public version 2 0 or later mit".split()
+    texts = [" ".join([*rng.choice(filler, 6), *(plain[k] for k in rng.choice(len(plain), 3)), *rng.choice(filler, 6)]) for _ in range(150)] + plain[::4] + ["All Rights Reserved. " * 3, "SPDX-License-Identifier: GPL-3-or-later", ""]
+    patterns = [re.compile(rf"(?<= )(?:{r.pattern})(?= )") for r in listed]
+    for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), ["doc_id", "text"]).collect():
+        text = " " + " ".join(ALNUM.findall(r.text.translate(LOW))) + " "
+        found = sorted(((q.priority, m.start() - m.end(), m.start(), k, m.end()) for k, (q, p) in enumerate(zip(listed, patterns, strict=True)) for m in p.finditer(text)))
+        taken = []
+        for _, _, a, k, b in found:
+            if not any(s <= a and b <= e for s, e, _ in taken):
+                taken.append((a, b, k))
+        want = [f"{listed[k].label}:{text.count(' ', 0, a) - 1}:{text.count(' ', 0, b)}" for a, b, k in sorted(taken)]
+        assert r.detections == ",".join(want), r.text
+        base = {label for phrase, label in licenses.BASE if f" {phrase} " in text}
+        assert r.labels == ",".join(sorted(base | {listed[k].label for _, _, k in taken}))
+        strength = math.prod(1 - (0.95 if listed[k].priority <= 10 else 0.8 if listed[k].priority <= 20 else 0.5) for _, _, k in taken)
+        assert r.score == pytest.approx(1 - strength * 0.5**r.n_base)
+
+
+def test_quality_verdicts(odd):
+    """Coverage, reasons and kept by plain n-grams and lines."""
+    rules = repetition.Rules()
+    more = [(50, "a b c d e f g h i j " * 3 + BASE), (51, "x\n" + (BASE + "\n") * 3), (52, "spam " * 12 + BASE), (53, BASE.upper()), (54, "# " * 10 + BASE), (55, BASE + " zażółć gęślą jaźń zażółć gęślą jaźń")]
+    df = odd.select("doc_id", "text").unionByName(odd.sparkSession.createDataFrame(more, "doc_id long, text string"))
+    for r in repetition.quality_rules(df, ["doc_id", "text"]).collect():
+        t = r.text or ""
+        w = SPACED.findall(t)
+        n, chars = len(w), sum(map(len, w))
+        why, most = [], 0.0
+        if n < rules.least_words:
+            why.append("few words")
+        if 100 * r.n_repeat_words > rules.window_percent * n:
+            why.append("windows")
+        for k, limit in {rules.window: None, **rules.ngrams}.items():
+            seen = Counter(tuple(w[i : i + k]) for i in range(n - k + 1))
+            inside = {j for i in range(n - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
+            part = sum(len(w[j]) for j in inside) / chars if chars else 0.0
+            most = max(most, part)
+        for k, limit in rules.ngrams.items():
+            seen = Counter(tuple(w[i : i + k]) for i in range(n - k + 1))
+            inside = {j for i in range(n - k + 1) if seen[tuple(w[i : i + k])] > 1 for j in range(i, i + k)}
+            if chars and sum(len(w[j]) for j in inside) / chars > limit:
+                why.append(f"{k}-grams")
+        again, lines = 0, set()
+        for x in t.split("\n"):
+            again += len("".join(SPACED.findall(x))) if x in lines else 0
+            lines.add(x)
+        share = again / chars if chars else 0.0
+        why += ["lines"] * (share > rules.lines) + ["top word"] * (n >= rules.top_word_from and max(Counter(w).values()) / n > rules.top_word)
+        why += ["symbols"] * (sum(c in "#*$%&|<>" for c in t) > rules.symbols * chars) + ["capitals"] * (sum("A" <= c <= "Z" for c in t) > rules.capitals * chars)
+        assert (r.reasons, r.kept) == (", ".join(why), not why), r.doc_id
+        assert r.coverage == pytest.approx(max(most, share))
+
+
 def base_spans(t):
     out = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
@@ -393,6 +451,34 @@ def test_quality_classifier(spark, odd, empty):
     assert {r.score for r in discriminant.classify_quality(odd, labels.where("false")).collect()} == {0.5}
 
 
+def test_quality_scores_by_brute_force(spark):
+    """Moments, shrinkage and densities again, from all vectors at once and without Cholesky factors."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    x = {i: np.array(discriminant.vector(t.encode())[0]) for i, t in texts.items()}
+    for i, t in list(texts.items())[:40]:  # the statistics themselves
+        w, solid = SPACED.findall(t), "".join(SPACED.findall(t))
+        size = len(solid.encode())
+        bend = lambda a, b: math.asin(math.sqrt(min(1.0, a / b))) if b else 0.0
+        lines = [y for y in t.split("\n") if SPACED.search(y)]
+        want = [math.log1p(len(w)), math.log1p(len(solid) / len(w) if w else 0), len(set(w)) / len(w) ** 0.9 if w else 0.0, bend(max(Counter(w).values(), default=0), len(w)), bend(sum(c in "#*$%&|<>" for c in t), size), bend(sum("A" <= c <= "Z" for c in t), size)]
+        assert np.allclose(x[i][:6], want) and np.allclose(x[i][[7, 8, 9]], [bend(sum(c in "0123456789" for c in t), size), bend(len(lines) - len(set(lines)), len(lines)), math.log1p(len(w) / len(lines) if lines else 0)])
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    by = {y: np.array([x[i] for i in texts if not held[i] and known.get(i) == y]) for y in (0, 1)}
+    cov = {y: np.cov(v.T, bias=True) for y, v in by.items()}
+    pooled = sum(len(by[y]) * cov[y] for y in by) / sum(map(len, by.values()))
+    log = {}
+    for y, v in by.items():
+        c = 0.95 * cov[y] + 0.05 * pooled
+        c = 0.95 * c + 0.05 * np.diag(np.diag(c)) + np.diag(1e-4 + 1e-3 * np.diag(pooled))
+        log[y] = lambda z, m=v.mean(0), c=c, n=len(v): math.log(n) - 0.5 * ((z - m) @ np.linalg.solve(c, z - m) + np.linalg.slogdet(c)[1])
+    for r in discriminant.classify_quality(docs, labels).collect():
+        odds = log[1](x[r.doc_id]) - log[0](x[r.doc_id])
+        assert r.held_out == held[r.doc_id] and r.score == pytest.approx(1 / (1 + math.exp(-max(-500, min(500, odds)))), rel=1e-5, abs=1e-9)
+
+
 def test_mixing(spark, odd, empty):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), mixing.domains_of(spark.read.parquet(f"{sf}/labels.parquet"))
