@@ -43,6 +43,8 @@ BANDS, ROWS, BATCH, MISS = 50, 7, 70, 1e-5
 SCREENED = BANDS * ROWS
 #: Shingles in a block of the last comparison; a longer text is a block's.
 BLOCK = 1 << 15
+#: Regions whose numbers of blocks, three numbers each, are sent to every task; beyond it the join shuffles.
+BROADCAST_REGIONS = 500_000
 A, B, C, D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
 RANDOM = np.random.RandomState(20240229)
 #: Odd multipliers of the minima and of the rows of a band.
@@ -147,7 +149,7 @@ def connected(ws: Workspace, sigs: DataFrame, texts: DataFrame, k: int, percent:
     sets = shared_shingles(ws, first, texts, k, percent)
     live = ws.keep(first.join(sets.select(F.col("doc_id").alias("member")), "member", "left_semi").select("region", "member", "comp", (F.col("comp") != F.col("region")).alias("asks")), "live")
     ws.drop(first)
-    more = ws.keep(across(live, sets, percent), "links")
+    more = ws.keep(across(ws, live, sets, percent), "links")
     grown = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("_a")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("_b")), "b", "left")
     merged = roots(ws, grown.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
     up = merged.select(F.col("node").alias("comp"), F.col("comp").alias("_up"))
@@ -155,17 +157,19 @@ def connected(ws: Workspace, sigs: DataFrame, texts: DataFrame, k: int, percent:
     return ws.keep(comp.join(up, "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp")).unionByName(merged.join(comp.select("node"), "node", "left_anti")), "components")
 
 
-def across(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(ws: Workspace, live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, of each region's asking texts with all its texts, on full sets, in blocks.
 
     Both sides are dealt by a hash into blocks of about BLOCK shingles; a task gets one block of each side, so a
     region of any size, of short or long texts, is shared out in groups that a worker can hold. Of a text's links to one
     component, one a block is returned.
     """
-    sized = sets.select(F.col("doc_id").alias("member"), "s", F.size("s").alias("_size"))
-    held = live.join(sized, "member")
-    total = held.groupBy("region").agg(F.ceil(F.sum("_size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("asks"), F.col("_size"))) / BLOCK).cast("int").alias("asking")).where("asking > 0")
-    rows = held.drop("_size").join(total, "region")
+    sized = live.join(sets.select(F.col("doc_id").alias("member"), F.size("s").alias("_size")), "member")
+    total = sized.groupBy("region").agg(F.ceil(F.sum("_size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum(F.when(F.col("asks"), F.col("_size"))) / BLOCK).cast("int").alias("asking")).where("asking > 0")
+    total = ws.keep(total, "regions")
+    # a region with many texts isn't brought together: its row goes to them, while the regions are few enough to be sent
+    few = F.broadcast if total.count() <= BROADCAST_REGIONS else lambda df: df
+    rows = live.join(few(total), "region").join(sets.select(F.col("doc_id").alias("member"), "s"), "member")
     spread = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     told = rows.select("region", spread("blocks").alias("block"), every("asking").alias("ask"), F.lit(False).alias("asks"), "member", "comp", "s")
