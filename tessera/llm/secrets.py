@@ -89,12 +89,11 @@ def scan_versions(versions: DataFrame, *, path: str = "doc_id", ledger: str | No
     schema = f"blob string, rules string, spans {SPAN}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    unseen = rows.select("blob", "text")
-    if there:
-        known = spark.read.schema(schema).parquet(ledger).where(F.col("rules") == this).select("blob").distinct()
-        unseen = unseen.join(known, "blob", "left_anti")
     # one text of each blob: copies meet on the map side first, so a blob with many copies sends one row a task
-    one = unseen.groupBy("blob").agg(F.first("text").alias("text"))
+    one = rows.groupBy("blob").agg(F.first("text").alias("text"))
+    if there:
+        known = spark.read.schema(schema).parquet(ledger).where(F.col("rules") == this).select("blob")
+        one = one.join(known, "blob", "left_anti")
     findings(one, rules).select("blob", F.lit(this).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans")) if there else spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).select("blob", "spans")
     return rows.select(path, "blob").join(known, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
