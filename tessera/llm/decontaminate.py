@@ -11,7 +11,7 @@ The words of a document travel beside its exploded shingles but are only read wh
 both run in one stage. The windows' bytes are counted: up to BROADCAST_BYTES they are broadcast; beyond
 that the joins shuffle, on rows without words, and the words are fetched for candidates alone. Which items a window is of
 is a table of its own, however many share it: it is joined once for each set of windows that some documents hold, not for
-each hit.
+each hit; the sets are then sent to the documents that hold them, or, if their bytes are too many, joined with salt.
 
 Defined results: null and empty texts have no words, hit nothing, and as items have no windows; items with
 fewer words than a window are one window; equal windows of several items count for each of them; the windows of an item
@@ -30,6 +30,8 @@ from tessera.llm.common import LOWER_AZ, UPPER_AZ, Workspace
 WINDOW, SHINGLE = 10, 3
 #: Bytes of windows, as estimated, that are sent to every task.
 BROADCAST_BYTES = 64 << 20
+#: Tasks that share the documents of one set of windows, where the sets are too many to be sent.
+SALTS = 32
 NOT_A_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -123,10 +125,18 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, keep: list[str] | None = No
     hit = F.col("size") > 0
     by = pairs.groupBy(*keep).agg(F.max("n").cast("long").alias("n_words"), F.collect_set(F.when(hit, F.struct("start", "size"))).alias("places"), F.array_sort(F.collect_set(F.when(hit, F.col("id")))).alias("_ids"))
     by = ws.keep(by, "hits")
-    # items of each set of windows, made once however many documents hold that set
-    held = by.where(F.size("_ids") > 0).select("_ids").distinct()
-    items = held.select("_ids", F.explode("_ids").alias("id")).join(cut.select("id", "item"), "id").groupBy("_ids").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return by.join(items, "_ids", "left").select(*keep[1:], "n_words", "places", F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    # items of each set of windows, made once however many documents hold that set; documents without hits join nothing
+    hits, none = by.where(F.size("_ids") > 0), F.array().cast("array<string>")
+    items = hits.select("_ids").distinct().select("_ids", F.explode("_ids").alias("id")).join(cut.select("id", "item"), "id").groupBy("_ids").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    items = ws.keep(items, "sets")
+    size = F.sum(sum((F.octet_length(F.array_join(c, " ")) + 16 * F.size(c) for c in ("_ids", "items")), F.lit(200)))
+    if (items.agg(size).first()[0] or 0) <= broadcast_bytes:
+        named = hits.join(F.broadcast(items), "_ids", "left")
+    else:  # a set that many documents hold is dealt over SALTS tasks
+        salted = hits.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)))
+        named = salted.join(items.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_ids", "_salt"], "left")
+    out = [*keep[1:], "n_words", "places"]
+    return named.select(*out, F.coalesce("items", none).alias("items")).unionByName(by.where(F.size("_ids") == 0).select(*out, none.alias("items")))
 
 
 def digest(leaks: DataFrame, keep: list[str] | None = None) -> DataFrame:
