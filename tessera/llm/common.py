@@ -101,6 +101,21 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary()}[type(kind)]
 
 
+#: A key that more than one in so many rows has is joined by itself: there are no more than these.
+HOT_KEYS = 10_000
+
+
+def join_by_key(rows: DataFrame, keys: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined (inner) with keys, one row for each key; weight: a column of keys, how many of rows have the key, total of them.
+
+    Keys of more than total / HOT_KEYS rows are fewer than HOT_KEYS, so they can be broadcast whatever the rows hold; the rows of
+    the others shuffle, and none of their keys has more than one in HOT_KEYS of all.
+    """
+    hot = F.broadcast(keys.where(F.col(weight) * HOT_KEYS > total).drop(weight))
+    rest = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col(weight) * HOT_KEYS <= total).drop(weight), on)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table. One in no more pieces than two a core is dealt over all cores, as its texts cost more to work on than to move.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, ppm, repetition, secrets, sharding, urls
+from tessera.llm import decontaminate, discriminant, licenses, lines, mixing, neardup, ppm, prefixes, repetition, secrets, sharding, urls, variants
 from tessera.llm.common import Workspace, table
 
 
@@ -53,9 +53,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup_lines(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the words as given, of which one in 31 runs of a document is misspelt."""
+    return variants.group_variants(variants.count_words(table(spark, sf_dir, "documents"), misspell=31))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of conversations that begin as the first one of their hundred does."""
+    return prefixes.digest(*prefixes.prefix_trie(prefixes.rebuilt(prefixes.paths(table(spark, sf_dir, "conversations")))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op4_mixing, op5_license_scans, op6_near_duplicates, op7_decontamination, op8_url_filters, op9_lm_scoring, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_sharding, op2_quality_classifier, op3_secret_scans, op4_mixing, op5_license_scans, op6_near_duplicates, op7_decontamination, op8_url_filters, op9_lm_scoring, op10_quality_rules, op11_line_dedup, op12_spelling_variants, op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_sharding": sharding.SQL, "op3_secret_scans": secrets.SQL, "op6_near_duplicates": neardup.SQL, "op7_decontamination": decontaminate.SQL, "op8_url_filters": urls.SQL}
+    return {"op1_sharding": sharding.SQL, "op3_secret_scans": secrets.SQL, "op6_near_duplicates": neardup.SQL, "op7_decontamination": decontaminate.SQL, "op8_url_filters": urls.SQL, "op11_line_dedup": lines.SQL, "op12_spelling_variants": variants.SQL, "op13_prefix_trie": prefixes.SQL}

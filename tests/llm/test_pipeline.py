@@ -43,7 +43,7 @@ def test_registered():
     import __spark_entry__ as e
 
     assert e.queries()["pipeline"] is cp.run
-    assert {n.split("_")[0] for n in e.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in e.queries() if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
