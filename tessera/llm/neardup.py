@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-A text's set is the hashes of its distinct word shingles. Texts with equal sets are one class and only its
-smallest doc_id goes on. Signatures of BANDS bands of ROWS minima each put documents in buckets; a pair at the
+A text's set is the hashes of its distinct word shingles. Texts with equal sets are one class, and one row of it goes on
+under its number, however often its doc_id or its text is repeated. Signatures of BANDS bands of ROWS minima each put documents in buckets; a pair at the
 threshold shares none with probability (1 - t^ROWS)^BANDS, under 1e-5. Candidate pairs are screened on
 their signatures, BATCH minima at a time: with m of n equal, the similarity's posterior under a uniform
 prior is Beta(m + 1, n - m + 1), and a pair is out once it exceeds the threshold with a probability under
@@ -224,18 +224,25 @@ def shared_shingles(ws: Workspace, live: DataFrame, texts: DataFrame, k: int, pe
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
     ws = Workspace(docs.sparkSession, "neardup")
-    texts = docs.select("doc_id", "text")
+    # a copy whose rows have numbers: whatever is repeated in docs, a class is one row of it from here on
+    rows = ws.keep(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "rows")
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
-    sets = ws.keep(per_document(texts, ["doc_id"], fields, partial(sketch, k=shingle)), "sets")
+    sets = ws.keep(per_document(rows, ["_row", "doc_id"], fields, partial(sketch, k=shingle)), "sets")
     # a class: equal sets. Copies meet on the map side, so a class of many sends one row a task
-    classes = ws.keep(sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = classes.select(F.col("rep").alias("doc_id"), "key")
-    sigs = ws.keep(sets.join(reps, ["doc_id", "key"], "left_semi").select("doc_id", "bands", "sig"), "signatures")
-    comp = connected(ws, sigs, texts, shingle, percent)
-    named = ws.keep(classes.join(comp.select(F.col("node").alias("rep"), "comp"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("component_id")), "named")
+    least = sets.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min(F.struct("doc_id", "_row")).alias("m"))
+    classes = ws.keep(least.select("key", F.col("m.doc_id").alias("least"), F.col("m._row").alias("node")), "classes")
+    sigs = ws.keep(sets.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi").select(F.col("_row").alias("doc_id"), "bands", "sig"), "signatures")
+    comp = connected(ws, sigs, rows.select(F.col("_row").alias("doc_id"), "text"), shingle, percent)
+    named = ws.keep(classes.join(comp, "node", "left").select("key", "least", F.coalesce("comp", "node").alias("comp")), "named")
     ws.drop(sigs, classes)
+    # different texts under one doc_id are one document: their components are one
+    shared = named.groupBy("least").agg(F.min("comp").alias("a"), F.max("comp").alias("last")).where("a <> last")
+    same = roots(ws, named.select("least", F.col("comp").alias("b")).join(shared.select("least", "a"), "least").where("a <> b").select("a", "b"))
+    merged = named.join(same.select(F.col("node").alias("comp"), F.col("comp").alias("_up")), "comp", "left").select("key", "least", F.coalesce("_up", "comp").alias("comp"))
+    component = merged.groupBy("comp").agg(F.min("least").alias("component_id"))
+    by_key = ws.keep(merged.join(component, "comp").select("key", "component_id"), "components")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    out = sets.join(named, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
+    out = sets.join(by_key, "key", "left").select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 

@@ -238,6 +238,22 @@ def brute_components(docs, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_near_duplicates_of_repeated_rows(spark, monkeypatch):
+    """A thousand copies of each of two linked rows, and of one doc_id with two texts: what is written doesn't grow with copies of copies."""
+    from tessera.llm import common
+
+    written = []
+    keep = common.Workspace.keep
+    monkeypatch.setattr(common.Workspace, "keep", lambda self, df, name: written.append((name, keep(self, df, name))) or written[-1][1])
+    monkeypatch.setattr(common.Workspace, "drop", lambda self, *tables: None)
+    words = LONG.split()
+    docs = [(1, " ".join(words[:100])), (2, " ".join(words[:98])), (3, " ".join(words[200:260])), (3, " ".join(words[300:360])), (4, " ".join(words[300:359])), (5, " ".join(words[400:460]))]
+    df = spark.createDataFrame([(i, t) for i, t in docs for _ in range(1000)], "doc_id long, text string").repartition(4)
+    got = neardup.near_duplicates(df, shingle=4).groupBy("doc_id", "component_id", "kept").count().collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, True, 1000), (2, 1, False, 1000), (3, 3, True, 2000), (4, 3, False, 1000), (5, 5, True, 1000)]
+    assert all(t.count() <= 6 * 50 for name, t in written if name not in ("rows", "sets"))
+
+
 def test_near_duplicates(spark, odd, empty):
     want = brute_components([(i, t) for i, t in ODD if i is not None], 4, 80)
     got = neardup.near_duplicates(odd, shingle=4).collect()
