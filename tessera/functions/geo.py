@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 RADIUS_KM = 6371.0
-KM_PER_DEGREE = 111.0
 
 
 def in_range(lat: Column, lon: Column) -> Column:
@@ -21,10 +22,18 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
 
 
 def near_box(lat: Column, lon: Column, lat0: float, lon0: float, km: float) -> Column:
-    """A box around the circle: a plain range on both columns, which Parquet statistics can prune."""
-    import math
+    """A box around the circle: plain ranges of both columns, which Parquet statistics can prune.
 
-    d = km / KM_PER_DEGREE + 0.01
-    widest = max(0.01, math.cos(math.radians(min(89.9, abs(lat0) + d))))
+    A circle that reaches a pole has all longitudes; one that reaches the antimeridian has two ranges of them.
+    """
+    d = math.degrees(km / RADIUS_KM) + 1e-6
     box = lat.between(lat0 - d, lat0 + d)
-    return box & lon.between(lon0 - d / widest, lon0 + d / widest) if abs(lon0) + d / widest < 180 else box
+    if abs(lat0) + d >= 90:
+        return box
+    wide = math.degrees(math.asin(min(1.0, math.sin(math.radians(d)) / math.cos(math.radians(lat0))))) + 1e-6
+    lo, hi = lon0 - wide, lon0 + wide
+    if lo < -180:
+        return box & (lon.between(-180, hi) | lon.between(lo + 360, 180))
+    if hi > 180:
+        return box & (lon.between(lo, 180) | lon.between(-180, hi - 360))
+    return box & lon.between(lo, hi)

@@ -1,12 +1,12 @@
 """Changes to stored tables, as new frames.
 
-Parquet has no update, so a change is a function from the old snapshot and a batch to the new one; Snapshots
-writes it as a new version and then moves a pointer, one writer at a time. The time of a change is a parameter.
+Parquet has no update, so a change is a function from the old rows and a batch to the new ones; commits.py
+stores them. The time of a change is a parameter.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rules
@@ -104,34 +104,3 @@ def validated(df: DataFrame) -> DataFrame:
     source, status = F.lower(F.coalesce("source", F.lit(""))), F.lower(F.coalesce("status", F.lit("new")))
     why = F.concat_ws(", ", F.when(~source.isin(rules.LISTING_SOURCES), "source"), F.when(~status.isin(rules.SAVED_STATUS), "status"), F.when(~F.coalesce("priority", F.lit(0)).between(0, 2), "priority"))
     return df.withColumns({"source": source, "status": status, "score": F.greatest(F.lit(0), F.least(F.lit(100), "score")), "rejected": filled(why)})
-
-
-class Snapshots:
-    """Versions of a table in a folder: v000001, v000002, ..., and a pointer file named CURRENT."""
-
-    def __init__(self, spark: SparkSession, folder: str, schema: str):
-        self.spark, self.folder, self.schema = spark, folder.rstrip("/"), schema
-        jvm = spark._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self.path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        if not self.fs.exists(self.path(f"{self.folder}/CURRENT")):
-            self.write(spark.createDataFrame([], schema))
-
-    def version(self) -> int:
-        if not self.fs.exists(self.path(f"{self.folder}/CURRENT")):
-            return 0
-        return int(self.spark.read.text(f"{self.folder}/CURRENT").first()[0])
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/v{self.version():06d}")
-
-    def write(self, df: DataFrame) -> int:
-        n = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.folder}/v{n:06d}")
-        fresh, current = self.path(f"{self.folder}/CURRENT.new"), self.path(f"{self.folder}/CURRENT")
-        out = self.fs.create(fresh, True)
-        out.write(bytearray(f"{n}\n".encode()))
-        out.close()
-        self.fs.delete(current, False)
-        self.fs.rename(fresh, current)
-        return n

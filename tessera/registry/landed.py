@@ -321,7 +321,7 @@ def k3(spark, d):
 @query("k4_schema", "SELECT 0::BIGINT AS rows_at_first, count(*) AS rows_then, 2::INT AS version FROM supplier")
 def k4(spark, d):
     """A store that is set up twice, as every start does, and written once in between."""
-    from tessera.operators.store import Snapshots
+    from tessera.operators.commits import Snapshots
 
     path, schema = scratch(spark, "store"), "s_suppkey long, s_name string"
     first = Snapshots(spark, path, schema)

@@ -14,8 +14,10 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udtf
 
 from tessera.functions import parse, rules
 from tessera.functions.text import filled
@@ -200,17 +202,41 @@ def _by_name(column: Column, made: dict[str, Column]) -> Column:
     return out
 
 
+def _raw(kind: str) -> str:
+    return f"page_id {kind}, source_portal string, seq int, " + ", ".join(f"{f} string" for f in FIELDS)
+
+
 def search_results(pages: DataFrame) -> DataFrame:
     """Listings of landed pages(page_id, portal, html), in their order on the page (seq). Unknown portals have none."""
-    by = {p.name: p for p in PORTALS}
-    kind = pages.schema["page_id"].dataType.simpleString()
+    by, schema = {p.name: p for p in PORTALS}, _raw(pages.schema["page_id"].dataType.simpleString())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
             rows = [{"page_id": i, "source_portal": p, "seq": n} | x for i, p, html in df.itertuples(index=False) if p in by and isinstance(html, str) for n, x in enumerate(cards(html, by[p]))]
             yield pd.DataFrame(rows, columns=["page_id", "source_portal", "seq", *FIELDS])
 
-    raw = pages.select("page_id", "portal", "html").mapInPandas(run, f"page_id {kind}, source_portal string, seq int, " + ", ".join(f"{f} string" for f in FIELDS))
+    return listed(pages.select("page_id", "portal", "html").mapInPandas(run, schema))
+
+
+def register_cards(spark: SparkSession, name: str = "search_cards") -> None:
+    """A table function for SQL: name(TABLE(pages)), of pages(page_id long, portal, html), has a row for each card: page_id, source_portal, seq and the texts of FIELDS.
+
+    It gets pages in Arrow batches, so it can't stand to the right of LATERAL, where Spark takes functions of single rows only.
+    """
+    by = {p.name: p for p in PORTALS}
+    schema = pa.schema([("page_id", pa.int64()), ("source_portal", pa.string()), ("seq", pa.int32()), *((f, pa.string()) for f in FIELDS)])
+
+    @arrow_udtf(returnType=_raw("long"))
+    class Cards:
+        def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+            rows = [{"page_id": i, "source_portal": p, "seq": n} | x for i, p, h in zip(*(pages.column(c).to_pylist() for c in ("page_id", "portal", "html")), strict=True) if p in by and h is not None for n, x in enumerate(cards(h, by[p]))]
+            yield pa.Table.from_pylist(rows, schema)
+
+    spark.udtf.register(name, Cards)
+
+
+def listed(raw: DataFrame) -> DataFrame:
+    """Listings of cards as they were read: page_id, source_portal, seq and the texts of FIELDS."""
     source = F.col("source_portal")
     price = {"olx": parse.olx_price, "digits": parse.digits_price, "plain": parse.plain_price}
     place = F.when(source == "olx", parse.before_date(F.col("location_text"))).otherwise(F.col("location_text"))

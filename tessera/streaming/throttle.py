@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SECONDS_KEPT = 3600
 
@@ -43,28 +43,39 @@ def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts:
     return dealt.mapInArrow(fold, schema).select(key, *(c for c in events.columns if c != key), "allowed")
 
 
-def throttled_stream(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id", kept: int = SECONDS_KEPT) -> DataFrame:
-    """The same on a stream; a user's state goes after kept seconds without events."""
-    us = int(limit * 1_000_000)
-    kind = {c: events.schema[c].dataType.simpleString() for c in (user, key)}
+class Throttle(StatefulProcessor):
+    """A user's last passed event, in microseconds, which goes after a time without one."""
+
+    def __init__(self, limit_us: int, kept: int, user: str, ts: str, key: str):
+        self.limit, self.kept, self.names = limit_us, kept, (user, ts, key)
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "at long", ttlDurationMs=self.kept * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        user, ts, name = self.names
+        last = self.last.get()[0] if self.last.exists() else None
+        df, allowed = pd.concat(list(rows)).sort_values([ts, name]), []
+        for t in df[ts].tolist():
+            ok = last is None or t - last >= self.limit
+            last = t if ok else last
+            allowed.append(ok)
+        self.last.update((last,))
+        yield pd.DataFrame({user: key[0], name: df[name].to_numpy(), "allowed": allowed})
+
+    def close(self) -> None:
+        pass
 
-    def fold(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        for df in (pd.concat(list(batches)).sort_values([ts, key]),):
-            allowed = []
-            for t in df[ts].astype("int64") // 1000:
-                ok = last is None or t - last >= us
-                last = int(t) if ok else last
-                allowed.append(ok)
-            yield pd.DataFrame({user: df[user], key: df[key], "allowed": allowed})
-        state.update((last,))
-        state.setTimeoutDuration(kept * 1000)
 
-    timed = events.select(user, key, F.col(ts).cast("timestamp_ntz").alias(ts))
-    return timed.groupBy(user).applyInPandasWithState(fold, f"{user} {kind[user]}, {key} {kind[key]}, allowed boolean", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def throttled_stream(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id", kept: int = SECONDS_KEPT) -> DataFrame:
+    """The same on a stream: user, key and allowed. A user's state goes after kept seconds without a change to it.
+
+    The state is in RocksDB, so it isn't bounded by memory; a batch of a user's events is sorted by itself.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    kind = {c: events.schema[c].dataType.simpleString() for c in (user, key)}
+    timed = events.select(user, key, F.unix_micros(F.col(ts).cast("timestamp")).alias(ts))
+    return timed.groupBy(user).transformWithStateInPandas(Throttle(int(limit * 1_000_000), kept, user, ts, key), f"{user} {kind[user]}, {key} {kind[key]}, allowed boolean", "Append", "ProcessingTime")
 
 
 def forgotten(events: DataFrame, now, seconds: int = SECONDS_KEPT, user: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -75,3 +86,13 @@ def forgotten(events: DataFrame, now, seconds: int = SECONDS_KEPT, user: str = "
 def windowed_counts(events: DataFrame, size: str = "1 hour", late: str = "10 minutes", ts: str = "ts") -> DataFrame:
     """Events and their value by type and window of time; on a stream, late ones wait for the watermark. (An extension.)"""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
+    """Sessions of each user, which end gap after their last event: start, end, n and total value. An event that is delivered again counts once.
+
+    On a stream a session is returned when the watermark has passed its end; events older than the watermark are dropped, and copies are told for late after an event.
+    """
+    once = events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    found = once.groupBy(F.session_window(ts, gap), user).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    return found.select(user, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", "total")

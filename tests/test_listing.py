@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import geo, parse, text
-from tessera.operators import analysis, classify, filters, render, score, store, tables
+from tessera.operators import analysis, classify, commits, filters, render, score, store, tables
 from tessera.sources import files, html, json
 from tessera.streaming import throttle
 
@@ -202,7 +202,7 @@ def test_blocked(spark):
 
 
 def test_snapshots(spark, tmp_path):
-    s = store.Snapshots(spark, str(tmp_path / "t"), "id string, n int")
+    s = commits.Snapshots(spark, str(tmp_path / "t"), "id string, n int")
     assert s.read().count() == 0
     s.write(spark.createDataFrame([("a", 1)], "id string, n int"))
     s.write(s.read().unionByName(spark.createDataFrame([("b", 2)], "id string, n int")))
