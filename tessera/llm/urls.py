@@ -4,7 +4,7 @@ A rule is a regular expression, an action and the literal tokens that every URL
 The rules are a table; their tokens are counted over all URLs, and each rule is filed under its rarest. Each URL's
 tokens then fetch rules by an equal join with that index, which is broadcast if its bytes, counted, are few, and only fetched rules run
 their regular expression, a rule's URLs together, so that it is compiled once a task. Rules without a literal token can't be
-filed and run on every URL; there may be no more than EVERYWHERE of them.
+filed and run on every URL, as constants of the plan: up to EVERYWHERE of them beside the rest, and if there are more, so many in a pass.
 
 Rules over host and path come first and are compared by length (the longest wins); a URL that none of
 them fits gets the verdict of the pattern rules: block if one that blocks matches, else allow.
@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import LOWER_AZ, UPPER_AZ, Workspace
@@ -45,11 +47,25 @@ PATTERN_RULES = [
     ("block", r"[.](exe|msi|apk)/download$", "download"),
     ("block", r"/(login|signin|signup|checkout|cart)(/|$)", ""),
     ("block", r"[.](zip|rar|7z|exe|dmg|iso)$", ""),
+    # hosts that are no names: addresses, other scripts in disguise, credentials
+    ("block", r"^([^/]*@)?[0-9]{1,3}([.][0-9]{1,3}){3}(:[0-9]+)?(/|$)", ""),
+    ("block", r"(^|[.])xn--[0-9a-z-]+([.:/]|$)", "xn"),
+    ("block", r"^[^/]*@", ""),
+    # ports of proxies and panels
+    *(("block", rf"^[^/]+:{port}(/|$)", port) for port in ("3128", "8081", "8443", "8888", "9090")),
+    # prefixes of hosts that count clicks
+    *(("block", rf"^{w}[.]", w) for w in ("click", "clk", "trk", "track", "pixel", "beacon", "telemetry")),
+    # paths: sessions, feeds of calendars, ever deeper folders, very long numbers
+    ("block", r";jsessionid=", "jsessionid"),
+    ("block", r"/calendar/[0-9]{4}/[0-9]{1,2}(/|$)", "calendar"),
+    ("block", r"/page/[0-9]{3,}(/|$)", "page"),
+    ("block", r"^[^/]*(/[^/]+){12}", ""),
+    ("block", r"[0-9]{16}", ""),
     *(("block", rf"(^|[.-]){w}([.-]|/|$)", w) for w in HOST_WORDS),
     *(("block", rf"/([^/]*[-.])?{w}([-./]|$)", w) for w in PATH_WORDS),
 ]
-#: Bytes of the index of rules that are sent to every task, and how many rules may run on every URL.
-BROADCAST_BYTES, EVERYWHERE = 64 << 20, 1000
+#: Bytes of the index of rules that are sent to every task, and how many rules without a token run on every URL in one pass.
+BROADCAST_BYTES, EVERYWHERE = 64 << 20, 200
 TOKEN = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
@@ -108,9 +124,9 @@ def filter_urls(pages: DataFrame, keep: list[str] | None = None, rules: DataFram
     rules = ws.keep((rule_table(spark) if rules is None else rules.select("action", "pattern", "tokens", "shown")).distinct().withColumn("rule_id", F.xxhash64("action", "pattern", "shown")), "rules")
     length = F.coalesce(F.octet_length("pattern"), F.lit(0)) + F.coalesce(F.octet_length("shown"), F.lit(0)) + F.octet_length(F.array_join("tokens", " ")) + 300
     small = F.broadcast if (rules.agg(F.sum(length)).first()[0] or 0) <= broadcast_bytes else lambda df: df
-    loose = rules.where(F.size("tokens") == 0).select("action", "pattern", "shown").limit(EVERYWHERE + 1).collect()
-    if len(loose) > EVERYWHERE or any(r.shown is not None for r in loose):
-        raise ValueError(f"a host rule needs a literal token, and all but {EVERYWHERE} pattern rules")
+    loose = rules.where(F.size("tokens") == 0)
+    if not loose.where("shown IS NOT NULL").isEmpty():
+        raise ValueError("a host rule needs a literal token")
     urls = ws.keep(parsed(pages, keep).withColumn("_row", F.monotonically_increasing_id()), "urls")
     # how many URLs have each token of a rule: partial counts
     filed = rules.where(F.size("tokens") > 0)
@@ -121,19 +137,30 @@ def filter_urls(pages: DataFrame, keep: list[str] | None = None, rules: DataFram
     least = named.groupBy("rule_id", "action", "pattern", "shown").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x")).where("x.n > 0")
     index = ws.keep(least.select("rule_id", "action", "pattern", "shown", F.col("x.token").alias("token")), "index")
     fetched = urls.select("_row", "host", "_text", F.explode("_tokens").alias("token")).join(small(index), "token")
-    # the match is made above the sort and is no filter, which would be moved below it
-    tried = fetched.sortWithinPartitions("rule_id").select("_row", "action", "shown", (F.expr("_text rlike pattern") & (F.col("shown").isNull() | (F.col("host") != ""))).alias("hit"))
+    # the match is made above the sort and is no filter, which would be moved below it; regexp_instr keeps the last pattern that it compiled
+    tried = fetched.sortWithinPartitions("rule_id").select("_row", "action", "shown", ((F.regexp_instr("_text", F.col("pattern")) > 0) & (F.col("shown").isNull() | (F.col("host") != ""))).alias("hit"))
     best = F.max(F.when(F.col("hit") & F.col("shown").isNotNull(), F.struct(F.length("shown").alias("n"), "shown", "action")))
     by = tried.groupBy("_row").agg(best.alias("_best"), F.bool_or(F.col("hit") & F.col("shown").isNull() & (F.col("action") == "block")).alias("_blocked")).where("_best IS NOT NULL OR _blocked")
-    everywhere = F.lit(False)
-    for r in loose:
-        if r.action == "block":
-            everywhere = everywhere | F.col("_text").rlike(r.pattern)
+    urls, everywhere = anywhere(ws, urls, loose.where("action = 'block'"))
     out = urls.join(by, "_row", "left")
     verdict = F.coalesce(F.col("_best.action"), F.when(F.coalesce("_blocked", F.lit(False)) | everywhere, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(*keep, "host", "path", F.col("_best.shown").alias("rule"), verdict.alias("verdict"))
 
 
+def anywhere(ws: Workspace, urls: DataFrame, loose: DataFrame) -> tuple[DataFrame, Column]:
+    """urls(_text) and a condition on them: whether one of the rules loose(pattern) matches.
+
+    The rules are fetched in order, EVERYWHERE at a time; while there are more, a pass writes urls with what it has found.
+    """
+    found, some = F.lit(False), []
+    for r in loose.select("pattern").distinct().toLocalIterator():
+        if len(some) == EVERYWHERE:
+            urls = ws.keep(urls.withColumn("_anywhere", reduce(or_, map(F.col("_text").rlike, some), found)), "urls")
+            found, some = F.col("_anywhere"), []
+        some.append(r.pattern)
+    return urls, reduce(or_, map(F.col("_text").rlike, some), found)
+
+
 def _oracle() -> str:
     hosts = " UNION ALL ".join(f"SELECT '{a}' AS action, '{t}' AS shown, '{t.partition('/')[0]}' AS h, '/{t.partition('/')[2]}' AS p" for a, t in HOST_RULES)
     blocks = " OR ".join(f"regexp_matches(t, '{p}')" for a, p, _ in PATTERN_RULES if a == "block")

@@ -372,6 +372,41 @@ def test_urls_with_a_large_table_of_rules(spark, limit):
     assert len(bare) == len(urls_) and {r.verdict for r in bare} == {"allow"}
 
 
+def test_urls_with_many_rules_without_a_token(spark, monkeypatch):
+    """More than run in one pass, each against every URL."""
+    monkeypatch.setattr(urls, "EVERYWHERE", 7)
+    patterns = [("block", f"[{c}]{k}$", "") for c in "abc" for k in range(10)] + [("allow", "x", ""), ("block", "a0$", "")]
+    df = spark.createDataFrame([(k, f"http://h.i/{c}{k}") for k in range(12) for c in "abcd"] + [(99, None)], "page_id long, url string")
+    got = urls.filter_urls(df, ["page_id", "url"], rules=urls.rule_table(spark, [], patterns)).collect()
+    assert len(got) == 49 and all((r.verdict == "block") == any(re.search(p, r.url or "") for a, p, _ in patterns if a == "block") for r in got)
+
+
+def test_url_rules_compile_a_pattern_once(spark, tmp_path):
+    """The match of a rule is a function whose code keeps the last pattern; rlike of a column compiles one in every row."""
+    spark.createDataFrame([("a", "b")], "_text string, pattern string").write.parquet(str(tmp_path / "t"))
+    code = lambda e: spark.read.parquet(str(tmp_path / "t")).select(e.alias("hit"))._jdf.queryExecution().debug().codegenToSeq().mkString()
+    assert "java.util.regex.Pattern[]" in code(F.regexp_instr("_text", F.col("pattern")) > 0)
+    assert "java.util.regex.Pattern[]" not in code(F.expr("_text rlike pattern"))
+    rules = urls.rule_table(spark, patterns=[("block", "ab", "ab")])
+    plan = urls.filter_urls(spark.createDataFrame([(1, "http://ab.c/")], "page_id long, url string"), rules=rules)._jdf.queryExecution().toString()
+    assert "regexp_instr" in plan and "RLIKE" not in plan
+
+
+@pytest.mark.parametrize(("url", "verdict"), [
+    ("http://192.168.0.1/x", "block"), ("http://1.2.3.4:80", "block"), ("http://1.2.3.4.example.org/", "allow"), ("http://xn--bcher-kva.example.org/", "block"), ("http://axn--b.example.org/", "allow"), ("http://user:pw@example.org/", "block"), ("http://example.org/@user", "allow"),
+    ("http://example.org:8888/", "block"), ("http://example.org:88880/", "allow"), ("http://example.org/8888/", "allow"), ("http://trk.example.org/a", "block"), ("http://trk2.example.org/x", "allow"), ("http://example.org/trk.x", "allow"), ("http://clicks.example.org/a", "allow"),
+    ("http://example.org/a;jsessionid=1F", "block"), ("http://example.org/calendar/2024/5/", "block"), ("http://example.org/calendar/holidays", "allow"), ("http://example.org/page/100", "block"), ("http://example.org/page/99", "allow"),
+    ("http://example.org" + "/a" * 12, "block"), ("http://example.org" + "/a" * 11, "allow"), ("http://example.org/1234567890123456", "block"), ("http://example.org/123456789012345", "allow"),
+])
+def test_url_rules_by_example(url, verdict):
+    """What the rules do, by Python's own expressions; test_urls_with_a_large_table_of_rules has the way to them."""
+    text = re.match(r"[^/?#]*[^?#]*", url.partition("://")[2])[0]
+    fits = [(p, t) for a, p, t in urls.PATTERN_RULES if a == "block" and re.search(p, text)]
+    assert bool(fits) == (verdict == "block")
+    tokens = set(re.split("[^0-9A-Za-z\u0080-\U0010ffff]+", text.lower()))
+    assert all(set(urls.literal(t)) <= tokens for _, t in fits), fits
+
+
 def brute_ppm(train, t, order):
     seen = {}
     for x in train:
