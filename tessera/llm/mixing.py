@@ -31,8 +31,8 @@ from tessera.llm.common import Workspace
 TARGETS = {"good": 0.96, "junk": 0.01, "toxic": 0.03}
 ANCHOR = "good"
 #: Hashed tokens, the power of their evidence, the weight of a token's share in all
-#: domains in its share of one, most steps of the fit, and the residual (a share of all tokens) that ends it.
-BUCKETS, TEMPER, SMOOTH, STEPS, EXACT = 1 << 18, 0.5, 20.0, 30, 1e-5
+#: domains in its share of one, and the residual (a share of all tokens) that ends it.
+BUCKETS, TEMPER, SMOOTH, EXACT = 1 << 18, 0.5, 20.0, 1e-5
 #: A token is used if its chi-square statistic has a smaller probability by chance: 1% that any of all buckets passes
 #: so (Bonferroni). The statistic isn't defined well for fewer documents than LEAST, which are not tested.
 SIGNIFICANT, LEAST = 0.01 / BUCKETS, 5
@@ -111,13 +111,14 @@ def sums(members: DataFrame, columns: list[Column]) -> np.ndarray:
     return np.array([x or 0.0 for x in members.agg(*(F.sum(x).alias(f"x{i}") for i, x in enumerate(columns))).first()])
 
 
-def fit(members: DataFrame, targets: list[float], anchor: int | None, most: float, steps: int = STEPS, exact: float = EXACT) -> tuple[list[np.ndarray], float]:
+def fit(members: DataFrame, targets: list[float], anchor: int | None, most: float, exact: float = EXACT) -> tuple[list[np.ndarray], float]:
     """The steps of the projected gradient, each one aggregation over members(n, p); and the residual: the largest difference of a domain's total from its target, as a share of all targets.
 
     Gradients are scaled by the products of posteriors over the documents whose rate isn't 0 (the others don't answer to
     most steps), so that steps near the end are as good as exact. Such a step may go too far; if the squares grow, the step is
     replaced by one scaled over all documents, for which they fall. Ends when the targets are met, when a step takes
-    less than 1% off the squares, as where no rates come much nearer, or after so many steps.
+    less than 1% off the squares, as where no rates come much nearer. With a limit to the rates, steps go to what is in reach
+    of the targets; the residual is to the targets themselves.
     """
     k, p, n, r = len(targets), F.col("p"), F.col("n"), F.col("r")
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -134,25 +135,24 @@ def fit(members: DataFrame, targets: list[float], anchor: int | None, most: floa
     now, every = passed(done)
     share = np.array(targets) / sum(targets)
     want = share * (now[anchor] / share[anchor] if anchor is not None else now.sum())
+    asked = want
     if np.isfinite(most):
         want = np.minimum(want, most * now)  # no rates give a domain more
-    scale = max(want.sum(), 1.0)
+    scale = max(asked.sum(), 1.0)
     squares = lambda x: float((x - want) @ every @ (x - want))
-    residual = lambda: float(np.abs(now - want).max() / scale)
+    residual = lambda to: float(np.abs(now - to).max() / scale)
     white = every
-    for _ in range(steps):
-        if residual() <= exact:
-            return done, residual()
+    while residual(want) > exact:
         after, then = passed([*done, white @ (now - want)])
         step = white @ (now - want)
         if squares(after) > squares(now):
             step = every @ (now - want)
             after, then = passed([*done, step])
         if squares(after) > (1 - 1e-2) * squares(now):
-            return done, residual()
+            break
         done.append(step)
         now, white = after, then
-    return done, residual()
+    return done, residual(asked)
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] = TARGETS, anchor: str | None = ANCHOR, most: float = np.inf, seed: int = 7, row: str | None = None) -> DataFrame:

@@ -221,11 +221,14 @@ def shared_shingles(ws: Workspace, live: DataFrame, texts: DataFrame, k: int, pe
     return out
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text)."""
+def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for each row of docs(doc_id, text).
+
+    row: a column of docs, which is a written table then, that tells its rows apart; without one, docs is copied and numbered.
+    """
     ws = Workspace(docs.sparkSession, "neardup")
-    # a copy whose rows have numbers: whatever is repeated in docs, a class is one row of it from here on
-    rows = ws.keep(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "rows")
+    # whatever is repeated in docs, a class is one numbered row of it from here on
+    rows = docs.select(F.col(row).alias("_row"), "doc_id", "text") if row else ws.keep(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "rows")
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())]
     sets = ws.keep(per_document(rows, ["_row", "doc_id"], fields, partial(sketch, k=shingle)), "sets")
     # a class: equal sets. Copies meet on the map side, so a class of many sends one row a task

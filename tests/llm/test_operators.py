@@ -569,6 +569,51 @@ def test_mixing_meets_the_target_of_a_rare_domain(spark):
     assert out.rate.max() > 2
 
 
+def test_mixing_tells_what_it_misses(spark):
+    """With rates of at most 1, a rare domain stays under its target, which the residual says; what can be met is."""
+    docs = [(i, d, f"{ {'good': 'plain words about the sea hills', 'junk': '### buy now ### click here', 'toxic': 'idiot moron scum liar fool troll'}[d]} {i % 97}") for i, d in enumerate(["good"] * 1000 + ["junk"] * 400 + ["toxic"] * 10)]
+    df = spark.createDataFrame(docs, "doc_id long, domain string, text string")
+    out = mixing.mix(df.select("doc_id", "text"), df.select("doc_id", "domain"), most=1.0).toPandas()
+    p, n = out[["p_good", "p_junk", "p_toxic"]].to_numpy(), out.n_tokens.to_numpy()
+    share = np.array(list(mixing.TARGETS.values()))
+    want = share * (n @ p)[0] / share[0]
+    got = (n * out.rate.to_numpy()) @ p
+    assert out.rate.max() <= 1 and out.residual.iloc[0] == pytest.approx(np.abs(got - want).max() / want.sum(), abs=1e-6) and out.residual.iloc[0] > mixing.EXACT
+    assert got[1] == pytest.approx(want[1], rel=0.05) and got[2] < want[2]
+
+
+def test_mixing_posteriors_by_plain_naive_bayes(spark):
+    """Priors, lifts by length, and sums over all chosen tokens, present and absent, from the tokens of every document."""
+    rng = np.random.RandomState(11)
+    words = {"good": 300, "junk": 60, "toxic": 150}
+    docs = [(i, d, " ".join(f"{d[0] if rng.rand() < 0.2 else 'w'}{rng.randint(words[d])}" for _ in range(rng.randint(3, 80)))) for i, d in enumerate(rng.choice(list(words), 600))]
+    df = spark.createDataFrame([(int(i), str(d), t) for i, d, t in docs], "doc_id long, domain string, text string")
+    feats = {r.doc_id: (r.n, set(r.buckets)) for r in mixing.features(df).collect()}
+    domain, names = {int(i): str(d) for i, d, _ in docs}, list(mixing.TARGETS)
+    length = {i: int(math.floor(math.log2(n + 1))) for i, (n, _) in feats.items()}
+    size = {d: sum(x == d for x in domain.values()) for d in names}
+    of = Counter((length[i], domain[i]) for i in domain)
+    tall = Counter(length.values())
+    total = len(domain)
+    sums = {d: math.log((size[d] + 1) / (total + 3)) for d in names}
+    score = {i: {d: 0.0 for d in names} for i in domain}
+    for b in set().union(*(x for _, x in feats.values())):
+        own = [i for i in domain if b in feats[i][1]]
+        c = {d: sum(domain[i] == d for i in own) for d in names}
+        e = {d: sum(of[length[i], d] / tall[length[i]] for i in own) for d in names}
+        if len(own) < mixing.LEAST or sum((c[d] - e[d]) ** 2 / (e[d] + 1e-9) for d in names) <= mixing.critical(2):
+            continue
+        share = len(own) / (total + 1)
+        for d in names:
+            inside = min(share * (c[d] + mixing.SMOOTH * share) / (e[d] + mixing.SMOOTH * share), (size[d] + mixing.SMOOTH * share) / (size[d] + mixing.SMOOTH))
+            for i in domain:
+                score[i][d] += math.log(inside / share) if b in feats[i][1] else math.log((1 - inside) / (1 - share))
+    for r in mixing.mix(df.select("doc_id", "text"), df.select("doc_id", "domain")).collect():
+        logs = np.array([sums[d] + mixing.TEMPER * score[r.doc_id][d] for d in names])
+        want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
+        assert np.allclose([r.p_good, r.p_junk, r.p_toxic], want, rtol=1e-6, atol=1e-9)
+
+
 def test_mixing_uses_a_marker_that_a_third_of_the_rows_share(spark):
     """The marker is all that sets a hot source apart, and more of the labelled documents have it than rare ones."""
     rng = np.random.RandomState(3)
