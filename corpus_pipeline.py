@@ -6,6 +6,8 @@ is a number of the row (ROW) in a copy of the stage's input that is written once
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     COLUMNS go, whatever their names.
     """
     docs = numbered(spark, docs, "near")
-    groups = neardup.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text"), shingle=5, percent=80)
+    groups = neardup.near_duplicates(docs.select(F.col(ROW).alias("doc_id"), "text", ROW), shingle=5, percent=80, row=ROW)
     named = groups.select(F.col("doc_id").alias(ROW), "component_id").join(docs.select(ROW, "doc_id"), ROW)
     one = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", ROW)).alias("least"))
     return docs.join(one.select(F.col(f"least.{ROW}").alias(ROW)), ROW, "left_semi").select(*COLUMNS)
@@ -62,10 +64,12 @@ def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the prior as posterior and are mixed like others; rows without an id are never labelled and are drawn
     by their number; rows of one id are drawn alike; without labels all posteriors are equal; no documents give none; columns
-    beyond COLUMNS go, whatever their names.
+    beyond COLUMNS go, whatever their names. A target that rates of at most 1 can't meet is logged with what is missing.
     """
     docs = numbered(spark, docs, "mix")
     rates = mixing.mix(docs, mixing.domains_of(table(spark, sf_dir, "labels")), most=1.0, row=ROW)
+    if (one := rates.select("residual").first()) and one.residual > mixing.EXACT:
+        logging.getLogger(__name__).warning("the mixture misses its targets by %.4f of all tokens", one.residual)
     copies = rates.where("copies > 0").select(F.col("_row").alias(ROW), "copies")
     return docs.join(copies, ROW).select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*COLUMNS)
 
