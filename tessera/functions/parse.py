@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import rules
 from tessera.functions.text import contains_any
 
+#: What a land-register number follows and looks like, and number words in order.
 KW = r"(?iU)(?:KW|księg[aię]\s*wieczysta|ksi[eę]g[aię]\s*wiecz)\s*(?:nr|numer|:)?\s*([A-Z]{2}\d[A-Z]?/\d{8}/\d)"
 NUMBER_WORDS = ["ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE"]
 
