@@ -20,7 +20,7 @@ Beside it stands a unigram model over words with add-one smoothing, whose counts
 
 Defined results: null and empty texts have the end token alone and model score 0; rows without a doc_id
 count as training rows; repeated rows are scored one by one and each counts in training; an empty table gives
-none; without training rows every byte is uniform and N = V = 0; texts of any length are read whole, in pieces;
+none; without training rows every byte is uniform and N = V = 0; texts of any length are read whole, each in one block;
 among keys as frequent as the last that fits into the head, none is in it; other columns are ignored, whatever their names.
 """
 
