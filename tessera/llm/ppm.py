@@ -2,16 +2,16 @@
 
 The model is a trie of contexts with the counts of what followed them in all training texts, pretrained by
 aggregations over the corpus. Its deepest order predicts phrases: a text is cut where a word says so (CUT), and the
-phrase so far is the context of the next one, tens of bytes long. A phrase seen n times after a context seen t times has
-probability n / (t + 1), the escape 1 / (t + 1); contexts never seen cost nothing. A training text's own phrases are left
-out of n and t, so that its score, as that of a text held out, says how well the rest of the corpus predicts it. Below
-it, bytes are predicted in
+phrase before is the context of the next one, tens of bytes long. Of a phrase after a context, the training texts that hold it
+are counted: n. A context followed t times, by q distinct phrases, gives a phrase (n - 1) / t and the escape q / t, which sum to
+one; contexts never seen cost nothing. So what a single text holds predicts nothing, least of all that text itself, and a score is
+one function of the text, whether the row trained or not. Below it, bytes are predicted in
 contexts of ORDER bytes and fewer: a byte's probability in its longest known context is count / (total + distinct); the
 rest of the mass, distinct / (total + distinct), escapes to the context one byte shorter, where bytes that the
 longer one has seen are excluded from the counts; below the empty context stands the uniform distribution over
 bytes never seen. (Bytes that would spell a seen phrase aren't excluded after its escape.)
 
-What grows with the corpus is never broadcast: phrases, their contexts, words and sequences of ORDER + 1 bytes are counted in a
+What grows with the corpus is never broadcast: phrases of two texts or more, the contexts that have such, words and sequences of ORDER + 1 bytes are counted in a
 table. The most frequent of each, at most HEAD, are sent to the tasks; whatever a text asks for beside them is joined by a
 64-bit key. A term of the score is one thing if its key is found and another if not, so a text's score is a sum over keys.
 Statistics of contexts of ORDER bytes or fewer are sent too; there are at most 256^ORDER of them.
@@ -155,16 +155,17 @@ def blocks(raws: list[bytes], powers: Powers) -> Iterator[tuple[int, Block]]:
 
 
 def gather(batches: Iterator[pa.RecordBatch], folds: int, fold: int, order: int) -> Iterator[pa.RecordBatch]:
-    """kind, key, n of training rows: words, phrases, contexts, sequences of order + 1 bytes, and texts' first bytes.
+    """kind, key, n, context of training rows: words, phrases (n: texts; context: the key of theirs, else 0), sequences of order + 1 bytes, and texts' first bytes.
 
     Partial counts of GATHER bytes of text at a time.
     """
 
-    def handed(kind: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["kind", "key", "n"])
+    def handed(kind: int, keys: np.ndarray, counts: np.ndarray, context: np.ndarray | None = None) -> pa.RecordBatch:
+        context = np.zeros(len(keys), np.int64) if context is None else context
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), *(pa.array(x.astype(np.int64)) for x in (keys, counts, context))], names=["kind", "key", "n", "context"])
 
     begun, powers, size, texts = Counter(), Powers(), 0, 0
-    parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {WORD: [], PHRASE: [], CONTEXT: [], order: []}
+    parts: dict[int, list[tuple[np.ndarray, ...]]] = {WORD: [], PHRASE: [], order: []}
 
     def given() -> Iterator[pa.RecordBatch]:
         yield handed(WORD, np.array([END]), np.array([texts]))
@@ -173,17 +174,20 @@ def gather(batches: Iterator[pa.RecordBatch], folds: int, fold: int, order: int)
             yield handed(k, np.fromiter((int.from_bytes(t, "big") for t in own), np.int64, len(own)), np.fromiter(own.values(), np.int64, len(own)))
         for kind, some in parts.items():
             if some:
-                codes, own = pd.factorize(np.concatenate([k for k, _ in some]))
-                yield handed(kind, own, np.bincount(codes, np.concatenate([n for _, n in some]), len(own)))
+                keys, counts, context = (np.concatenate(x) for x in zip(*some, strict=True))
+                codes, own = pd.factorize(keys)
+                yield handed(kind, own, np.bincount(codes, counts, len(own)), context[np.unique(codes, return_index=True)[1]])
             some.clear()
         begun.clear()
 
     for b in batches:
         train = [(t or b"").translate(LOWER) for d, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True) if trains(d, folds, fold)]
         for _, block in blocks(train, powers):
-            for kind, keys in ((WORD, block.words.view(np.int64)), (PHRASE, block.phrase), (CONTEXT, block.context), (order, block.grams(order)[1].astype(np.int64))):
+            _, one = np.unique(block.each(block.text, block.phrase)[0], return_index=True)  # a text counts once for a phrase
+            for kind, keys in ((WORD, block.words.view(np.int64)), (PHRASE, block.phrase[one]), (order, block.grams(order)[1].astype(np.int64))):
                 codes, own = pd.factorize(keys)
-                parts[kind].append((own, np.bincount(codes, minlength=len(own))))
+                context = block.context[one][np.unique(codes, return_index=True)[1]] if kind == PHRASE else np.zeros(len(own), np.int64)
+                parts[kind].append((own, np.bincount(codes, minlength=len(own)), context))
             for r in block.raws:
                 begun.update(r[: k + 1] for k in range(min(order, len(r))))
             texts, size = texts + len(block.raws), size + len(block.raw)
@@ -287,11 +291,16 @@ class Trie:
 
 @dataclass
 class Head:
-    """Sorted keys of one kind, their counts and the logs of these (of words: plus 1)."""
+    """Sorted keys of one kind, and the logs of their counts (of words: plus 1; of phrases: less 1); of contexts, also of the distinct phrases."""
 
     keys: np.ndarray
-    counts: np.ndarray
     logs: np.ndarray
+    distinct: np.ndarray
+
+    def log(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of keys are here, and the two logs of each (0 where it isn't)."""
+        at, hit = found(self.keys, keys)
+        return hit, *(np.where(hit, x[at], 0.0) if len(self.keys) else np.zeros(len(keys)) for x in (self.logs, self.distinct))
 
 
 def spelt(block: Block, trie: Trie, head: Head, first: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -315,24 +324,18 @@ def spelt(block: Block, trie: Trie, head: Head, first: dict[bytes, float]) -> tu
     return out, places[rest], own[codes[rest]].view(np.int64), alt[codes[rest]], less[codes[rest]]
 
 
-def terms(block: Block, trie: Trie, heads: dict[int, Head], first: dict[bytes, float], counted: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
-    """Of each text: tokens, known ones, sum of their logs, what is known of the score; then what is to be joined (see ASKED), and whose it is.
-
-    counted: which texts are training rows.
-    """
+def terms(block: Block, trie: Trie, heads: dict[int, Head], first: dict[bytes, float]) -> tuple[list[np.ndarray], np.ndarray, dict[str, np.ndarray]]:
+    """Of each text: tokens, known ones, sum of their logs, what is known of the score; then what is to be joined (see ASKED), and whose it is."""
     n, total = len(block.raws), lambda text, x: np.bincount(text, x, len(block.raws))
     text, keys = np.append(block.word_text, np.arange(n)), np.append(block.words.view(np.int64), np.full(n, END))
     group, times = block.each(text, keys)
     _, one = np.unique(group, return_index=True)
     text, keys, times = text[one], keys[one], times
-    w, in_w = found(heads[WORD].keys, keys)
-    log_w = np.where(in_w, heads[WORD].logs[w], 0.0) if len(heads[WORD].keys) else np.zeros(len(keys))
-    own_c, own_p = (np.where(counted[block.text], size[g], 0) if len(g) else np.zeros(0, np.int64) for g, size in (block.each(block.text, x) for x in (block.context, block.phrase)))
-    (c, in_c), (p, in_p) = found(heads[CONTEXT].keys, block.context), found(heads[PHRASE].keys, block.phrase)
-    in_p[in_p] = heads[PHRASE].counts[p[in_p]] > own_p[in_p]  # no others: it is asked for like one that isn't in the head, and not found
-    known = total(block.text[in_p], np.log10(heads[PHRASE].counts[p[in_p]] - own_p[in_p])) - total(block.text[in_c], np.log10(heads[CONTEXT].counts[c[in_c]] - own_c[in_c] + 1))
+    in_w, log_w, _ = heads[WORD].log(keys)
+    (in_c, log_t, log_q), (in_p, log_p, _) = heads[CONTEXT].log(block.context), heads[PHRASE].log(block.phrase)
+    known = total(block.text, log_p) - total(block.text, log_t)
     each, places, rest, alt, less = spelt(block, trie, heads[GRAM], first)
-    by_bytes = np.add.reduceat(each, block.at) if len(block.at) else np.zeros(0)
+    spelling = log_q + np.add.reduceat(each, block.at) if len(block.at) else np.zeros(0)
     of = np.searchsorted(block.at, places, "right") - 1  # the phrase that a sequence outside the head ends in
     used = ~in_p[of] if len(of) else np.zeros(0, bool)
     of, rest, alt, less = of[used], rest[used], alt[used], less[used]
@@ -341,21 +344,22 @@ def terms(block: Block, trie: Trie, heads: dict[int, Head], first: dict[bytes, f
     sizes = [len(shut_c), len(open_), len(of), len(shut_w)]
     none = [np.zeros(k) for k in sizes]
     whose = np.concatenate([block.text[shut_c], block.text[open_], block.text[of], text[shut_w]])
+    partners = np.concatenate([of, shut_c])
     asked = {
         "kind": np.repeat(np.array([CONTEXT, PHRASE, GRAM, WORD]), sizes),
         "key": np.concatenate([block.context[shut_c], block.phrase[open_], rest, keys[shut_w]]),
-        "times": np.concatenate([own_c[shut_c], own_p[open_], none[2], times[shut_w]]),
-        "at": np.concatenate([none[0] - 1, np.where(np.isin(open_, of), open_, -1), of, none[3] - 1]),
-        "alt": np.concatenate([none[0], by_bytes[open_], alt, none[3]]),
+        "times": np.concatenate([*none[:3], times[shut_w]]),
+        "at": np.concatenate([np.where(in_p[shut_c], -1, shut_c), np.where(np.isin(open_, partners), open_, -1), of, none[3] - 1]),
+        "alt": np.concatenate([none[0], spelling[open_], alt, none[3]]),
         "less": np.concatenate([none[0], none[1], less, none[3]]),
     }
     order = np.argsort(whose, kind="stable")
     return [total(text, times), total(text, np.where(in_w, times, 0)), total(text, times * log_w), known], whose[order], {k: x[order] for k, x in asked.items()}
 
 
-#: What a text asks for: kind and key; times a word occurs, or a phrase or context is counted for the text itself; alt, its term if the key isn't found; less, what a sequence's term is
-#: less than the log of its count if it is. A phrase and the sequences outside the head in it share at, its number in the
-#: text: they count only if it isn't found. Otherwise at is -1.
+#: What a text asks for: kind and key; times a word occurs; alt, its term if the key isn't found; less, what a sequence's term is
+#: less than the log of its count if it is. A phrase shares at, its number in the block, with the sequences outside the head in it and with its
+#: context, if that is outside: the sequences and the context's escape count only if the phrase isn't found. Otherwise at is -1.
 ASKED = {"kind": pa.int32(), "key": pa.int64(), "times": pa.int64(), "at": pa.int32(), "alt": pa.float64(), "less": pa.float64()}
 
 
@@ -363,14 +367,14 @@ def score(batches: Iterator[pa.RecordBatch], trie: Trie, heads: dict[int, Head],
     powers, first = Powers(), {}
     names = ["_row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "asked"]
     for b in batches:
-        counted = np.array([trains(d, folds, fold) for d in b.column(1).to_pylist()], bool)
+        held_out = np.array([not trains(d, folds, fold) for d in b.column(1).to_pylist()], bool)
         raws = [(t or b"").translate(LOWER) for t in b.column(2).cast(pa.binary()).to_pylist()]
         for lo, block in blocks(raws, powers):
             hi = lo + len(block.raws)
-            sums, whose, asked = terms(block, trie, heads, first, counted[lo:hi])
+            sums, whose, asked = terms(block, trie, heads, first)
             flat = pa.StructArray.from_arrays([pa.array(asked[k].astype(kind.to_pandas_dtype()), kind) for k, kind in ASKED.items()], list(ASKED))
             ends = pa.array(np.append(0, np.cumsum(np.bincount(whose, minlength=hi - lo))).astype(np.int32))
-            made = [pa.array(~counted[lo:hi]), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x.astype(np.float64)) for x in sums[2:])]
+            made = [pa.array(held_out[lo:hi]), *(pa.array(x.astype(np.int64)) for x in sums[:2]), *(pa.array(x.astype(np.float64)) for x in sums[2:])]
             yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, hi - lo) for k in (0, 1)), *made, pa.ListArray.from_arrays(ends, flat)], names=names)
             if len(first) > GATHER:
                 first.clear()
@@ -418,9 +422,9 @@ def heads_of(counts: DataFrame, kinds: dict[int, int], head: int) -> tuple[dict[
                 break
             least = r.step
         own, inside = counts.where(F.col("kind") == kind), step >= least if least is not None else F.lit(False)
-        keys, n = columns(own.where(inside), "key", "n")
-        heads[name] = Head(keys, n, np.log10(n + (1.0 if name == WORD else 0.0)))
-        tails[name] = own.where(~inside).select(F.lit(name).alias("kind"), "key", F.col("n").alias("c"))
+        keys, n, q = columns(own.where(inside), "key", "n", "q")
+        heads[name] = Head(keys, np.log10(n + {WORD: 1.0, PHRASE: -1.0}.get(name, 0.0)), np.log10(np.maximum(q, 1)))
+        tails[name] = own.where(~inside).select(F.lit(name).alias("kind"), "key", F.col("n").alias("c"), "q")
     return heads, tails
 
 
@@ -428,9 +432,14 @@ def score_documents(docs: DataFrame, *, folds: int = 7, fold: int = 2, order: in
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row of docs(doc_id, text)."""
     ws = Workspace(docs.sparkSession, "ppm")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    counts = ws.keep(rows.mapInArrow(lambda it: gather(it, folds, fold, order), "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    gathered = rows.mapInArrow(lambda it: gather(it, folds, fold, order), "kind int, key long, n long, context long")
+    counts = ws.keep(gathered.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("context").alias("context")), "counts")
+    # of contexts, only those that give a phrase anything: for the others, the escape is sure
+    contexts = counts.where(F.col("kind") == PHRASE).groupBy("context").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("q")).where("n > q")
+    contexts = ws.keep(contexts.select(F.lit(CONTEXT).alias("kind"), F.col("context").alias("key"), "n", "q"), "contexts")
+    counts = counts.where((F.col("kind") != PHRASE) | (F.col("n") > 1)).select("kind", "key", "n", F.lit(0).cast("long").alias("q"))
     v, n = counts.where(F.col("kind") == WORD).agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    heads, tails = heads_of(counts, {WORD: WORD, PHRASE: PHRASE, CONTEXT: CONTEXT, GRAM: order}, head)
+    heads, tails = heads_of(counts.unionByName(contexts), {WORD: WORD, PHRASE: PHRASE, CONTEXT: CONTEXT, GRAM: order}, head)
     sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((trie_of(ws, counts, order), heads)))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"_row long, doc_id {kind}, held_out boolean, n_tokens long, known long, logs double, score double, asked array<struct<kind:int,key:long,times:long,at:int,alt:double,less:double>>"
@@ -439,12 +448,12 @@ def score_documents(docs: DataFrame, *, folds: int = 7, fold: int = 2, order: in
     # what isn't in a head, by a join on kind and key; first a sum for each phrase that has sequences outside the head, then for each row
     tail = tails[WORD].unionByName(tails[PHRASE]).unionByName(tails[CONTEXT]).unionByName(tails[GRAM])
     asked = scored.select("_row", F.inline("asked")).join(tail, ["kind", "key"], "left")
-    is_, others = lambda k: F.col("kind") == k, F.col("c") - F.col("times")
-    hit = F.when(is_(PHRASE), F.coalesce(others > 0, F.lit(False))).otherwise(F.col("c").isNotNull())
+    is_, hit = lambda k: F.col("kind") == k, F.col("c").isNotNull()
     word = F.when(is_(WORD) & hit, F.col("times"))
-    term = F.when(is_(CONTEXT), F.when(hit, -F.log10(others + 1.0)).otherwise(0.0)).when(is_(PHRASE), F.when(hit, F.log10(others)).otherwise(F.col("alt"))).when(is_(GRAM), F.when(hit, F.log10("c") - F.col("less")).otherwise(F.col("alt")))
+    term = F.when(is_(CONTEXT), F.when(hit, -F.log10("c"))).when(is_(PHRASE), F.when(hit, F.log10(F.col("c") - 1.0)).otherwise(F.col("alt")))
+    spelt_out = F.when(is_(GRAM), F.when(hit, F.log10("c") - F.col("less")).otherwise(F.col("alt"))).when(is_(CONTEXT) & (F.col("at") >= 0) & hit, F.log10("q"))
     by_phrase = asked.groupBy("_row", "at").agg(
-        F.sum(word).alias("m"), F.sum(word * F.log10(F.col("c") + 1.0)).alias("l"), F.sum(F.when(~is_(GRAM), term)).alias("s"), F.sum(F.when(is_(GRAM), term)).alias("g"),
+        F.sum(word).alias("m"), F.sum(word * F.log10(F.col("c") + 1.0)).alias("l"), F.sum(term).alias("s"), F.sum(spelt_out).alias("g"),
         F.bool_or((F.col("at") >= 0) & is_(PHRASE) & hit).alias("whole"),
     )
     more = by_phrase.groupBy("_row").agg(F.sum("m").alias("m"), F.sum("l").alias("l"), F.sum(F.coalesce("s", F.lit(0.0)) + F.when(F.col("whole"), 0.0).otherwise(F.coalesce("g", F.lit(0.0)))).alias("s"))
