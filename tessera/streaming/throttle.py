@@ -1,14 +1,15 @@
 """Per-user throttling: an event passes if the user's last passed one is at least limit seconds ago.
 
 What was refused doesn't move the limit, so this is a fold over each user's events and not a comparison of neighbours.
-In a stream the state is one time a user; in a batch, each task folds sorted
-events with one time as its state, too.
+In a stream the state is one time a user; in a batch, cells of a user's time are folded side by side.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,30 +18,113 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SECONDS_KEPT = 3600
+#: Limits in a cell of a user's time.
+CELL = 16
 
 
 def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
-    """events with allowed, in a batch. Ties in time go by key.
+    """events with allowed, in a batch. Ties in time go by key; an event without a time passes and is no user's last one.
 
-    A task reads its users one after the other, each sorted by time, and carries one time: no history is gathered in an array.
+    A user's time is cut into cells of CELL limits, which are dealt over all tasks, so a user with most of the events is many groups.
+    Each cell tells, for every time from which events pass again, the last event that it then lets pass (steps); a fold over
+    a user's cells, which time bounds and not events, gives each the last passed one before it; then each cell is folded from there.
     """
     us, t = int(limit * 1_000_000), F.unix_micros(F.col(ts).cast("timestamp"))
-    schema = T.StructType([*events.schema.fields, T.StructField("_t", T.LongType()), T.StructField("_new", T.BooleanType()), T.StructField("allowed", T.BooleanType())])
-    w = Window.partitionBy(user).orderBy(ts, key)
-    dealt = events.withColumn("_t", t).withColumn("_new", F.row_number().over(w) == 1)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for b in batches:
-            allowed = []
-            for at, new in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                last = None if new else last
-                ok = last is None or at - last >= us
-                last = at if ok else last
-                allowed.append(ok)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(allowed, pa.bool_())], names=schema.names)
-
-    return dealt.mapInArrow(fold, schema).select(key, *(c for c in events.columns if c != key), "allowed")
+    columns = [key, *(c for c in events.columns if c != key)]
+    if us <= 0:
+        return events.select(*columns, F.lit(True).alias("allowed"))
+    timed = events.withColumn("_t", t).withColumn("_cell", F.floor(F.col("_t") / F.lit(us * CELL)).cast("long"))
+    based = timed.where(F.col("_t").isNotNull())
+    cell, kind = Window.partitionBy(user, "_cell"), events.schema[user].dataType.simpleString()
+    first = lambda w: (F.row_number().over(w) == 1).alias("_new")
+    steps_of = f"`{user}` {kind}, _cell long, upto array<long>, leaves array<long>"
+    steps = based.select(user, "_cell", "_t", first(cell.orderBy("_t"))).mapInArrow(lambda it: all_steps(it, us), steps_of)
+    before = steps.select("*", first(Window.partitionBy(user).orderBy("_cell"))).mapInArrow(lambda it: cells_before(it, us), f"`{user}` {kind}, _cell long, _last long")
+    # a cell's state is its first row, as it has no time
+    mixed = based.withColumn("_last", F.lit(None).cast("long")).unionByName(before, allowMissingColumns=True)
+    schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
+    ordered = mixed.select(*events.columns, "_last", "_t", first(cell.orderBy(F.asc_nulls_first("_t"), ts, key)))
+    out = ordered.mapInArrow(lambda it: passed(it, us, schema.names), schema)
+    return out.unionByName(timed.where(F.col("_t").isNull()).select(*events.columns, F.lit(True).alias("allowed"))).select(*columns, "allowed")
+
+
+def steps_in(times: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a cell's sorted times: up to which time events may pass again for the last passed one to be the same, and that one.
+
+    The last one before the cell is older than the cell, so only what comes in its first limit, and the event after, can pass first.
+    """
+    if len(times) == 1:
+        return times, times
+    times = np.unique(times)
+    start = times[0] // (limit * CELL) * (limit * CELL)
+    at = np.arange(min(int(np.searchsorted(times, start + limit)) + 1, len(times)))
+    upto = times[at]
+    while True:
+        then = np.searchsorted(times, times[at] + limit)
+        if (then == len(times)).all():
+            break
+        at = np.where(then < len(times), then, at)
+    leaves = times[at]
+    last = np.append(leaves[1:] != leaves[:-1], True)
+    return upto[last], leaves[last]
+
+
+def all_steps(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """user, cell, upto and leaves of each cell from sorted rows of user, cell, time and whether a cell begins."""
+    names, held, whose = ["user", "_cell", "upto", "leaves"], [], None
+
+    def made(owners: list[pa.RecordBatch], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        own = pa.Table.from_batches(owners).combine_chunks()
+        ends = pa.array(np.cumsum([0, *(len(u) for u, _ in found)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]), pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), own.column(1).combine_chunks(), *lists], names=[own.column_names[0], *names[1:]])
+
+    for b in batches:
+        times, starts = b.column(2).to_numpy(), np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
+        pieces = np.split(times, starts)
+        held.append(pieces[0])
+        owners, found = [], []
+        if len(starts):
+            if whose is not None:
+                owners, found = [whose], [steps_in(np.concatenate(held), limit)]
+            if len(starts) > 1:
+                owners.append(b.select([0, 1]).take(pa.array(starts[:-1])))
+                found += [steps_in(x, limit) for x in pieces[1:-1]]
+            whose, held = b.select([0, 1]).slice(starts[-1], 1), [pieces[-1]]
+        if found:
+            yield made(owners, found)
+    if whose is not None:
+        yield made([whose], [steps_in(np.concatenate(held), limit)])
+
+
+def cells_before(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """user, cell and the last passed event before it, from each user's cells in order."""
+    last = None
+    for b in batches:
+        out = []
+        for upto, leaves, new in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            last = None if new else last
+            out.append(last)
+            at = 0 if last is None else bisect_left(upto, last + limit)
+            last = leaves[at] if at < len(leaves) else last
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int64())], names=[b.schema.names[0], "_cell", "_last"])
+
+
+def passed(batches: Iterator[pa.RecordBatch], limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Events with allowed, from each cell's rows in order, of which the first, without a time, has the last passed event before."""
+    last = None
+    for b in batches:
+        allowed, n = [], b.num_columns
+        for before, at in zip(b.column(n - 3).to_pylist(), b.column(n - 2).to_pylist(), strict=True):
+            if at is None:
+                last = before
+                allowed.append(None)
+                continue
+            ok = last is None or at - last >= limit
+            last = at if ok else last
+            allowed.append(ok)
+        made = pa.RecordBatch.from_arrays([*b.columns[: n - 3], pa.array(allowed, pa.bool_())], names=names)
+        yield made.filter(b.column(n - 2).is_valid())
 
 
 class Throttle(StatefulProcessor):

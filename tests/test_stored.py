@@ -7,12 +7,13 @@ import threading
 import time
 from datetime import datetime
 
+import numpy as np
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import functions as F
 
 from tessera.functions import geo
-from tessera.operators import commits, ordered
+from tessera.operators import commits, conversation, ordered
 from tessera.sources import landed, scan
 from tessera.streaming import throttle
 
@@ -313,3 +314,42 @@ def test_throttle_forgets(spark, tmp_path):
             assert got == want + [False] * (8 - len(want))
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+
+
+@pytest.mark.parametrize("limit", [0.0, 0.003, 1.0, 7.5])
+def test_throttle_of_one_busy_user(spark, limit):
+    """One user with most events, no user, no time, ties: the same as a plain fold; and the user's events are many groups."""
+    rng = np.random.RandomState(3)
+    rows = [(i, 1 if i % 3 else None if i % 9 == 0 else int(rng.randint(2, 40)), None if i % 50 == 7 else int(rng.randint(0, 60_000)) * 1000) for i in range(4000)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, us long").select("event_id", "user_id", F.timestamp_micros("us").alias("ts"))
+    last, want = {}, {}
+    for i, u, t in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[0])):
+        want[i] = t is None or u not in last or t - last[u] >= int(limit * 1_000_000)
+        if want[i] and t is not None:
+            last[u] = t
+    got = throttle.throttled(df, limit).collect()
+    assert len(got) == len(rows)
+    assert {r.event_id: r.allowed for r in got} == want
+
+
+def test_throttle_of_nothing(spark):
+    df = spark.createDataFrame([], "event_id long, user_id long, ts timestamp")
+    assert throttle.throttled(df).count() == 0
+
+
+def test_budget_of_one_busy_user(spark, monkeypatch):
+    """Many more messages than the budget has room for, empty and null ones among them: the same as a plain fold."""
+    rng = np.random.RandomState(4)
+    monkeypatch.setattr(conversation, "SALTS", 3)
+    rows = [(1 if i % 3 else i % 4, i, None if i % 7 == 0 else "x" * int(rng.choice([0, 0, 0, 1, 9]))) for i in range(900)] + [(9, i, "") for i in range(300)] + [(8, 1, "y" * 99), (8, 2, "z" * 99), (8, 3, "y" * 99)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    want = set()
+    for user in {r[0] for r in rows}:
+        total = 0
+        for n, (_, turn, text) in enumerate(sorted((r for r in rows if r[0] == user), key=lambda r: -r[1]), 1):
+            total += len(text or "")
+            if total <= 40 or n <= 2:
+                want.add((user, turn))
+    got = conversation.within_budget(df, 40).collect()
+    assert len(got) == len(want)
+    assert {(r.conv_id, r.turn) for r in got} == want
