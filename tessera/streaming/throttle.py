@@ -19,7 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 SECONDS_KEPT = 3600
 #: Limits in a cell of a user's time.
-CELL = 16
+CELL = 64
 
 
 def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts: str = "ts", key: str = "event_id") -> DataFrame:
@@ -33,68 +33,68 @@ def throttled(events: DataFrame, limit: float = 1.0, user: str = "user_id", ts:
     columns = [key, *(c for c in events.columns if c != key)]
     if us <= 0:
         return events.select(*columns, F.lit(True).alias("allowed"))
-    timed = events.withColumn("_t", t).withColumn("_cell", F.floor(F.col("_t") / F.lit(us * CELL)).cast("long"))
-    based = timed.where(F.col("_t").isNotNull())
+    # what has no time is dealt over cells by its key
+    timed = events.withColumn("_t", t).withColumn("_cell", F.coalesce(F.floor(F.col("_t") / F.lit(us * CELL)).cast("long"), F.xxhash64(key)))
     cell, kind = Window.partitionBy(user, "_cell"), events.schema[user].dataType.simpleString()
     first = lambda w: (F.row_number().over(w) == 1).alias("_new")
     steps_of = f"`{user}` {kind}, _cell long, upto array<long>, leaves array<long>"
-    steps = based.select(user, "_cell", "_t", first(cell.orderBy("_t"))).mapInArrow(lambda it: all_steps(it, us), steps_of)
+    steps = timed.where(F.col("_t").isNotNull()).select(user, "_cell", "_t", first(cell.orderBy("_t"))).mapInArrow(lambda it: all_steps(it, us), steps_of)
     before = steps.select("*", first(Window.partitionBy(user).orderBy("_cell"))).mapInArrow(lambda it: cells_before(it, us), f"`{user}` {kind}, _cell long, _last long")
-    # a cell's state is its first row, as it has no time
-    mixed = based.withColumn("_last", F.lit(None).cast("long")).unionByName(before, allowMissingColumns=True)
+    # a cell's state is a row of its own, before those with a time
+    mixed = timed.withColumns({"_last": F.lit(None).cast("long"), "_event": F.lit(True)}).unionByName(before.withColumn("_event", F.lit(False)), allowMissingColumns=True)
     schema = T.StructType([*events.schema.fields, T.StructField("allowed", T.BooleanType())])
-    ordered = mixed.select(*events.columns, "_last", "_t", first(cell.orderBy(F.asc_nulls_first("_t"), ts, key)))
-    out = ordered.mapInArrow(lambda it: passed(it, us, schema.names), schema)
-    return out.unionByName(timed.where(F.col("_t").isNull()).select(*events.columns, F.lit(True).alias("allowed"))).select(*columns, "allowed")
+    ordered = mixed.select(*events.columns, "_last", "_t", "_event", F.row_number().over(cell.orderBy(F.asc_nulls_first("_t"), ts, key)).alias("_place"))
+    return ordered.mapInArrow(lambda it: passed(it, us, schema.names), schema).select(*columns, "allowed")
 
 
-def steps_in(times: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of a cell's sorted times: up to which time events may pass again for the last passed one to be the same, and that one.
+def steps_in(times: np.ndarray, begins: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted times of cells, which begin at these places: how many steps each has; for each step, up to which time events may pass again for the last passed one to be the same, and that one.
 
-    The last one before the cell is older than the cell, so only what comes in its first limit, and the event after, can pass first.
+    The last one before a cell is older than the cell, so only what comes in its first limit, and the event after, can pass first.
+    All cells are followed at once: on one line, each at a distance that a limit doesn't bridge.
     """
-    if len(times) == 1:
-        return times, times
-    times = np.unique(times)
-    start = times[0] // (limit * CELL) * (limit * CELL)
-    at = np.arange(min(int(np.searchsorted(times, start + limit)) + 1, len(times)))
-    upto = times[at]
-    while True:
-        then = np.searchsorted(times, times[at] + limit)
-        if (then == len(times)).all():
-            break
-        at = np.where(then < len(times), then, at)
-    leaves = times[at]
-    last = np.append(leaves[1:] != leaves[:-1], True)
-    return upto[last], leaves[last]
+    span, sizes = limit * CELL, np.diff(np.append(begins, len(times)))
+    cell, off = np.repeat(np.arange(len(begins)), sizes), times % span
+    line, end = off + cell * (2 * span), np.repeat(begins + sizes, sizes)
+    early = off < limit
+    after = ~early
+    after[1:] &= early[:-1] | (cell[1:] != cell[:-1])
+    first = np.flatnonzero(early | after)
+    at, alive = first.copy(), np.arange(len(first))
+    while len(alive):
+        then = np.searchsorted(line, line[at[alive]] + limit)
+        on = then < end[at[alive]]
+        alive = alive[on]
+        at[alive] = then[on]
+    leaves, own = times[at], cell[first]
+    last = np.append((leaves[1:] != leaves[:-1]) | (own[1:] != own[:-1]), True)
+    return np.bincount(own[last], minlength=len(begins)), times[first][last], leaves[last]
 
 
 def all_steps(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """user, cell, upto and leaves of each cell from sorted rows of user, cell, time and whether a cell begins."""
-    names, held, whose = ["user", "_cell", "upto", "leaves"], [], None
+    """user, cell, upto and leaves of each cell from sorted rows of user, cell, time and whether a cell begins. A cell's times are held together."""
+    whose, held = [], [np.zeros(0, np.int64)]
 
-    def made(owners: list[pa.RecordBatch], found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        own = pa.Table.from_batches(owners).combine_chunks()
-        ends = pa.array(np.cumsum([0, *(len(u) for u, _ in found)]), pa.int32())
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in found]), pa.int64())) for k in (0, 1)]
-        return pa.RecordBatch.from_arrays([own.column(0).combine_chunks(), own.column(1).combine_chunks(), *lists], names=[own.column_names[0], *names[1:]])
+    def made(begins: np.ndarray) -> pa.RecordBatch:
+        own = pa.Table.from_batches(whose).combine_chunks().to_batches()[0]
+        counts, upto, leaves = steps_in(np.concatenate(held), begins, limit)
+        ends = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
+        return pa.RecordBatch.from_arrays([*own.columns, *(pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (upto, leaves))], names=[*own.schema.names, "upto", "leaves"])
 
     for b in batches:
         times, starts = b.column(2).to_numpy(), np.flatnonzero(b.column(3).to_numpy(zero_copy_only=False))
-        pieces = np.split(times, starts)
-        held.append(pieces[0])
-        owners, found = [], []
-        if len(starts):
-            if whose is not None:
-                owners, found = [whose], [steps_in(np.concatenate(held), limit)]
-            if len(starts) > 1:
-                owners.append(b.select([0, 1]).take(pa.array(starts[:-1])))
-                found += [steps_in(x, limit) for x in pieces[1:-1]]
-            whose, held = b.select([0, 1]).slice(starts[-1], 1), [pieces[-1]]
-        if found:
-            yield made(owners, found)
-    if whose is not None:
-        yield made([whose], [steps_in(np.concatenate(held), limit)])
+        if not len(starts):
+            held.append(times)
+            continue
+        before, owners = sum(map(len, held)), b.select([0, 1])
+        begins = np.append(np.zeros(len(whose), np.int64), before + starts[:-1])
+        held.append(times[: starts[-1]])
+        whose.append(owners.take(pa.array(starts[:-1])))
+        if len(begins):
+            yield made(begins)
+        whose, held = [owners.slice(starts[-1], 1)], [times[starts[-1] :]]
+    if whose:
+        yield made(np.zeros(1, np.int64))
 
 
 def cells_before(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
@@ -111,20 +111,19 @@ def cells_before(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.R
 
 
 def passed(batches: Iterator[pa.RecordBatch], limit: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Events with allowed, from each cell's rows in order, of which the first, without a time, has the last passed event before."""
+    """Events with allowed, from each cell's rows in order: first those without a time, of which the one that is no event has the last passed event before."""
     last = None
     for b in batches:
-        allowed, n = [], b.num_columns
-        for before, at in zip(b.column(n - 3).to_pylist(), b.column(n - 2).to_pylist(), strict=True):
+        allowed, n = [], b.num_columns - 4
+        for before, at, event in zip(*(b.column(n + k).to_pylist() for k in range(3)), strict=True):
             if at is None:
-                last = before
-                allowed.append(None)
+                last = last if event else before
+                allowed.append(True)
                 continue
             ok = last is None or at - last >= limit
             last = at if ok else last
             allowed.append(ok)
-        made = pa.RecordBatch.from_arrays([*b.columns[: n - 3], pa.array(allowed, pa.bool_())], names=names)
-        yield made.filter(b.column(n - 2).is_valid())
+        yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(allowed, pa.bool_())], names=names).filter(b.column(n + 2))
 
 
 class Throttle(StatefulProcessor):
