@@ -10,7 +10,7 @@ from tessera.operators import analysis, conversation, tables
 from tessera.plans import views
 from tessera.registry import sqltext as q
 from tessera.registry.base import query
-from tessera.sources import html, json
+from tessera.sources import deep, html, json
 from tessera.streaming import throttle
 
 # --- search pages: the listings view written out in each portal's markup, then read again ---
@@ -93,6 +93,50 @@ def s14_otodom(spark, d):
     return json.embedded_detail(views.listings(spark, d).select(k.alias("page_id"), page.alias("html"))).select("page_id", "full_description", "area", "city", "street", "photos")
 
 
+#: A page lies there for most listings with a url: some were refused, some are empty, some were read twice, and the later one counts.
+def landed_details(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("seq")
+    rows = views.listings(spark, d).where("url <> '' AND seq % 10 <> 9 AND seq % 6 <> 0")
+    full = F.concat_ws(", ", *[text.escaped(F.col("title"))] * 12)
+    lines = F.concat(F.lit('<table class="property-params"><tr><td>Powierzchnia</td><td>'), (k % 90).cast("string"), F.lit(" m²</td></tr><tr><td>Piętro</td><td>"), (k % 4).cast("string"), F.lit("</td></tr></table>"))
+    address = F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.concat(F.lit("d"), (k % 9).cast("string")).alias("name")).alias("district"))
+    ad = F.struct(F.col("raw_description").alias("description"), (k % 80).alias("areaInSquareMeters"), F.lit("THREE").alias("roomsNumber"), (k % 5).cast("string").alias("floor"), F.lit("7").alias("buildingFloorsNum"), F.lit("private").alias("advertiserType"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 3).cast("int")).alias("images"), F.struct(address.alias("address")).alias("location"))
+    inside = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">'), F.to_json(F.struct(F.struct(F.struct(ad.alias("ad")).alias("pageProps")).alias("props"))), F.lit("</script>"))
+    body = F.when(F.col("source") == "otodom", inside).when(F.col("source") == "olx", F.concat(F.lit('<div data-cy="ad_description"><div>'), full, F.lit("</div></div>"))).when(F.col("source") == "morizon", F.concat(F.lit('<div class="property-description">'), full, F.lit("</div>"), lines)).otherwise(F.concat(F.lit('<div class="offer-description">'), full, F.lit("</div>")))
+    page = rows.select("url", F.upper("source").alias("portal"), F.when(k % 11 == 0, "").otherwise(body).alias("html"), F.when(k % 7 == 0, 403).otherwise(200).alias("status"), F.col("first_seen_at").cast("timestamp").alias("fetched_at"))
+    older = rows.where("seq % 13 = 0").select("url", F.lit("gratka").alias("portal"), F.concat(F.lit("<p>dawniej: "), full, F.lit("</p>")).alias("html"), F.lit(200).alias("status"), F.timestamp_add("DAY", F.lit(-1), F.col("first_seen_at")).cast("timestamp").alias("fetched_at"))
+    return page.unionByName(older)
+
+
+_words = "rtrim(repeat(title || ', ', 12), ', ')"
+_landed = f"""src AS (SELECT * FROM listings WHERE url <> '' AND seq % 10 <> 9 AND seq % 6 <> 0),
+pages_ AS (
+  SELECT url, 2 AS fetched, CASE WHEN source = 'otodom' THEN nullif(raw_description, '') ELSE {_words} END AS full_description,
+    CASE WHEN source = 'otodom' AND contains(raw_description, 'WA1M/12345678/9') THEN 'WA1M/********/*' END AS kw_number,
+    CASE source WHEN 'otodom' THEN nullif(seq % 80, 0) WHEN 'morizon' THEN nullif(seq % 90, 0) END::DOUBLE AS area_,
+    CASE source WHEN 'otodom' THEN (seq % 5)::VARCHAR WHEN 'morizon' THEN (seq % 4)::VARCHAR END AS floor,
+    CASE WHEN source = 'otodom' THEN '7' END AS building_floors, CASE WHEN source = 'otodom' THEN 'THREE' END AS rooms, CASE WHEN source = 'otodom' THEN 'd' || seq % 9 END AS district,
+    CASE WHEN source = 'otodom' THEN 'private' END AS seller_type, CASE WHEN source = 'otodom' THEN nullif(seq % 3, 0) END::INT AS photos_count
+  FROM src WHERE seq % 7 <> 0 AND seq % 11 <> 0
+  UNION ALL SELECT url, 1, 'dawniej: ' || {_words}, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM src WHERE seq % 13 = 0),
+latest AS (SELECT * FROM pages_ QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched DESC) = 1)"""
+_enriched = "SELECT seq, l.url, coalesce(area, area_) AS area, full_description, kw_number, floor, building_floors, rooms, district, NULL::VARCHAR AS street, seller_type, photos_count, p.url IS NOT NULL AS deep_fetched FROM listings l LEFT JOIN latest p ON l.url = p.url"
+
+
+def enriched(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return deep.enrich(views.listings(spark, d).select("seq", "url", "area", *more), deep.read_details(landed_details(spark, d)))
+
+
+@query("s14_deep_batch", q.with_(q.LISTINGS_SQL, _landed, select=_enriched))
+def s14_deep_batch(spark, d):
+    return enriched(spark, d)
+
+
+@query("s14_deep_coverage", q.with_(q.LISTINGS_SQL, _landed, select=f"SELECT source AS portal, count(*) AS n, count(*) FILTER (deep_fetched) AS n_fetched, count(full_description) AS n_described, count(kw_number) AS n_registered FROM ({_enriched}) JOIN (SELECT seq, source FROM listings) USING (seq) GROUP BY source"))
+def s14_deep_coverage(spark, d):
+    return deep.coverage(enriched(spark, d, "source"), "source")
+
+
 @query("s2_embedded_json", q.listings("SELECT seq // 10 AS page_id, title, 'https://www.otodom.pl/pl/oferta/s' || seq AS url, floor(price)::DOUBLE AS price, city, voivodeship, (seq % 90)::DOUBLE AS area, 3::INT AS rooms, 7::INT AS total_pages FROM listings"))
 def s2(spark, d):
     item = F.struct("title", F.concat(F.lit("s"), F.col("seq").cast("string")).alias("slug"), F.struct(F.floor("price").alias("value")).alias("totalPrice"), F.struct(F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.col("voivodeship").alias("name")).alias("province")).alias("address")).alias("location"), (F.col("seq") % 90).alias("areaInSquareMeters"), F.lit("THREE").alias("roomsNumber"))

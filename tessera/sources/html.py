@@ -273,7 +273,7 @@ def detail(html: str, portal: str) -> tuple[str | None, str | None, list[str]]:
 
 
 def details(pages: DataFrame) -> DataFrame:
-    """One row for each of pages(page_id, portal, html): full_description (3000 characters), price, area, params, kw (masked)."""
+    """One row for each of pages(page_id, portal, html): full_description (3000 characters), price, area, floor, params, kw (masked)."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -282,8 +282,10 @@ def details(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["page_id", "full", "price_text", "lines"])
 
     raw = pages.select("page_id", "portal", "html").mapInPandas(run, f"page_id {kind}, full string, price_text string, lines array<string>")
-    size = F.get(F.filter("lines", lambda s: s.contains("Powierzchnia")), F.lit(0))
-    return raw.select("page_id", F.substring("full", 1, 3000).alias("full_description"), parse.olx_price(F.col("price_text")).alias("price"), parse.area(size).alias("area"), parse.parameters(F.col("lines")).alias("params"), parse.land_register(F.coalesce("full", F.lit(""))).alias("kw"))
+    sized = F.transform(F.filter("lines", lambda s: s.contains("Powierzchnia")), parse.area)
+    storey = F.transform(F.filter("lines", lambda s: s.contains("Piętro") & ~s.contains("Powierzchnia")), parse.first_int)
+    last = lambda x: F.try_element_at(F.filter(x, lambda v: v.isNotNull()), F.lit(-1))
+    return raw.select("page_id", F.substring("full", 1, 3000).alias("full_description"), parse.olx_price(F.col("price_text")).alias("price"), last(sized).alias("area"), last(storey).alias("floor"), parse.parameters(F.col("lines")).alias("params"), parse.land_register(F.coalesce("full", F.lit(""))).alias("kw"))
 
 
 def longest_paragraph(html: Column, least: int = 100) -> Column:

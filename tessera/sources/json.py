@@ -78,7 +78,7 @@ def city_index(cities: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.max_by(F.struct("name", "lat", "lon"), "_n").alias("x")).select("key", "x.*")
 
 
-AD = "description string, areaInSquareMeters string, areaInM2 string, roomsNumber string, floor string, advertiserType string, images array<string>, location struct<address struct<city struct<name string>, district struct<name string>, street struct<name string>>>"
+AD = "description string, areaInSquareMeters string, areaInM2 string, roomsNumber string, floor string, buildingFloorsNum string, advertiserType string, images array<string>, location struct<address struct<city struct<name string>, district struct<name string>, street struct<name string>>>"
 
 
 def embedded_detail(pages: DataFrame) -> DataFrame:
@@ -87,6 +87,6 @@ def embedded_detail(pages: DataFrame) -> DataFrame:
     ad = F.from_json(F.get_json_object(body, "$.props.pageProps.ad"), AD)
     at, area = ad["location"]["address"], lambda x: F.when(x.try_cast("double") != 0, x.try_cast("double"))
     return pages.select(
-        "page_id", ad["description"].alias("full_description"), F.coalesce(area(ad["areaInSquareMeters"]), ad["areaInM2"].try_cast("double")).alias("area"), ad["roomsNumber"].alias("rooms"), ad["floor"].alias("floor"),
+        "page_id", ad["description"].alias("full_description"), F.coalesce(area(ad["areaInSquareMeters"]), ad["areaInM2"].try_cast("double")).alias("area"), ad["roomsNumber"].alias("rooms"), ad["floor"].alias("floor"), ad["buildingFloorsNum"].alias("building_floors"),
         at["city"]["name"].alias("city"), at["district"]["name"].alias("district"), at["street"]["name"].alias("street"), ad["advertiserType"].alias("seller_type"), F.when(ad.isNotNull(), F.greatest(F.size(ad["images"]), F.lit(0))).alias("photos"),
     )
