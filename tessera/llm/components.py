@@ -13,7 +13,7 @@ def roots(ws: Workspace, pairs: DataFrame) -> DataFrame:
 
     Every round hooks each component to its smallest neighbour, follows the hooks to their ends and
     contracts the pairs, which at least halves the components that still have any. Each table is
-    written to the shared folder and the one before is dropped.
+    written to the shared folder and the one before is dropped. A pair with a null node connects nothing and is left out.
     """
     edges = ws.keep(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     comp = None

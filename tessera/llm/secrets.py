@@ -6,6 +6,9 @@ ledger, takes the distinct blobs whose pair is missing, runs the rules on one te
 rows, and joins the findings back to all paths whose text is that blob. A second scan over unchanged
 documents scans nothing; new rules get a new version and scan everything once.
 
+Texts hardly move: which blobs are unseen is found on addresses alone, and a text of an unseen blob is first asked, where it
+lies, whether any rule matches at all. Copies of it within one delivery are each asked that; only texts with a match are shuffled, to be scanned once.
+
 Spans are in code points, end exclusive. Where a rule's expression matches, the text between matches
 comes from a split by the same expression, so positions are running sums of lengths, over rows and not inside one.
 
@@ -54,6 +57,13 @@ def lengths(text: Column, k: int, rule: tuple[str, str, int, int]) -> Column:
     return F.when(text.rlike(pattern), zipped)
 
 
+def matched(text: Column, rules: list[tuple[str, str, int, int]]) -> Column:
+    some = F.lit(False)
+    for r in rules:
+        some = some | text.rlike(r[1])
+    return some
+
+
 def findings(blobs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
     """blob, spans: of every rule, by start and then rule.
 
@@ -89,11 +99,13 @@ def scan_versions(versions: DataFrame, *, path: str = "doc_id", ledger: str | No
     schema = f"blob string, rules string, spans {SPAN}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    # one text of each blob: copies meet on the map side first, so a blob with many copies sends one row a task
-    one = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    if there:
+    fresh = rows
+    if there:  # on addresses alone; written, so that Spark knows the size when it joins the texts
         known = spark.read.schema(schema).parquet(ledger).where(F.col("rules") == this).select("blob")
-        one = one.join(known, "blob", "left_anti")
+        unseen = ws.keep(rows.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        fresh = rows.join(unseen, "blob", "left_semi")
+    # one text of each blob that has any match: copies meet on the map side first, so a blob with many copies sends one row a task
+    one = fresh.select("blob", F.when(matched(F.col("text"), rules), F.col("text")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
     findings(one, rules).select("blob", F.lit(this).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans")) if there else spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).select("blob", "spans")
     return rows.select(path, "blob").join(known, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))

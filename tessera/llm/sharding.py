@@ -7,8 +7,9 @@ or joins, few slots change hands. A document's key hashes to a slot; the table,
 parameter and not a property of the data, is broadcast and gives the shard in constant time.
 
 Defined results: a row whose key is null is placed by the columns in otherwise (or as the text 'null'
-without them), so that many such rows don't share one shard; equal keys share a shard; an empty table
-gives none; existing columns named slot or shard are replaced.
+without them), so that many such rows don't share one shard; equal keys, and so repeated rows, share a shard; keys that
+hash to one slot do, too, as a tie has no order; texts play no part, empty or of any length; an empty table
+gives none; existing columns named slot or shard are replaced, other columns stay.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, discriminant, licenses, mixing, neardup, ppm, queries, repetition, secrets, sharding, urls
+from tessera.llm import components, decontaminate, discriminant, licenses, mixing, neardup, ppm, queries, repetition, secrets, sharding, urls
+from tessera.llm.common import Workspace
 from tests.oracle import same_rows
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -220,6 +221,48 @@ def test_secret_ledger_scans_only_what_is_new(odd, tmp_path):
     assert read().select("rules").distinct().count() == 2
 
 
+def test_secret_scan_of_a_long_text_with_very_many_matches(spark):
+    text = "".join(f"😀 token='{k:06d}a' api_key: b{k} AKIA{'Z' * 16} {'0f' * 12}\n" for k in range(10_000))
+    docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, text), (4, text + "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan_versions(docs)).collect()}
+    for k, t in ((1, text), (2, "nothing"), (3, text), (4, text + "x")):
+        assert got[k].base_sha256 == hashlib.sha256(base_spans(t).encode()).hexdigest()
+    assert got[1].n_assign == base_spans(text).count("assign") == 10_000 and got[2].spans == ""
+
+
+def moved(df):
+    """Bytes that the query's shuffles wrote, by their metrics."""
+    df.collect()
+    nodes, total = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        n = nodes.pop()
+        if n.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(n.executedPlan())
+            continue
+        if n.nodeName().endswith("QueryStage"):
+            nodes.append(n.plan())
+            continue
+        if n.nodeName() == "Exchange":
+            total += n.longMetric("dataSize").value()
+        nodes += [n.children().apply(k) for k in range(n.children().size())]
+    return total
+
+
+def test_secret_scan_moves_no_text_without_a_match(spark):
+    long = "plain words only " * 2000
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.lit(long)).alias("text"))
+    blob = F.sha2(F.col("text").cast("binary"), 256).alias("blob")
+    grouped = lambda text: docs.select(blob, text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    assert 0 < moved(grouped(F.when(secrets.matched(F.col("text"), secrets.RULES), F.col("text")))) < 400 * 400
+    assert moved(grouped(F.col("text"))) > 400 * len(long)
+    assert secrets.scan_versions(docs).where("size(spans) > 0").count() == 0
+
+
+def test_components_of_pairs_with_null_nodes(spark):
+    pairs = spark.createDataFrame([(1, 2), (None, 2), (3, None), (None, None), (4, 4), (2, 5)], "a long, b long")
+    assert sorted(map(tuple, components.roots(Workspace(spark, "nulls"), pairs).collect())) == [(1, 1), (2, 1), (5, 1)]
+
+
 def words_of(t):
     return SPACED.findall((t or "").translate(LOW))
 
