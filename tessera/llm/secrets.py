@@ -6,8 +6,10 @@ ledger, takes the distinct blobs whose pair is missing, runs the rules on one te
 rows, and joins the findings back to all paths whose text is that blob. A second scan over unchanged
 documents scans nothing; new rules get a new version and scan everything once.
 
-Texts hardly move: which blobs are unseen is found on addresses alone, and a text of an unseen blob is first asked, where it
-lies, whether any rule matches at all. Copies of it within one delivery are each asked that; only texts with a match are shuffled, to be scanned once.
+Texts hardly move. Which blobs are unseen is found on addresses alone; a bitmap of their hashes, of fixed size, tells the tasks which texts may
+be unseen, and these are first asked, where they lie, whether any rule matches at all. Copies within one delivery are each asked that, and
+so are the few seen texts whose hash falls on a set bit (all, once there are many more unseen blobs than bits); only texts with
+a match are shuffled, and of those the unseen ones are scanned, once each.
 
 Spans are in code points, end exclusive. Where a rule's expression matches, the text between matches
 comes from a split by the same expression, so positions are running sums of lengths, over rows and not inside one.
@@ -41,6 +43,8 @@ RULES = [
     ("hex_upper", r"[0-9A-F]{32,}", 0, 32),
 ]
 BASE = 3
+#: Buckets of the bitmap of unseen addresses, of BITS bits each: what is sent to the tasks is 16 MB at most, whatever the ledger and the delivery hold.
+BUCKETS, BITS = 4096, 32768
 SPAN = "array<struct<at:int,k:int,end:int>>"
 
 
@@ -64,6 +68,17 @@ def matched(text: Column, rules: list[tuple[str, str, int, int]]) -> Column:
     return some
 
 
+def among(rows: DataFrame, blobs: DataFrame) -> DataFrame:
+    """The rows whose blob is one of blobs, and some others: as many as the bitmap of their hashes has bits set. No shuffle of rows."""
+    at = F.pmod(F.xxhash64("blob"), F.lit(BUCKETS * BITS)) + 1
+    place = {"_bucket": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)}
+    # hashes are dealt by bucket before they are set, so that no task makes all buckets
+    bits = blobs.select(*(c.alias(n) for n, c in place.items())).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = F.getbit(byte, (F.col("_bit") % 8).cast("int")) == 1
+    return rows.withColumns(place).join(F.broadcast(bits), "_bucket").where(is_set).select(*rows.columns)
+
+
 def findings(blobs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
     """blob, spans: of every rule, by start and then rule.
 
@@ -99,13 +114,15 @@ def scan_versions(versions: DataFrame, *, path: str = "doc_id", ledger: str | No
     schema = f"blob string, rules string, spans {SPAN}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    fresh = rows
-    if there:  # on addresses alone; written, so that Spark knows the size when it joins the texts
+    # of copies one is scanned; they meet on the map side first, so a blob with many copies sends one row a task
+    scanned = lambda df, text: df.select("blob", text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+    some = matched(F.col("text"), rules)
+    if there:
         known = spark.read.schema(schema).parquet(ledger).where(F.col("rules") == this).select("blob")
         unseen = ws.keep(rows.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
-        fresh = rows.join(unseen, "blob", "left_semi")
-    # one text of each blob that has any match: copies meet on the map side first, so a blob with many copies sends one row a task
-    one = fresh.select("blob", F.when(matched(F.col("text"), rules), F.col("text")).alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
+        one = unseen.join(scanned(among(rows, unseen).where(some), F.col("text")), "blob", "left")
+    else:
+        one = scanned(rows, F.when(some, F.col("text")))
     findings(one, rules).select("blob", F.lit(this).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans")) if there else spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).select("blob", "spans")
     return rows.select(path, "blob").join(known, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))

@@ -258,6 +258,24 @@ def test_secret_scan_moves_no_text_without_a_match(spark):
     assert secrets.scan_versions(docs).where("size(spans) > 0").count() == 0
 
 
+def test_secret_ledger_finds_unseen_texts_where_they_lie(spark, tmp_path, monkeypatch):
+    blob = F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("blob")
+    everything, some = spark.range(20_000).select("id", blob), spark.range(0, 20_000, 7).select(blob)
+    for buckets, most in ((4096, 5), (1, 3000)):  # a bitmap with room, and one that is nearly a tenth full
+        monkeypatch.setattr(secrets, "BUCKETS", buckets)
+        got = secrets.among(everything, some)
+        wanted = everything.where("id % 7 = 0")
+        assert got.columns == ["id", "blob"] and wanted.join(got, "id", "left_anti").isEmpty() and got.count() - wanted.count() <= most
+    assert secrets.among(everything, some.limit(0)).isEmpty()
+    monkeypatch.setattr(secrets, "BUCKETS", 1)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("x "), F.when(F.col("id") % 3 == 0, "token: abc").otherwise(""), F.col("id").cast("string"), F.lit("99999")).alias("text"))
+    ledger = str(tmp_path / "ledger")
+    secrets.scan_versions(docs.where("doc_id < 1000"), ledger=ledger)
+    later = docs.unionByName(docs.where("doc_id > 2000"))
+    assert rows(secrets.digest(secrets.scan_versions(later, ledger=ledger))) == rows(secrets.digest(secrets.scan_versions(later)))
+    assert spark.read.parquet(ledger).count() == spark.read.parquet(ledger).select("blob").distinct().count() == 3000
+
+
 def test_components_of_pairs_with_null_nodes(spark):
     pairs = spark.createDataFrame([(1, 2), (None, 2), (3, None), (None, None), (4, 4), (2, 5)], "a long, b long")
     assert sorted(map(tuple, components.roots(Workspace(spark, "nulls"), pairs).collect())) == [(1, 1), (2, 1), (5, 1)]
