@@ -79,6 +79,16 @@ def among(rows: DataFrame, blobs: DataFrame) -> DataFrame:
     return rows.withColumns(place).join(F.broadcast(bits), "_bucket").where(is_set).select(*rows.columns)
 
 
+def to_scan(rows: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
+    """blob, text: one row of each blob, its text null if no rule matches.
+
+    Copies meet on the map side first, so a blob with many of them sends one row a task. The match is a value and no filter, as
+    Spark would put a filter before the join that says which texts may be unseen.
+    """
+    text = F.when(matched(F.col("text"), rules), F.col("text")).alias("text")
+    return rows.select("blob", text).groupBy("blob").agg(F.first("text").alias("text"))
+
+
 def findings(blobs: DataFrame, rules: list[tuple[str, str, int, int]]) -> DataFrame:
     """blob, spans: of every rule, by start and then rule.
 
@@ -114,15 +124,12 @@ def scan_versions(versions: DataFrame, *, path: str = "doc_id", ledger: str | No
     schema = f"blob string, rules string, spans {SPAN}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(ledger)
     there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
-    # of copies one is scanned; they meet on the map side first, so a blob with many copies sends one row a task
-    scanned = lambda df, text: df.select("blob", text.alias("text")).groupBy("blob").agg(F.first("text").alias("text"))
-    some = matched(F.col("text"), rules)
     if there:
         known = spark.read.schema(schema).parquet(ledger).where(F.col("rules") == this).select("blob")
         unseen = ws.keep(rows.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
-        one = unseen.join(scanned(among(rows, unseen).where(some), F.col("text")), "blob", "left")
+        one = unseen.join(to_scan(among(rows, unseen), rules), "blob", "left")
     else:
-        one = scanned(rows, F.when(some, F.col("text")))
+        one = to_scan(rows, rules)
     findings(one, rules).select("blob", F.lit(this).alias("rules"), "spans").write.mode("append").parquet(ledger)
     known = spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans")) if there else spark.read.schema(schema).parquet(ledger).where((F.col("rules") == this) & (F.size("spans") > 0)).select("blob", "spans")
     return rows.select(path, "blob").join(known, "blob", "left").select(path, "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
