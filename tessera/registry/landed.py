@@ -96,8 +96,9 @@ def s14_otodom(spark, d):
 #: A page lies there for most listings with a url: some were refused, some are empty, some were read twice, and the later one counts.
 def landed_details(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("seq")
-    rows = views.listings(spark, d).where("url <> '' AND seq % 10 <> 9 AND seq % 6 <> 0")
-    full = F.concat_ws(", ", *[text.escaped(F.col("title"))] * 12)
+    rows = views.listings(spark, d).where("url <> '' AND seq % 10 <> 9 AND seq % 6 <> 0").withColumn("_title", text.escaped(F.col("title")))
+    title = F.col("_title")
+    full = F.concat(F.repeat(F.concat(title, F.lit(", ")), F.lit(11)), title)
     lines = F.concat(F.lit('<table class="property-params"><tr><td>Powierzchnia</td><td>'), (k % 90).cast("string"), F.lit(" m²</td></tr><tr><td>Piętro</td><td>"), (k % 4).cast("string"), F.lit("</td></tr></table>"))
     address = F.struct(F.struct(F.col("city").alias("name")).alias("city"), F.struct(F.concat(F.lit("d"), (k % 9).cast("string")).alias("name")).alias("district"))
     ad = F.struct(F.col("raw_description").alias("description"), (k % 80).alias("areaInSquareMeters"), F.lit("THREE").alias("roomsNumber"), (k % 5).cast("string").alias("floor"), F.lit("7").alias("buildingFloorsNum"), F.lit("private").alias("advertiserType"), F.slice(F.array(F.lit("a"), F.lit("b")), F.lit(1), (k % 3).cast("int")).alias("images"), F.struct(address.alias("address")).alias("location"))
@@ -105,7 +106,9 @@ def landed_details(spark: SparkSession, d: str) -> DataFrame:
     body = F.when(F.col("source") == "otodom", inside).when(F.col("source") == "olx", F.concat(F.lit('<div data-cy="ad_description"><div>'), full, F.lit("</div></div>"))).when(F.col("source") == "morizon", F.concat(F.lit('<div class="property-description">'), full, F.lit("</div>"), lines)).otherwise(F.concat(F.lit('<div class="offer-description">'), full, F.lit("</div>")))
     page = rows.select("url", F.upper("source").alias("portal"), F.when(k % 11 == 0, "").otherwise(body).alias("html"), F.when(k % 7 == 0, 403).otherwise(200).alias("status"), F.col("first_seen_at").cast("timestamp").alias("fetched_at"))
     older = rows.where("seq % 13 = 0").select("url", F.lit("gratka").alias("portal"), F.concat(F.lit("<p>dawniej: "), full, F.lit("</p>")).alias("html"), F.lit(200).alias("status"), F.timestamp_add("DAY", F.lit(-1), F.col("first_seen_at")).cast("timestamp").alias("fetched_at"))
-    return page.unionByName(older)
+    # behind a generator of one row, so that a page is made once and not in every expression over it
+    made = page.unionByName(older)
+    return made.select(F.inline(F.array(F.struct(*made.columns))))
 
 
 _words = "rtrim(repeat(title || ', ', 12), ', ')"
