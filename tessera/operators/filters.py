@@ -125,17 +125,29 @@ def by_keywords(df: DataFrame, keywords: list[str]) -> DataFrame:
     return df.where(F.coalesce("is_share", F.lit(False)) | has_keyword(F.col("title"), keywords))
 
 
+#: Letters of a keyword that it is filed under, and letters of all keywords up to which they are sent to every task.
+FILED, BROADCAST_CHARS = 8, 20_000_000
+
+
 def with_keywords(df: DataFrame, keywords: DataFrame) -> DataFrame:
     """All pairs of a row and a keyword(keyword) that its title contains, in any case.
 
-    A keyword is filed under its first three letters (or fewer, if it has no more), and a title fetches by its own runs of as
-    many, so this is an equal join, however many keywords there are. Empty and null keywords are in no title.
+    A keyword is filed under its first eight letters (or fewer, if it has no more), and a title fetches by its own runs of the
+    lengths that keywords with the run's first letter have. So this is an equal join, and what a title fetches doesn't grow with the
+    keywords that begin alike. Empty and null keywords are in no title.
     """
-    low, kw = F.lower("title"), F.lower("keyword")
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.substring(low, i, F.lit(k)))
-    filed = keywords.where("keyword <> ''").select("keyword", F.substring(kw, 1, 3).alias("_run")).distinct()
-    titles = df.where("title <> ''").withColumn("_run", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
-    return titles.join(filed, "_run").where(low.contains(kw)).drop("_run")
+    low, kw = F.col("_low"), F.lower("keyword")
+    filed = keywords.where("keyword <> ''").select("keyword", F.substring(kw, 1, FILED).alias("_run"), F.when(F.length(kw) > FILED, kw).alias("_whole")).distinct()
+    lengths = filed.groupBy(F.substring("_run", 1, 1).alias("first")).agg(F.array_sort(F.collect_set(F.length("_run"))).alias("lengths"))
+    lengths = lengths.agg(F.map_from_entries(F.collect_list(F.struct("first", "lengths"))).alias("_lengths"))  # one row; at most FILED numbers a letter
+    at = F.filter(F.sequence(F.lit(1), F.length(low)), lambda i: F.map_contains_key("_lengths", F.substring(low, i, F.lit(1))))
+    runs = F.flatten(F.transform(at, lambda i: F.transform(F.try_element_at("_lengths", F.substring(low, i, F.lit(1))), lambda n: F.substring(low, i, n))))
+    # behind a generator of one row, so that a title is lower-cased once and not at each of its letters
+    titles = df.where("title <> ''").select("*", F.inline(F.array(F.struct(F.lower("title").alias("_low")))))
+    titles = titles.crossJoin(F.broadcast(lengths)).withColumn("_run", F.explode(F.array_distinct(runs))).drop("_lengths")
+    if (filed.agg(F.sum(F.length("keyword") + F.length("_run"))).first()[0] or 0) <= BROADCAST_CHARS:
+        filed = F.broadcast(filed)
+    return titles.join(filed, "_run").where(F.col("_whole").isNull() | low.contains(F.col("_whole"))).drop("_run", "_whole", "_low")
 
 
 def candidates(df: DataFrame) -> DataFrame:

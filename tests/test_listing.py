@@ -1,5 +1,7 @@
 """Golden values and edge cases of the listing engine."""
 
+import time
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -144,6 +146,27 @@ def test_keyword_table(spark):
     assert sorted((r.seq, r.keyword) for r in filters.with_keywords(df, words).collect()) == [(1, "DOM"), (1, "o"), (1, "z ogrod"), (2, "ab")]
 
 
+def test_keywords_that_begin_alike(spark):
+    """Pairs are fetched by whole keywords, so 40,000 under one beginning cost about what 40 do; also by a join that isn't broadcast."""
+    df = spark.range(20_000).select("id", F.concat(F.lit("Dom ABC"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("title"))
+    words = lambda n: spark.range(n).select(F.concat(F.lit("abc"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("keyword"))
+    assert filters.with_keywords(df, words(40)).count() == 40
+    at = time.monotonic()
+    assert filters.with_keywords(df, words(40)).count() == 40
+    few = time.monotonic() - at
+    at = time.monotonic()
+    assert filters.with_keywords(df, words(40_000)).count() == 20_000
+    assert time.monotonic() - at < 5 * few + 3
+
+
+def test_long_keywords_and_many(spark, monkeypatch):
+    monkeypatch.setattr(filters, "BROADCAST_CHARS", 0)
+    df = spark.createDataFrame([(1, "Mieszkanie nr 11 mieszkań, İ"), (2, "nr 111"), (3, None)], "seq int, title string")
+    words = spark.createDataFrame([("mieszkanie NR 11",), ("Mieszkan",), ("mieszkaniec",), ("1",), ("11",), ("111",), ("1 m",), ("NR",), ("nr",), ("İ",)], "keyword string")
+    assert sorted((r.seq, r.keyword) for r in filters.with_keywords(df, words).collect()) == [(1, "1"), (1, "1 m"), (1, "11"), (1, "Mieszkan"), (1, "NR"), (1, "mieszkanie NR 11"), (1, "nr"), (1, "İ"), (2, "1"), (2, "11"), (2, "111"), (2, "NR"), (2, "nr")]
+    assert filters.with_keywords(df, words.where("keyword = ''")).count() == 0
+
+
 def test_long_page_is_read_whole(spark):
     page = "<p>" + "x" * 5_100_000 + '</p><a href="/d/oferta/1">Dłuższy tytuł</a>'
     df = spark.createDataFrame([(1, "olx", page)], "page_id int, portal string, html string")
