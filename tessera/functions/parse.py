@@ -10,6 +10,8 @@ from tessera.functions.text import contains_any
 
 #: What a land-register number follows and looks like, and number words in order.
 KW = r"(?iU)(?:KW|księg[aię]\s*wieczysta|ksi[eę]g[aię]\s*wiecz)\s*(?:nr|numer|:)?\s*([A-Z]{2}\d[A-Z]?/\d{8}/\d)"
+#: What every number ends in: few texts have it, so the rest is looked for in few.
+KW_END = r"(?U)/\d{8}/\d"
 NUMBER_WORDS = ["ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE"]
 
 
@@ -83,7 +85,7 @@ def first_fraction(x: Column) -> Column:
 def land_register(x: Column, *, masked: bool = True) -> Column:
     """The land-register number; masked but for the court's code unless asked otherwise, as it points to persons."""
     kw = F.regexp_extract(x, KW, 1)
-    return F.when(kw != "", F.concat(F.substring_index(kw, "/", 1), F.lit("/********/*")) if masked else kw)
+    return F.when(x.rlike(KW_END) & (kw != ""), F.concat(F.substring_index(kw, "/", 1), F.lit("/********/*")) if masked else kw)
 
 
 def parameters(lines: Column) -> Column:

@@ -4,7 +4,9 @@ import random
 import time
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from tessera.functions import parse
 from tessera.registry.landed import CARDS, DETAILS, OLX
 from tessera.sources import html
 
@@ -52,3 +54,15 @@ def test_a_card_costs_little():
     text, portal = MARKUP[4] * 200, next(p for p in html.PORTALS if p.name == "szybko")
     assert len(list(html.cards(text, portal))) == 200
     assert seconds(lambda: list(html.cards(text, portal))) < 1.5 * seconds(lambda: html.parsed(text))
+
+
+def test_a_page_is_lower_cased_once(spark):
+    df = spark.createDataFrame([(None, 200), ("", 200), ("  \n", 200), ("<p>Rate LIMIT</p>", 200), ("x", 200), ("x", 403), ("x", None), ("<title>Just a Moment</title>" + "x" * 60_000, 200)], "html string, status int")
+    out = df.select(html.blocked(df.html, df.status).alias("b"))
+    assert [r.b for r in out.collect()] == [True, True, True, True, False, True, False, True]
+    assert spark.range(9).select(html.blocked(F.concat(F.lit("A"), F.col("id")), F.lit(200)).alias("b"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+def test_land_register_numbers(spark):
+    df = spark.createDataFrame([("KW nr WA1M/12345678/9, dom",), ("/12345678/9",), ("KW WA1M/1234567/9",), (None,), ("księga wieczysta: GD1G/00000001/2 i KW",)], "x string")
+    assert [r[0] for r in df.select(parse.land_register(F.col("x"))).collect()] == ["WA1M/********/*", None, None, None, "GD1G/********/*"]
