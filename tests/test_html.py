@@ -66,3 +66,14 @@ def test_a_page_is_lower_cased_once(spark):
 def test_land_register_numbers(spark):
     df = spark.createDataFrame([("KW nr WA1M/12345678/9, dom",), ("/12345678/9",), ("KW WA1M/1234567/9",), (None,), ("księga wieczysta: GD1G/00000001/2 i KW",)], "x string")
     assert [r[0] for r in df.select(parse.land_register(F.col("x"))).collect()] == ["WA1M/********/*", None, None, None, "GD1G/********/*"]
+
+
+def test_addresses_are_not_new_kinds(monkeypatch):
+    """Marks that differ by their address alone share what is known of them, also where a selector asks for the address."""
+    asked, fits = [], html.Step.fits
+    monkeypatch.setattr(html.Step, "fits", lambda self, kind: asked.append(1) or fits(self, kind))
+    page = html.tree("".join(f'<h6><a class="b" href="/{"d/oferta" if k % 2 else "x"}/{k}">t</a></h6>' for k in range(200)))
+    assert len(list(page.select("h6 a[href*='/d/oferta/']"))) == 100 and list(page.select("a[href='/x/4']")) == [10] and len(list(page.select("a[href]"))) == 200
+    assert len(asked) < 20
+    odd = ["<a title=' href=\"/1\"' href=\"/2\">", '<a href="/1" HREF="/2">', '<a href="/1" href="">', '<a x=\' href="/1"\'>', '<A href="/href">']
+    assert all(whole(html.plain(m)) == whole(html.parsed(m)) for m in odd)
