@@ -15,6 +15,11 @@ KW_END = r"(?U)/\d{8}/\d"
 NUMBER_WORDS = ["ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE"]
 
 
+def once(x: Column, f) -> Column:
+    """f of a value that is made once, however often f asks for it: Spark makes it anew in each branch of a condition."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def number(x: Column) -> Column:
     return x.try_cast("double")
 
@@ -25,11 +30,13 @@ def _digits(x: Column) -> Column:
 
 def olx_price(x: Column) -> Column:
     """'150 000 zł', '150.000', '1.250.000,00': separators of thousands go; under 100 (but not 0) isn't a price."""
-    t = _digits(F.regexp_replace(x, "do negocjacji|PLN|zł", ""))
-    dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
-    thousands = (dots > 1) | (dots == 1) & (F.length(F.substring_index(t, ".", -1)) == 3)
-    v = number(F.when(thousands, F.replace(t, F.lit("."), F.lit(""))).otherwise(t))
-    return F.when((v >= 100) | (v == 0), v)
+
+    def value(t: Column) -> Column:
+        dots = F.length(t) - F.length(F.replace(t, F.lit("."), F.lit("")))
+        thousands = (dots > 1) | (dots == 1) & (F.length(F.substring_index(t, ".", -1)) == 3)
+        return number(F.when(thousands, F.replace(t, F.lit("."), F.lit(""))).otherwise(t))
+
+    return once(once(_digits(F.regexp_replace(x, "do negocjacji|PLN|zł", "")), value), lambda v: F.when((v >= 100) | (v == 0), v))
 
 
 def digits_price(x: Column) -> Column:

@@ -77,3 +77,9 @@ def test_addresses_are_not_new_kinds(monkeypatch):
     assert len(asked) < 20
     odd = ["<a title=' href=\"/1\"' href=\"/2\">", '<a href="/1" HREF="/2">', '<a href="/1" href="">', '<a x=\' href="/1"\'>', '<A href="/href">']
     assert all(whole(html.plain(m)) == whole(html.parsed(m)) for m in odd)
+
+
+def test_a_price_is_made_once(spark):
+    df = spark.createDataFrame([("150 000 zł",), ("150.000",), ("1.250.000,00",), ("99",), ("0",), ("do negocjacji",), (None,), ("12.5 PLN",), ("1.234,5",)], "x string")
+    assert [r[0] for r in df.select(parse.olx_price(F.col("x"))).collect()] == [150000.0, 150000.0, 125000000.0, None, 0.0, None, None, None, 12345.0]
+    assert spark.range(9).select(parse.olx_price(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
