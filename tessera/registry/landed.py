@@ -25,12 +25,15 @@ CARDS = {
 
 
 def pages_of(spark: SparkSession, d: str, portal: str, card: str | None = None, size: int = 10) -> DataFrame:
-    """Ten listings a page, or size, in the portal's markup."""
+    """Ten listings a page, or size, in the portal's markup. A page of one is its listing's own row; others are dealt in equal shares, as to read a page takes far more than its bytes tell."""
     df = views.listings(spark, d).select("seq", text.escaped(F.col("title")).alias("t"), F.floor("price").cast("string").alias("p"), F.col("city").alias("c"), F.col("voivodeship").alias("v"), (F.col("seq") % 90).cast("string").alias("a"))
     card, pieces = card or CARDS[portal], []
     for n, part in enumerate(card.replace("{k}", "\0seq\0").replace("{t}", "\0t\0").replace("{p}", "\0p\0").replace("{c}", "\0c\0").replace("{v}", "\0v\0").replace("{a}", "\0a\0").split("\0")):
         pieces.append(F.col(part).cast("string") if n % 2 else F.lit(part))
     made = df.select(F.floor(F.col("seq") / size).alias("page_id"), "seq", F.concat(*pieces).alias("card"))
+    if size == 1:
+        return made.select("page_id", F.col("card").alias("html"), F.lit(portal).alias("portal"))
+    made = made.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "page_id")
     return made.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "card"))), lambda x: x["card"]), "\n").alias("html")).withColumn("portal", F.lit(portal))
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import parse
-from tessera.registry.landed import CARDS, DETAILS, OLX
+from tessera.registry.landed import CARDS, DETAILS, OLX, pages_of
 from tessera.sources import html
 
 MARKUP = [c.format(k=12, t="Udział 1/2 &amp; dom", p="120 000", c="Łódź", v="łódzkie", a=55) for c in [*CARDS.values(), *OLX.values(), *DETAILS.values()]]
@@ -83,3 +83,10 @@ def test_a_price_is_made_once(spark):
     df = spark.createDataFrame([("150 000 zł",), ("150.000",), ("1.250.000,00",), ("99",), ("0",), ("do negocjacji",), (None,), ("12.5 PLN",), ("1.234,5",)], "x string")
     assert [r[0] for r in df.select(parse.olx_price(F.col("x"))).collect()] == [150000.0, 150000.0, 125000000.0, None, 0.0, None, None, None, 12345.0]
     assert spark.range(9).select(parse.olx_price(F.col("id").cast("string")).alias("v"))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
+
+
+def test_pages_of_one_listing_are_not_shuffled_and_others_are_dealt_evenly(spark, sf):
+    one, ten = pages_of(spark, sf, "olx", DETAILS["olx"], 1), pages_of(spark, sf, "olx")
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString() and one.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert one.columns == ten.columns and ten.count() == one.select(F.floor(F.col("page_id") / 10)).distinct().count()
+    assert ten.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
