@@ -90,3 +90,22 @@ def test_pages_of_one_listing_are_not_shuffled_and_others_are_dealt_evenly(spark
     assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString() and one.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
     assert one.columns == ten.columns and ten.count() == one.select(F.floor(F.col("page_id") / 10)).distinct().count()
     assert ten.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_all_selectors_of_a_page_take_one_pass(monkeypatch):
+    passes, read = [], html.tree
+
+    class Kinds(list):
+        def __iter__(self):
+            passes.append(1)
+            return super().__iter__()
+
+    def watched(text):
+        page = read(text)
+        page.kinds = Kinds(page.kinds)
+        return page
+
+    monkeypatch.setattr(html, "tree", watched)
+    by = {p.name: p for p in html.PORTALS}
+    assert [html.detail(m, p)[0] is not None for p, m in zip(DETAILS, MARKUP[-4:], strict=True)] == [True] * 4 and len(passes) == 4
+    assert all(list(html.cards(m, by[p])) for p, m in zip(CARDS, MARKUP, strict=False)) and len(passes) == 4 + len(CARDS)
