@@ -109,3 +109,16 @@ def test_all_selectors_of_a_page_take_one_pass(monkeypatch):
     by = {p.name: p for p in html.PORTALS}
     assert [html.detail(m, p)[0] is not None for p, m in zip(DETAILS, MARKUP[-4:], strict=True)] == [True] * 4 and len(passes) == 4
     assert all(list(html.cards(m, by[p])) for p, m in zip(CARDS, MARKUP, strict=False)) and len(passes) == 4 + len(CARDS)
+
+
+def test_a_known_mark_is_not_matched_again(monkeypatch):
+    asked, pattern = [], html.PLAIN
+
+    class Plain:
+        fullmatch = staticmethod(lambda mark: asked.append(mark) or pattern.fullmatch(mark))
+
+    monkeypatch.setattr(html, "PLAIN", Plain)
+    monkeypatch.setattr(html, "MARKS", {})
+    text = "".join(f'<li class="a" id="b">{n} &gt; 1 > 0</li><!-- c --><br/>' for n in range(500))
+    assert whole(html.plain(text)) == whole(html.parsed(text)) and sorted(asked) == ["!-- c --", "/li", "br/", 'li class="a" id="b"']
+    assert all(html.plain(x) is None for x in ("<>", "a < b", "<p", "<p><", "<p a=<b>>", '<p a="1>2">', "<!-- > -->"))
